@@ -7,12 +7,16 @@ per-cluster sums that were already combined on the map side.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinprofile.functions.scalar import fast_uniform, poisson_one, uniform
 from kinprofile.operators.metrics import adjusted_rand, best_row, model_report
-from kinprofile.operators.vectors import block_norm, encode, one_hot_array, squared_distance, with_scaling
+from kinprofile.operators.vectors import (
+    block_norm_sql, encode, level_sums_sql, one_hot_sql, scan_tasks, squared_distance_sql, with_scaling,
+)
 from kinprofile.session import materialise
 from kinprofile.spec import FeatureSpec
 
@@ -23,53 +27,55 @@ SEED = 42
 BOOTSTRAP_ROWS = 6000
 
 
-def _centre(spec: FeatureSpec, at: Column) -> Column:
+def _centre_sql(spec: FeatureSpec, at: str) -> str:
     """Centre struct with the squared norm of its one-hot block."""
-    return F.struct(at.alias("at"), block_norm(spec, at).alias("norm"))
+    return f"named_struct('at', {at}, 'norm', {block_norm_sql(spec, at)})"
 
 
 def seed_centres(
     vectors: DataFrame, spec: FeatureSpec, units: list[str], k_max: int, n_init: int, seed: int = SEED
 ) -> DataFrame:
-    """k-means++ seeds per (units, start): (units, start, seeds array in drawing order).
+    """k-means++ seeds per (units, start): (units, start, centres array in drawing order).
 
     Each further seed is the vector with the smallest ``-ln(u) / (w * d2)``, which draws
     with probability proportional to weight times squared distance.  The first k seeds of
-    one sequence are a k-means++ start for every k.
+    one sequence are a k-means++ start for every k.  A unit with fewer distinct vectors
+    than k has nothing left to draw and keeps fewer centres.
     """
-    point = one_hot_array(spec)
+    keys = [*units, "start"]
+    points = vectors.select(*units, F.col("vid").alias("won"), F.expr(one_hot_sql(spec)).alias("x"))
 
-    def race(weight: Column, turn: Column) -> Column:
-        u = fast_uniform(F.lit(seed), turn, F.col("start"), F.col("vid"))
+    def race(weight: Column, turn: int) -> Column:
+        u = fast_uniform(F.lit(seed), F.lit(turn), F.col("start"), F.col("vid"))
         return F.when(weight > 0, -F.log(u) / F.nullif(weight, F.lit(0.0)))
 
     starts = vectors.withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(n_init))))
-    drawn = starts.groupBy(*units, "start").agg(
-        F.array(_centre(spec, F.min_by(point, race(F.col("w").cast("double"), F.lit(0))))).alias("seeds")
+    first = starts.groupBy(*keys).agg(F.min_by("vid", race(F.col("w").cast("double"), 0)).alias("won"))
+    drawn = materialise(
+        first.join(points, [*units, "won"]).select(*keys, F.expr(f"array({_centre_sql(spec, 'x')})").alias("centres")),
+        "seeds",
     )
+    apart = F.expr(f"array_min(transform(centres, c -> {squared_distance_sql(spec, 'c.at', 'c.norm')}))")
     for turn in range(1, k_max):
-        if turn % 3 == 1:
-            drawn = materialise(drawn, "seeds")
-        gap = F.array_min(F.transform("seeds", lambda s: squared_distance(spec, s["at"], s["norm"])))
-        nearest = vectors.join(drawn, units).withColumn("race", race(F.col("w") * gap, F.lit(turn)))
-        # a unit with fewer distinct vectors than k has nothing left to draw
-        drawn = nearest.groupBy(*units, "start", "seeds").agg(
-            F.min_by(point, "race").alias("next"), F.min("race").alias("won")
-        ).select(
-            *units, "start",
-            F.when(F.col("won").isNotNull(), F.concat("seeds", F.array(_centre(spec, F.col("next")))))
-            .otherwise(F.col("seeds")).alias("seeds"),
+        ahead = (
+            vectors.join(drawn, units).withColumn("race", race(F.col("w") * apart, turn))
+            .groupBy(*keys).agg(F.min_by("vid", "race").alias("won"))
         )
-    return materialise(drawn, "seeds")
+        drawn = drawn.join(ahead, keys).join(points, [*units, "won"], "left").select(
+            *keys,
+            F.expr(
+                f"CASE WHEN x IS NULL THEN centres ELSE concat(centres, array({_centre_sql(spec, 'x')})) END"
+            ).alias("centres"),
+        )
+        drawn = materialise(drawn, "seeds")
+    return drawn
 
 
 def assign(vectors: DataFrame, models: DataFrame, spec: FeatureSpec, units: list[str]) -> DataFrame:
     """Nearest centre of every vector under every model (first centre on ties)."""
-    ranked = F.array_min(F.transform(
-        "centres",
-        lambda c, i: F.struct(squared_distance(spec, c["at"], c["norm"]).alias("sq"), i.alias("label")),
-    ))
-    return vectors.join(models, units).withColumn("hit", ranked)
+    apart = squared_distance_sql(spec, "c.at", "c.norm")
+    nearest = f"array_min(transform(centres, (c, i) -> named_struct('sq', {apart}, 'label', i)))"
+    return vectors.join(models, units).withColumn("hit", F.expr(nearest))
 
 
 def lloyd_step(vectors: DataFrame, models: DataFrame, spec: FeatureSpec, units: list[str]) -> DataFrame:
@@ -78,51 +84,46 @@ def lloyd_step(vectors: DataFrame, models: DataFrame, spec: FeatureSpec, units:
     The squared shift of all centres of a model is reported as ``shift``.
     """
     keys = [*units, "k", "start"]
-    hits = [F.sum(F.when(F.col(f.code) == level, F.col("w")).otherwise(0)) for f, level, _ in spec.one_hot]
-    sums = [F.sum(F.col("w") * F.col(o.scaled)) for o in spec.ordinals]
-    size = F.sum("w")
-    # centres are short arrays; they stay out of the shuffle key of the sums
+    sums = level_sums_sql(spec) + [f"sum(w * {o.scaled})" for o in spec.ordinals]
     moved = (
         assign(vectors, models, spec, units)
-        .groupBy(*keys, F.col("hit.label").alias("label"))
-        .agg(F.array(*[s.cast("double") / size for s in hits + sums]).alias("at"))
+        .select(*keys, *spec.code_columns, *[o.scaled for o in spec.ordinals], "w", F.col("hit.label").alias("label"))
+        .groupBy(*keys, "label")
+        .agg(F.expr(f"transform(array({', '.join(sums)}), x -> x / sum(w))").alias("at"))
         .groupBy(*keys)
         .agg(F.map_from_entries(F.collect_list(F.struct("label", "at"))).alias("found"))
     )
-    renewed = models.select(*keys, F.col("centres").alias("old")).join(moved, keys)
-    renewed = renewed.withColumn(
-        "centres",
-        F.transform("old", lambda c, i: _centre(spec, F.coalesce(F.element_at(F.col("found"), i), c["at"]))),
+    renewed = (
+        models.select(*keys, F.col("centres").alias("old")).join(moved, keys)
+        .withColumn("ats", F.expr("transform(old, (c, i) -> coalesce(element_at(found, i), c.at))"))
     )
-    shift = F.aggregate(
-        F.zip_with("old", "centres", lambda a, b: F.aggregate(
-            F.zip_with(a["at"], b["at"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)),
-        F.lit(0.0), lambda s, x: s + x,
+    shift = """aggregate(zip_with(old, ats, (a, b) ->
+        aggregate(zip_with(a.at, b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x)), 0D, (s, x) -> s + x)"""
+    return renewed.select(
+        *keys, F.expr(f"transform(ats, x -> {_centre_sql(spec, 'x')})").alias("centres"), F.expr(shift).alias("shift")
     )
-    return renewed.select(*keys, "centres", shift.alias("shift"))
 
 
 def fit(
     vectors: DataFrame, models: DataFrame, spec: FeatureSpec, units: list[str], max_iter: int = MAX_ITER,
-    tol: float = 1e-9, steps: int = 4,
+    tol: float = 1e-5,
 ) -> DataFrame:
     """Iterate all models until their centres rest: (units, k, start, centres).
 
-    ``steps`` iterations run per job; models that have settled leave the loop.
+    A model rests when the squared shift of its centres is at most ``tol`` (about 1e-4 of
+    the mean variance of a one-hot column); resting models leave the loop.
     """
     keys = [*units, "k", "start"]
-    active, settled = models.select(*keys, "centres"), None
-    for _ in range(0, max_iter, steps):
-        moving = active
-        for _ in range(steps):
-            moving = lloyd_step(vectors, moving, spec, units)
-        moving = materialise(moving, "centres")
-        rested = moving.filter(F.col("shift") <= tol).drop("shift")
-        settled = rested if settled is None else settled.unionByName(rested)
-        active = moving.filter(F.col("shift") > tol).drop("shift")
+    active, settled = models.select(*keys, "centres"), []
+    for _ in range(max_iter):
+        moved = materialise(lloyd_step(vectors, active, spec, units), "centres")
+        settled.append(moved.filter(F.col("shift") <= tol).drop("shift"))
+        active = moved.filter(F.col("shift") > tol).drop("shift")
         if active.isEmpty():
-            return settled
-    return settled.unionByName(active)
+            break
+    else:
+        settled.append(active)
+    return reduce(DataFrame.unionByName, settled)
 
 
 def kmeans(
@@ -137,8 +138,8 @@ def kmeans(
     units = units or [spec.group]
     seeds = seed_centres(vectors, spec, units, max(ks), n_init, seed)
     models = seeds.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).withColumn(
-        "centres", F.slice("seeds", F.lit(1), F.col("k"))
-    ).drop("seeds")
+        "centres", F.slice("centres", F.lit(1), F.col("k"))
+    )
     if wanted is not None:
         models = models.join(wanted.select(*units, "k"), [*units, "k"])
     fitted = materialise(fit(vectors, models, spec, units, max_iter), "fitted")
@@ -190,7 +191,8 @@ def bootstrap_stability(
     """
     group, units = spec.group, [spec.group, "replicate"]
     drawn = materialise(
-        with_scaling(bootstrap_weights(df, spec, replicates, below=below), spec, units), "bootstrap"
+        with_scaling(bootstrap_weights(df, spec, replicates, below=below), spec, units), "bootstrap",
+        files=scan_tasks(df, spec),
     )
     wanted = drawn.select(*units).distinct().join(chosen.select(group, "k"), group)
     again, _ = kmeans(drawn, spec, K_RANGE, n_init, units=units, wanted=wanted)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinprofile.operators.neighbours import extreme_distance
-from kinprofile.operators.vectors import one_hot_array
+from kinprofile.operators.vectors import level_sums_sql, one_hot_sql
 from kinprofile.session import materialise
 from kinprofile.spec import FeatureSpec
 
@@ -31,33 +31,31 @@ def coded_members(members: DataFrame, vectors: DataFrame, spec: FeatureSpec, key
 
 def cluster_counts(coded: DataFrame, spec: FeatureSpec, keys: list[str]) -> DataFrame:
     """Per cluster: size, rows per level of every feature, and the centre array."""
-    hits = [F.sum(F.when(F.col(f.code) == level, F.col("w")).otherwise(0)) for f, level, _ in spec.one_hot]
-    steps = [
-        F.sum(F.when(F.col(o.code) == level, F.col("w")).otherwise(0)) for o in spec.ordinals for level in o.codes
-    ]
-    means = [F.sum(F.col("w") * F.col(o.scaled)) / F.sum("w") for o in spec.ordinals]
+    hits = level_sums_sql(spec)
+    steps = [f"sum(CASE WHEN {o.code} = {level} THEN w ELSE 0 END)" for o in spec.ordinals for level in o.codes]
+    sums = hits + [f"sum(w * {o.scaled})" for o in spec.ordinals]
     return coded.groupBy(*keys, "label").agg(
         F.sum("w").alias("size"),
-        F.array(*hits, *steps).alias("level_rows"),
-        F.array(*[h / F.sum("w") for h in hits], *means).alias("centre"),
+        F.expr(f"array({', '.join(hits + steps)})").alias("level_rows"),
+        F.expr(f"transform(array({', '.join(sums)}), x -> x / sum(w))").alias("centre"),
     )
 
 
 def _column_mismatches(spec: FeatureSpec) -> Column:
     """Differing feature columns between a vector and all rows of a cluster, summed."""
-    rows, size = F.col("level_rows"), F.col("size")
-    total = F.lit(0).cast("bigint")
+    terms = []
     for f in spec.nominals:
-        at, code = spec.offsets[f.name], F.col(f.code)
-        shown = sum((F.get(rows, F.lit(at + i)) for i in range(len(f.kept))), F.lit(0))
-        same = F.get(rows, code + at)
-        total = total + F.when(code == -1, shown).otherwise(2 * (shown - same) + (size - shown))
+        at = spec.offsets[f.name]
+        shown = " + ".join(f"get(level_rows, {at + i})" for i in range(len(f.kept)))
+        same = f"get(level_rows, {f.code} + {at})"
+        terms.append(f"CASE WHEN {f.code} = -1 THEN {shown} ELSE size + {shown} - 2 * {same} END")
     at = len(spec.one_hot)
     for o in spec.ordinals:
-        index = F.array_position(F.array(*map(F.lit, o.codes)), F.col(o.code)).cast("int") - 1
-        total = total + size - F.get(rows, index + at)
+        levels = ", ".join(map(str, o.codes))
+        index = f"CAST(array_position(array({levels}), {o.code}) AS INT) + {at - 1}"
+        terms.append(f"size - get(level_rows, {index})")
         at += len(o.codes)
-    return total
+    return F.expr(" + ".join(terms))
 
 
 def silhouette(coded: DataFrame, counts: DataFrame, spec: FeatureSpec, keys: list[str]) -> DataFrame:
@@ -96,7 +94,7 @@ def davies_bouldin_and_gap(coded: DataFrame, counts: DataFrame, spec: FeatureSpe
     """
     centred = coded.join(counts.select(*keys, "label", "centre"), [*keys, "label"])
     away = F.sqrt(F.aggregate(
-        F.zip_with(one_hot_array(spec), "centre", lambda x, c: (x - c) * (x - c)),
+        F.zip_with(F.expr(one_hot_sql(spec)), "centre", lambda x, c: (x - c) * (x - c)),
         F.lit(0.0), lambda s, x: s + x,
     ))
     spread = centred.groupBy(*keys, "label").agg((F.sum(F.col("w") * away) / F.sum("w")).alias("spread"))

@@ -178,40 +178,26 @@ def blocks_within(vectors: DataFrame, radii: DataFrame, spec: FeatureSpec) -> Da
     return placed.select(spec.group, "eps", "vid", F.concat_ws(",", *parts).alias("block"))
 
 
-def spread_labels(cores: DataFrame, links: DataFrame, keys: list[str], max_rounds: int = 200) -> DataFrame:
+def spread_labels(
+    cores: DataFrame, links: DataFrame, keys: list[str], max_jobs: int = 500, passes: int = 3
+) -> DataFrame:
     """Connected components of vectors that share blocks: (keys, vid, label).
 
     ``cores`` holds (keys, vid, label) with labels unique per key; each component ends with
-    its smallest label.  Every round takes the minimum over blocks twice and then follows
-    the label to its own holder's label (pointer jumping), so long chains close in
-    logarithmically many rounds.  State is written to the shared folder every round.
+    its smallest label.  A pass takes the smallest label per block and then per vector; as
+    every vector sits in a block of its own value, labels only ever fall.  A job chains a few
+    passes, writes the state to the shared folder and stops once the sum of labels rests.
     """
     links = materialise(
         links.join(cores.select(*keys, "vid"), [*keys, "vid"]).select(*keys, "vid", "block"), "links"
     )
-    state = materialise(
-        cores.select(*keys, "vid", F.col("label").alias("start"), "label", F.lit(True).alias("moved")), "labels"
-    )
-    for _ in range(max_rounds):
-        step = state.select(*keys, "vid", "start", F.col("label").alias("before"), "label")
-        for _ in range(2):
-            by_block = (
-                links.join(step.select(*keys, "vid", "label"), [*keys, "vid"])
-                .groupBy(*keys, "block").agg(F.min("label").alias("low"))
-            )
-            best = links.join(by_block, [*keys, "block"]).groupBy(*keys, "vid").agg(F.min("low").alias("low"))
-            step = (
-                step.join(best, [*keys, "vid"], "left")
-                .withColumn("label", F.least("label", F.coalesce("low", "label"))).drop("low")
-            )
-        holder = step.select(*keys, F.col("start").alias("label"), F.col("label").alias("jump"))
-        state = materialise(
-            step.join(holder, [*keys, "label"], "left")
-            .withColumn("label", F.least("label", F.coalesce("jump", "label"))).drop("jump")
-            .withColumn("moved", F.col("label") != F.col("before"))
-            .select(*keys, "vid", "start", "label", "moved"),
-            "labels",
-        )
-        if state.filter("moved").isEmpty():
-            return state.select(*keys, "vid", "label")
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+    state, total = cores.select(*keys, "vid", "label"), None
+    for _ in range(max_jobs):
+        for _ in range(passes):
+            by_block = links.join(state, [*keys, "vid"]).groupBy(*keys, "block").agg(F.min("label").alias("label"))
+            state = links.join(by_block, [*keys, "block"]).groupBy(*keys, "vid").agg(F.min("label").alias("label"))
+        state = materialise(state, "labels")
+        before, total = total, state.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if total == before:
+            return state
+    raise RuntimeError(f"components did not settle within {max_jobs * passes} passes")

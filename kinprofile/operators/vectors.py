@@ -7,7 +7,7 @@ map task.  Everything after this step is independent of the number of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinprofile.session import materialise
@@ -45,8 +45,17 @@ def with_scaling(vectors: DataFrame, spec: FeatureSpec, keys: list[str] | None =
 
 
 def vector_table(df: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """``distinct_vectors`` written once, to be read by every later step."""
-    return materialise(distinct_vectors(df, spec), "vectors")
+    """``distinct_vectors`` written once, to be read by every later step.
+
+    The table is small but the work per row is not (all models meet every vector), so it is
+    written in several files: later scans then use many tasks.
+    """
+    return materialise(distinct_vectors(df, spec), "vectors", files=scan_tasks(df, spec))
+
+
+def scan_tasks(df: DataFrame, spec: FeatureSpec) -> int:
+    """Files for a vector table: one per core, but at least some hundred vectors each."""
+    return min(df.sparkSession.sparkContext.defaultParallelism, max(8, spec.max_vectors // 256))
 
 
 def feature_table(df: DataFrame, spec: FeatureSpec) -> DataFrame:
@@ -77,33 +86,36 @@ def categories(vectors: DataFrame, spec: FeatureSpec) -> DataFrame:
     return vectors.withColumns({f.name: f.decode(F.col(f.code)) for f in spec.features})
 
 
-def one_hot_array(spec: FeatureSpec) -> Column:
+# The expressions below are wide (one term per feature or level), so they are written as SQL
+# text: one parse per expression instead of one driver call per term.
+
+
+def one_hot_sql(spec: FeatureSpec) -> str:
     """The scaled vector as an array: one-hot block first, then the ordinals."""
-    parts = [(F.col(f.code) == level).cast("double") for f, level, _ in spec.one_hot]
-    return F.array(*parts, *[F.col(o.scaled) for o in spec.ordinals])
+    parts = [f"CAST({f.code} = {level} AS DOUBLE)" for f, level, _ in spec.one_hot]
+    return f"array({', '.join(parts + [o.scaled for o in spec.ordinals])})"
 
 
-def squared_distance(spec: FeatureSpec, centre: Column, centre_norm: Column) -> Column:
+def squared_distance_sql(spec: FeatureSpec, centre: str, norm: str) -> str:
     """Squared Euclidean distance of a coded vector to a dense centre array.
 
-    ``centre_norm`` is the squared norm of the one-hot block of the centre.  Only one
-    array element per feature is touched instead of one per one-hot column.
+    ``norm`` is the squared norm of the one-hot block of the centre.  Only one array
+    element per feature is touched instead of one per one-hot column.
     """
-    total = centre_norm
+    terms = [norm]
     for f in spec.nominals:
-        code = F.col(f.code)
-        hit = F.get(centre, code + spec.offsets[f.name])
-        total = total + F.when(code >= 0, 1.0 - 2.0 * hit).otherwise(0.0)
-    width = len(spec.one_hot)
+        hit = f"get({centre}, {f.code} + {spec.offsets[f.name]})"
+        terms.append(f"CASE WHEN {f.code} >= 0 THEN 1D - 2D * {hit} ELSE 0D END")
     for i, o in enumerate(spec.ordinals):
-        gap = F.col(o.scaled) - F.get(centre, F.lit(width + i))
-        total = total + gap * gap
-    return F.greatest(total, F.lit(0.0))
+        terms.append(f"power({o.scaled} - get({centre}, {len(spec.one_hot) + i}), 2)")
+    return f"greatest(0D, {' + '.join(terms)})"
 
 
-def block_norm(spec: FeatureSpec, centre: Column) -> Column:
+def block_norm_sql(spec: FeatureSpec, centre: str) -> str:
     """Squared norm of the one-hot block of a centre array."""
-    total = F.lit(0.0)
-    for i in range(len(spec.one_hot)):
-        total = total + F.get(centre, F.lit(i)) * F.get(centre, F.lit(i))
-    return total
+    return f"aggregate(slice({centre}, 1, {len(spec.one_hot)}), 0D, (total, x) -> total + x * x)"
+
+
+def level_sums_sql(spec: FeatureSpec) -> list[str]:
+    """Weighted rows per one-hot column."""
+    return [f"sum(CASE WHEN {f.code} = {level} THEN w ELSE 0 END)" for f, level, _ in spec.one_hot]

@@ -35,12 +35,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/kinprofile/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def materialise(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and return the table read back.
+
+    ``files`` spreads the rows evenly over that many files, where later work per row is heavy.
+    """
+    path = scratch_path(df.sparkSession, name)
+    out = df if files is None else df.repartition(files)
+    out.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -46,6 +46,21 @@ def order_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PRICE_STEPS = 40
+FINE_ORDERS = FeatureSpec(
+    ORDERS.group,
+    ORDERS.row_id,
+    ORDERS.nominals,
+    (Ordinal("price_step", tuple((f"s{i}", i) for i in range(1, PRICE_STEPS + 1))),),
+)
+
+
+def fine_order_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order profiles with 40 price steps, so that most vectors hold a single row."""
+    step = F.least(F.floor(F.col("o_totalprice") / 12_500), F.lit(PRICE_STEPS - 1)) + 1
+    return order_profiles(spark, sf_dir).withColumn("price_step", F.concat(F.lit("s"), step))
+
+
 LINES = FeatureSpec(
     group="l_returnflag",
     row_id="line_id",

@@ -116,7 +116,9 @@ def nearest_clusters(members: DataFrame, spec: FeatureSpec) -> DataFrame:
     """(group, linkage, cluster, partner, height, tie) for every cluster."""
     keys = [spec.group, "linkage", "block"]
     own = members.withColumn("block", F.pmod(F.xxhash64("cluster"), F.col("blocks")).cast("int"))
-    everyone = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # fresh column identities: both sides come from the same table
+    again = members.select([F.col(c).alias(c) for c in members.columns])
+    everyone = again.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     kind = members.schema[spec.group].dataType.simpleString()
 
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -133,16 +135,15 @@ def nearest_clusters(members: DataFrame, spec: FeatureSpec) -> DataFrame:
 
 
 def reciprocal_pairs(nearest: DataFrame, keys: list[str]) -> DataFrame:
-    """Merges of one round: clusters that name each other, else the closest pair of the key."""
-    back = nearest.select(*keys, F.col("partner").alias("cluster"), F.col("cluster").alias("partner"), F.lit(True).alias("mutual"))
-    closest = Window.partitionBy(*keys).orderBy((~F.col("mutual")).cast("int"), "height", "tie", "cluster")
+    """Merges of one round: pairs named from both sides, else the closest pair of the key."""
+    pairs = nearest.groupBy(
+        *keys, F.least("cluster", "partner").alias("into"), F.greatest("cluster", "partner").alias("gone")
+    ).agg(F.min("height").alias("height"), F.min("tie").alias("tie"), F.count(F.lit(1)).alias("named"))
+    order = Window.partitionBy(*keys).orderBy(F.col("named").desc(), "height", "tie", "into")
     return (
-        nearest.join(back, [*keys, "cluster", "partner"], "left")
-        .withColumn("mutual", F.coalesce("mutual", F.lit(False)))
-        .withColumn("place", F.row_number().over(closest))
-        .filter(F.col("mutual") | (F.col("place") == 1))
-        .select(*keys, F.least("cluster", "partner").alias("into"), F.greatest("cluster", "partner").alias("gone"), "height")
-        .distinct()
+        pairs.withColumn("place", F.row_number().over(order))
+        .filter((F.col("named") == 2) | (F.col("place") == 1))
+        .select(*keys, "into", "gone", "height")
     )
 
 
@@ -161,7 +162,7 @@ def linkage_history(vectors: DataFrame, spec: FeatureSpec, linkages: tuple[str,
     )
     members, rounds = materialise(members, "linkage-members"), []
     while True:
-        pairs = reciprocal_pairs(materialise(nearest_clusters(members, spec), "nearest"), keys)
+        pairs = reciprocal_pairs(nearest_clusters(members, spec), keys)
         sides = pairs.select(
             *keys, F.explode(F.array("into", "gone")).alias("cluster"), F.col("into"), "height"
         )

@@ -81,33 +81,24 @@ def silhouette(coded: DataFrame, counts: DataFrame, spec: FeatureSpec, keys: lis
     )
 
 
-def _centre_gap() -> Column:
-    return F.sqrt(F.aggregate(
-        F.zip_with("centre", "other_centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x
-    ))
-
-
 def davies_bouldin_and_gap(coded: DataFrame, counts: DataFrame, spec: FeatureSpec, keys: list[str]) -> DataFrame:
     """Davies-Bouldin index and the smallest centre distance: (keys, davies_bouldin, min_gap).
 
-    Both are defined over all pairs of *clusters*; the join runs on centres only.
+    Every cluster looks at all centres of its model, packed in one array, inside its own row;
+    no cluster pairs are emitted.
     """
     centred = coded.join(counts.select(*keys, "label", "centre"), [*keys, "label"])
-    away = F.sqrt(F.aggregate(
-        F.zip_with(F.expr(one_hot_sql(spec)), "centre", lambda x, c: (x - c) * (x - c)),
-        F.lit(0.0), lambda s, x: s + x,
-    ))
+    gap = "sqrt(aggregate(zip_with({a}, {b}, (x, c) -> (x - c) * (x - c)), 0D, (s, x) -> s + x))"
+    away = F.expr(gap.format(a=one_hot_sql(spec), b="centre"))
     spread = centred.groupBy(*keys, "label").agg((F.sum(F.col("w") * away) / F.sum("w")).alias("spread"))
     centres = materialise(counts.select(*keys, "label", "centre").join(spread, [*keys, "label"]), "centres")
-    others = centres.select(
-        *keys, F.col("label").alias("other"), F.col("centre").alias("other_centre"),
-        F.col("spread").alias("other_spread"),
-    )
-    pairs = centres.join(others, keys).filter("label != other").withColumn("gap", _centre_gap())
-    ratio = F.when(F.col("gap") > 0, (F.col("spread") + F.col("other_spread")) / F.nullif("gap", F.lit(0.0))).otherwise(0.0)
+    packed = centres.groupBy(*keys).agg(F.collect_list(F.struct("label", "centre", "spread")).alias("all"))
+    apart = f"""transform(filter(all, o -> o.label <> label), o ->
+        named_struct('gap', {gap.format(a='centre', b='o.centre')}, 'spread', o.spread))"""
+    worst = "array_max(transform(apart, o -> CASE WHEN o.gap > 0 THEN (spread + o.spread) / o.gap ELSE 0D END))"
     return (
-        pairs.groupBy(*keys, "label")
-        .agg(F.max(ratio).alias("worst"), F.min("gap").alias("gap"))
+        centres.join(packed, keys).withColumn("apart", F.expr(apart)).filter(F.size("apart") > 0)
+        .select(*keys, F.expr(worst).alias("worst"), F.expr("array_min(apart.gap)").alias("gap"))
         .groupBy(*keys)
         .agg(F.avg("worst").alias("davies_bouldin"), F.min("gap").alias("min_gap"))
     )
@@ -116,11 +107,8 @@ def davies_bouldin_and_gap(coded: DataFrame, counts: DataFrame, spec: FeatureSpe
 def diameters(coded: DataFrame, spec: FeatureSpec, keys: list[str]) -> DataFrame:
     """Exact largest distance inside each cluster: (keys, label, diameter)."""
     cluster = [*keys, "label"]
-    far = extreme_distance(coded, spec, cluster, farthest=True)
-    return (
-        far.join(coded.select(*cluster, *spec.code_columns), [*cluster, *spec.code_columns], "left_semi")
-        .groupBy(*cluster).agg(F.sqrt(F.max("sq")).alias("diameter"))
-    )
+    far = extreme_distance(coded, coded, spec, cluster, ["vid"], farthest=True)
+    return far.groupBy(*cluster).agg(F.sqrt(F.max("sq")).alias("diameter"))
 
 
 def cluster_quality(

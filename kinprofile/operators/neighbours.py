@@ -23,10 +23,6 @@ from kinprofile.session import materialise
 from kinprofile.spec import FeatureSpec, Nominal, Ordinal
 
 
-def _levels(feature: Nominal | Ordinal) -> Column:
-    return F.explode(F.array(*[F.lit(c) for c in feature.codes]))
-
-
 def _nominal_cost(own: Column, other: Column) -> Column:
     return F.when(own == other, 0).when((own == -1) | (other == -1), 1).otherwise(2)
 
@@ -45,31 +41,54 @@ def distance(spec: FeatureSpec, nominal_cost: Column, gaps: list[Column]) -> Col
     return F.sqrt(total)
 
 
+def _by_size(spec: FeatureSpec) -> list[Nominal | Ordinal]:
+    """Features in processing order: the one with most levels last, where the swapped
+    values are whole vectors and nothing is kept between steps any more."""
+    last = max(spec.features, key=lambda f: len(f.codes))
+    return [f for f in spec.features if f is not last] + [last]
+
+
+def _own_values(
+    state: DataFrame, asked: DataFrame, keys: list[str], done: list[str], f: Nominal | Ordinal, names: list[str]
+) -> DataFrame:
+    """Pair the partner's level of ``f`` with the own levels that occur (column ``own``).
+
+    ``done`` are the code columns already swapped to own values; only prefixes of asked
+    vectors go on, so the table never outgrows asked prefixes times partner suffixes.
+    """
+    prefixes = asked.select(*keys, *done, F.col(f.code).alias("own"), *names)
+    return state.join(prefixes if names else prefixes.distinct(), [*keys, *done])
+
+
 def neighbour_counts(vectors: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """Exact distance histogram of every vector: (group, vid, w, n, dist, cnt).
+    """Exact distance histogram of every vector: (group, vid, w, n, first_row, dist, cnt).
 
     ``cnt`` is the number of rows at exactly ``dist``, the vector's own rows included.
     """
-    gaps = [_gap(o) for o in spec.ordinals]
+    gaps, order = [_gap(o) for o in spec.ordinals], _by_size(spec)
+    names = ["vid", "w", "n", "first_row"]
+    scales = [f"{o.name}_scale" for o in spec.ordinals]
     state = vectors.select(
         spec.group, *spec.code_columns, F.col("w").alias("cnt"), F.lit(0).alias("m"),
         *[F.lit(0).alias(g) for g in gaps],
     )
-    for f in spec.features:
-        state = state.withColumn("own", _levels(f))
+    for f in order:
+        final = f is order[-1]
+        done = [x.code for x in order[:order.index(f)]]
+        state = _own_values(state, vectors, [spec.group], done, f, [*names, *scales] if final else [])
         if isinstance(f, Nominal):
             state = state.withColumn("m", F.col("m") + _nominal_cost(F.col("own"), F.col(f.code)))
         else:
             state = state.withColumn(_gap(f), F.abs(F.col("own") - F.col(f.code)))
-        state = (
-            state.withColumn(f.code, F.col("own"))
-            .groupBy(spec.group, *spec.code_columns, "m", *gaps)
-            .agg(F.sum("cnt").alias("cnt"))
-        )
-    found = state.join(vectors, [spec.group, *spec.code_columns])
+        if not final:
+            state = (
+                state.withColumn(f.code, F.col("own"))
+                .groupBy(spec.group, *spec.code_columns, "m", *gaps)
+                .agg(F.sum("cnt").alias("cnt"))
+            )
     return (
-        found.withColumn("dist", distance(spec, F.col("m"), [F.col(g) for g in gaps]))
-        .groupBy(spec.group, "vid", "w", "n", "first_row", "dist")
+        state.withColumn("dist", distance(spec, F.col("m"), [F.col(g) for g in gaps]))
+        .groupBy(spec.group, *names, "dist")
         .agg(F.sum("cnt").alias("cnt"))
     )
 
@@ -86,30 +105,35 @@ def kth_distance(counts: DataFrame, spec: FeatureSpec, k: Column) -> DataFrame:
 
 
 def extreme_distance(
-    members: DataFrame, spec: FeatureSpec, keys: list[str], farthest: bool
+    members: DataFrame, asked: DataFrame, spec: FeatureSpec, keys: list[str], names: list[str], farthest: bool
 ) -> DataFrame:
-    """Largest (or smallest) squared distance from any grid vector to the members of each key.
+    """Largest (or smallest) squared distance from each asked vector to the members of its key.
 
-    ``members`` carries ``keys``, the code columns and the ordinal scales.  One max-plus
-    (or min-plus) step per feature.
+    ``members`` carries ``keys``, the code columns and the ordinal scales; ``asked`` carries
+    ``keys``, the code columns and ``names``, which identify a vector in the result
+    (keys, names, sq).  One max-plus (or min-plus) step per feature.
     """
-    pick = F.max if farthest else F.min
+    pick, order = F.max if farthest else F.min, _by_size(spec)
     scales = [f"{o.name}_scale" for o in spec.ordinals]
     state = members.select(*keys, *spec.code_columns, *scales).distinct().withColumn("sq", F.lit(0.0))
-    for f in spec.features:
-        state = state.withColumn("own", _levels(f))
+    for f in order:
+        final = f is order[-1]
+        done = [x.code for x in order[:order.index(f)]]
+        state = _own_values(state, asked, keys, done, f, names if final else [])
         if isinstance(f, Nominal):
             cost = _nominal_cost(F.col("own"), F.col(f.code)).cast("double")
         else:
             step = F.abs(F.col("own") - F.col(f.code)).cast("double") / F.col(f"{f.name}_scale")
             cost = step * step
+        state = state.withColumn("sq", F.col("sq") + cost)
+        if final:
+            return state.groupBy(*keys, *names).agg(pick("sq").alias("sq"))
         state = (
-            state.withColumn("sq", F.col("sq") + cost)
-            .withColumn(f.code, F.col("own"))
+            state.withColumn(f.code, F.col("own"))
             .groupBy(*keys, *spec.code_columns, *scales)
             .agg(pick("sq").alias("sq"))
         )
-    return state.select(*keys, *spec.code_columns, "sq")
+    raise ValueError("the specification has no features")
 
 
 def blocks_within(vectors: DataFrame, radii: DataFrame, spec: FeatureSpec) -> DataFrame:

@@ -66,11 +66,8 @@ def hopkins_runs(
     )
     left = materialise(left, "hopkins-rest", files=vectors.sparkSession.sparkContext.defaultParallelism)
     rest = left.filter("left_over > 0")
-    near = extreme_distance(rest, spec, keys, farthest=False)
-    real = (
-        left.filter("taken > 0").join(near, [*keys, *spec.code_columns])
-        .groupBy(*keys).agg(F.sum(F.col("taken") * F.sqrt("sq")).alias("real"))
-    )
+    near = extreme_distance(rest, left.filter("taken > 0"), spec, keys, ["vid", "taken"], farthest=False)
+    real = near.groupBy(*keys).agg(F.sum(F.col("taken") * F.sqrt("sq")).alias("real"))
     width = len(spec.one_hot) + len(spec.ordinals)
     u = f"CAST(CAST(conv(substring(md5(concat_ws('|', '{seed}', 'box', {group}, run, i, j)), 1, 13), 16, 10) AS BIGINT) AS DOUBLE) / {2**52}D"
     points = units.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("m").cast("int")))).withColumn(

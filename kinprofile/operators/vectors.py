@@ -107,7 +107,8 @@ def squared_distance_sql(spec: FeatureSpec, centre: str, norm: str) -> str:
         hit = f"get({centre}, {f.code} + {spec.offsets[f.name]})"
         terms.append(f"CASE WHEN {f.code} >= 0 THEN 1D - 2D * {hit} ELSE 0D END")
     for i, o in enumerate(spec.ordinals):
-        terms.append(f"power({o.scaled} - get({centre}, {len(spec.one_hot) + i}), 2)")
+        gap = f"({o.scaled} - get({centre}, {len(spec.one_hot) + i}))"
+        terms.append(f"{gap} * {gap}")
     return f"greatest(0D, {' + '.join(terms)})"
 
 

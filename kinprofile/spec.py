@@ -14,6 +14,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+MAX_VECTORS = 2_000_000
+
+
 @dataclass(frozen=True)
 class Nominal:
     """One-hot feature. ``dropped`` is the level without a column of its own; it and
@@ -80,6 +83,12 @@ class FeatureSpec:
     nominals: tuple[Nominal, ...]
     ordinals: tuple[Ordinal, ...] = ()
 
+    def __post_init__(self) -> None:
+        if not self.features:
+            raise ValueError("a specification needs at least one feature")
+        if self.max_vectors > MAX_VECTORS:
+            raise ValueError(f"{self.max_vectors} possible vectors per group; use coarser levels (at most {MAX_VECTORS})")
+
     @property
     def features(self) -> tuple[Nominal | Ordinal, ...]:
         return self.nominals + self.ordinals

@@ -89,7 +89,10 @@ def pick_balanced_solution(report: DataFrame, keys: list[str], linkage_order: tu
 
 
 def pick_k(report: DataFrame, keys: list[str]) -> DataFrame:
-    """K by elbow, silhouette, Davies-Bouldin and Dunn; the Dunn peak is adopted."""
+    """K by elbow, silhouette, Davies-Bouldin and Dunn; the Dunn peak is adopted.
+
+    A curve too short for a second difference has its first K as elbow.
+    """
     bend = elbow(report, keys, "k", "wcss").withColumnRenamed("elbow", "k_elbow")
 
     def peak(metric: Column, name: str) -> Column:
@@ -101,8 +104,11 @@ def pick_k(report: DataFrame, keys: list[str]) -> DataFrame:
             peak(-F.col("silhouette"), "k_silhouette"),
             peak(F.col("davies_bouldin"), "k_davies_bouldin"),
             peak(-F.col("dunn"), "k_dunn"),
+            F.min("k").alias("k_first"),
         )
-        .join(bend, keys)
+        .join(bend, keys, "left")
+        .withColumn("k_elbow", F.coalesce("k_elbow", "k_first"))
+        .drop("k_first")
         .withColumn("k_adopted", F.col("k_dunn"))
     )
 

@@ -23,8 +23,8 @@ def random_rows(spark, n=400, groups=("u", "v"), seed=3, skew=True):
     return spark.createDataFrame(rows, "g string, id bigint, a string, b string, o string")
 
 
-def planted_rows(spark, copies=12):
-    """Three groups with four far-apart profiles each, duplicates included."""
+def planted_rows(spark, copies=24):
+    """Three groups with four far-apart profiles each: duplicates and a few near variants."""
     profiles = [("x", "p", "o1"), ("y", "q", "o2"), ("z", "r", "o3"), ("none", "p", "o4")]
     rows, i = [], 0
     for g in ("u", "v", "w"):
@@ -32,6 +32,9 @@ def planted_rows(spark, copies=12):
             for _ in range(copies + 3 * truth):
                 rows.append((g, i, *profile, truth))
                 i += 1
+            for _ in range(4):
+                rows.append((g, i, *profile[:2], f"o{int(profile[2][1]) - 1}", truth))
+                i += 1
     return spark.createDataFrame(rows, "g string, id bigint, a string, b string, o string, truth int")
 
 

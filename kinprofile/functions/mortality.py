@@ -101,13 +101,19 @@ IGNORED_CODES = {
 # End of fixed values.
 
 
-def age_years(code: Column) -> Column:
-    """Age in years from a code whose first digit is the unit and the rest the quantity.
+def age_digits(code: Column) -> Column:
+    """The code as the digits of a whole number.
+
+    Passing through a number loses a leading zero: "015" reads as unit 1, quantity 5.
+    """
+    return F.trim(code).try_cast("double").try_cast("bigint").cast("string")
+
 
-    The code passes through a number first, so a leading zero is lost ("015" reads as
-    unit 1, quantity 5); unknown units, one-digit and non-numeric codes give null.
+def years_from_digits(digits: Column) -> Column:
+    """Age in years: the first digit is the unit, the rest the quantity.
+
+    Unknown units, one-digit and non-numeric codes give null.
     """
-    digits = F.trim(code).try_cast("double").try_cast("bigint").cast("string")
     quantity = F.substring(digits, 2, 20).try_cast("double")
     per_year = F.element_at(
         F.create_map(*[F.lit(x) for x in ("4", 1.0, "3", 12.0, "2", 365.0, "1", 8760.0)]),
@@ -116,6 +122,10 @@ def age_years(code: Column) -> Column:
     return F.when(F.length(digits) >= 2, quantity / per_year)
 
 
+def age_years(code: Column) -> Column:
+    return years_from_digits(age_digits(code))
+
+
 def age_band(years: Column) -> Column:
     return band(years, AGE_BANDS, "idoso", "ignorado")
 
@@ -125,11 +135,6 @@ def raw_hour(code: Column) -> Column:
     return F.substring(code, 1, 2).try_cast("double")
 
 
-def valid_hour(code: Column) -> Column:
-    hour = raw_hour(code)
-    return F.when((hour >= 0) & (hour <= 23), hour)
-
-
 def shift(hour: Column) -> Column:
     """Part of the day; null and hours outside 0-23 are "ignorado"."""
     whole = hour.cast("int")
@@ -137,11 +142,29 @@ def shift(hour: Column) -> Column:
     return band(inside, SHIFTS[:-1], SHIFTS[-1][1], "ignorado")
 
 
+def decode(df: DataFrame) -> DataFrame:
+    """Add age in years and valid hour.
+
+    The parts that several later expressions read are columns of their own, so they are
+    computed once per row and the generated code stays small enough to be compiled.
+    """
+    if "IDADE_NUM" in df.columns:
+        return df
+    return (
+        df.withColumns({"_digits": age_digits(F.col("IDADE")), "_hour": raw_hour(F.col("HORAOBITO"))})
+        .withColumns({
+            "IDADE_NUM": years_from_digits(F.col("_digits")),
+            "HORA_NUM": F.when(F.col("_hour").between(0, 23), F.col("_hour")),
+        })
+        .drop("_digits", "_hour")
+    )
+
+
 def categorise(df: DataFrame) -> DataFrame:
-    """Add the seven readable category columns."""
-    return df.withColumns({
-        "FAIXA_IDADE": age_band(age_years(F.col("IDADE"))),
-        "TURNO_HORA": shift(raw_hour(F.col("HORAOBITO"))),
+    """Add the seven readable category columns (and the two decoded numbers they need)."""
+    return decode(df).withColumns({
+        "FAIXA_IDADE": age_band(F.col("IDADE_NUM")),
+        "TURNO_HORA": shift(F.col("HORA_NUM")),
         "CAT_SEXO": lookup(F.col("SEXO"), SEX_CATEGORY, "nao_decl"),
         "CAT_RACA": lookup(F.col("RACACOR"), RACE_CATEGORY, "nao_decl"),
         "CAT_LOCOCOR": lookup(F.col("LOCOCOR"), PLACE_CATEGORY, "ignorado"),
@@ -152,10 +175,8 @@ def categorise(df: DataFrame) -> DataFrame:
 
 def describe_numeric(df: DataFrame) -> DataFrame:
     """Add the numeric descriptive columns and the 0/1 homicide flag."""
-    return df.withColumns({
+    return decode(df).withColumns({
         "HOMICIDIO": coded_in(F.col("CAUSABAS_O"), HOMICIDE_CODES).cast("int"),
-        "IDADE_NUM": age_years(F.col("IDADE")),
-        "HORA_NUM": valid_hour(F.col("HORAOBITO")),
         "SEXO_NUM": lookup(F.col("SEXO"), SEX_NUMBER),
         "RACACOR_NUM": lookup(F.col("RACACOR"), RACE_NUMBER),
         "ESTCIV_NUM": lookup(F.col("ESTCIV"), MARITAL_NUMBER),

@@ -20,6 +20,14 @@ def k_distances(counts: DataFrame, spec: FeatureSpec, k: int = MIN_SAMPLES) -> D
     return kth_distance(counts, spec, F.lit(k))
 
 
+def sorted_curve(kdist: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """The ascending k-distance curve as runs of rows: (group, kdist, first_place, last_place)."""
+    along = Window.partitionBy(spec.group).orderBy("kdist")
+    values = kdist.groupBy(spec.group, "kdist").agg(F.sum("w").alias("w"))
+    last = F.sum("w").over(along)
+    return values.select(spec.group, "kdist", (last - F.col("w") + 1).alias("first_place"), last.alias("last_place"))
+
+
 def eps_candidates(kdist: DataFrame, spec: FeatureSpec, picks: int = CANDIDATES) -> DataFrame:
     """Candidate radii per group: evenly spaced picks from the tail of the distinct
     k-distances plus three percentiles, rounded to 4 places, distinct and positive."""

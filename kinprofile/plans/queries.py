@@ -25,6 +25,7 @@ from kinprofile.operators.projection import projection_2d
 from kinprofile.operators.quantiles import grouped_quantiles
 from kinprofile.operators.sampling import sample_rows
 from kinprofile.operators.vectors import distinct_vectors, feature_table, vector_table
+from kinprofile.plans import mortality as study
 from kinprofile.plans import typology
 from kinprofile.plans.oracle_parts import CODED, FEATURES, FINE_VECTORS, KDIST, LABELS, ORD, PAIRS, VECTORS
 from kinprofile.plans.oracle_parts import uniform as sql_uniform
@@ -346,6 +347,52 @@ def homicide_counts(spark, sf):
     return kept.groupBy(F.col("ESTADO").alias("estado")).agg(F.count(F.lit(1)).alias("n"))
 
 
+DEATHS_KEPT = f"""{DEATHS}, kept AS (SELECT * FROM decoded WHERE causa IN ('X85', 'X99', 'Y00', 'Y09'))"""
+
+
+def _pct(condition: str) -> str:
+    return f"round(avg(({condition})::INT) * 100, 6)"
+
+
+@register(f"""WITH {DEATHS_KEPT}, shares AS (SELECT estado AS "ESTADO", count(*)::BIGINT AS n,
+  {_pct("sexo = ''")} AS "SEXO_missing", {_pct("sexo IN ('0', 'I')")} AS "SEXO_ignored",
+  0.0::DOUBLE AS "RACACOR_missing", 0.0::DOUBLE AS "RACACOR_ignored", 0.0::DOUBLE AS "ESTCIV_missing", {_pct("estciv = '9'")} AS "ESTCIV_ignored",
+  0.0::DOUBLE AS "ESC_missing", {_pct("esc = '9'")} AS "ESC_ignored", 0.0::DOUBLE AS "LOCOCOR_missing", {_pct("lococor = '9'")} AS "LOCOCOR_ignored",
+  {_pct("years IS NULL")} AS "IDADE_invalid", {_pct("h IS NULL")} AS "HORA_invalid" FROM kept GROUP BY estado)
+SELECT *, round("SEXO_missing" + "SEXO_ignored", 6) AS "SEXO_total", "RACACOR_ignored" AS "RACACOR_total", "ESTCIV_ignored" AS "ESTCIV_total",
+  "ESC_ignored" AS "ESC_total", "LOCOCOR_ignored" AS "LOCOCOR_total" FROM shares""")
+def mortality_diagnosis(spark, sf):
+    return study.diagnosis(mortality.homicides(death_records(spark, sf)), PLACES)
+
+
+@register(f"""WITH {DEATHS_KEPT}, middle AS (SELECT estado, median(years) AS y, median(h::DOUBLE) AS hh FROM kept GROUP BY estado),
+  races AS (SELECT *, CASE WHEN raca IN ('1', '2', '3', '4', '5') THEN raca::INT WHEN raca = 'parda' THEN 4 END AS race FROM kept),
+  tops AS (SELECT estado, race AS race_top FROM (SELECT estado, race, row_number() OVER (PARTITION BY estado ORDER BY count(*) DESC, race) AS place
+    FROM races WHERE race IS NOT NULL GROUP BY estado, race) WHERE place = 1),
+  filled AS (SELECT row_id, estado, coalesce(years, y) AS idade, coalesce(h::DOUBLE, hh) AS hora, coalesce(race, race_top)::DOUBLE AS raca
+    FROM races JOIN middle USING (estado) JOIN tops USING (estado))
+SELECT row_id, estado, round(idade, 6) AS idade, hora, raca, CASE WHEN stddev_pop(idade) OVER g = 0 THEN 0 ELSE round((idade - avg(idade) OVER g) / stddev_pop(idade) OVER g, 6) END AS idade_z,
+  CASE WHEN stddev_pop(raca) OVER g = 0 THEN 0 ELSE round((raca - avg(raca) OVER g) / stddev_pop(raca) OVER g, 6) END AS raca_z FROM filled WINDOW g AS (PARTITION BY estado)""")
+def mortality_descriptive(spark, sf):
+    filled = study.descriptive_table(mortality.homicides(death_records(spark, sf)))
+    return filled.select(
+        "row_id", F.col("ESTADO").alias("estado"), r("IDADE_NUM", "idade"), F.col("HORA_NUM").alias("hora"),
+        F.col("RACACOR_NUM").alias("raca"), r("IDADE_NUM_z", "idade_z"), r("RACACOR_NUM_z", "raca_z"),
+    )
+
+
+@register()
+def mortality_typology(spark, sf):
+    """The preset with K-Means and DBSCAN over all states: profiles of the adopted partitions."""
+    store = ResultStore(scratch_path(spark, "mortality"), "ESTADO")
+    algorithms = {
+        "KMeans": lambda v, s: typology.run_kmeans(v, s, ks=(2, 3, 4), n_init=1),
+        "DBSCAN": typology.run_dbscan,
+    }
+    _, agreed = study.cluster(mortality.homicides(death_records(spark, sf)), "row_id", store, algorithms)
+    return store.read(spark, "profile").join(agreed.select("ESTADO", "ari"), "ESTADO", "left")
+
+
 @register("""SELECT event_type, CASE WHEN hour(ts) < 6 THEN 'madrugada' WHEN hour(ts) < 12 THEN 'manha' WHEN hour(ts) < 18 THEN 'tarde'
   ELSE 'noite' END AS turn, count(*)::BIGINT AS n FROM events GROUP BY ALL""")
 def hour_shift(spark, sf):
@@ -864,6 +911,14 @@ def knee_radius(spark, sf):
     return dbscan.knee(kdist, ORDERS).select(GROUP, r("knee_eps"))
 
 
+@register(f"""WITH {KDIST}, curve AS (SELECT r_name, kdist, row_number() OVER (PARTITION BY r_name ORDER BY kdist) AS pos FROM kd, unnest(generate_series(1, w)) t(i))
+SELECT r_name, round(kdist, 6) AS kdist, min(pos)::BIGINT AS first_place, max(pos)::BIGINT AS last_place FROM curve GROUP BY r_name, kdist""")
+def k_distance_curve(spark, sf):
+    vectors = vector_table(order_profiles(spark, sf), ORDERS)
+    curve = dbscan.sorted_curve(dbscan.k_distances(neighbour_counts(vectors, ORDERS), ORDERS), ORDERS)
+    return curve.withColumn("kdist", r("kdist"))
+
+
 RADII = [0.25, 0.5, 1.0]
 CORE_ROWS = 25
 

@@ -16,6 +16,8 @@ gap of an ordinal one.  Two consequences carry all of this module:
 
 from __future__ import annotations
 
+from math import prod
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,7 +183,8 @@ def blocks_within(vectors: DataFrame, radii: DataFrame, spec: FeatureSpec) -> Da
         shapes.filter(widest).select(spec.group, "eps", *kinds_cols, *width_cols, *bound_cols), "shapes"
     )
     placed = vectors.select(spec.group, "vid", *spec.code_columns).join(shapes, spec.group)
-    parts = []
+    # (radix, digit) pairs that number a block exactly
+    digits = []
     for f in spec.nominals:
         kind, code, part = F.col(f"{f.name}_kind"), F.col(f.code), f"{f.name}_part"
         if f.dropped is not None:
@@ -192,14 +195,22 @@ def blocks_within(vectors: DataFrame, radii: DataFrame, spec: FeatureSpec) -> Da
             placed = placed.withColumn(part, F.explode(own))
         else:
             placed = placed.withColumn(part, F.when(kind == 0, code))
-        parts += [kind, F.coalesce(F.col(part), F.lit(-9))]
+        width = len(f.codes) + 1
+        digits.append((3 * width, kind * width + F.coalesce(F.col(part) + 1, F.lit(width - 1))))
     for o in spec.ordinals:
         width, code, part = F.col(f"{o.name}_width"), F.col(o.code), f"{o.name}_part"
         lo = F.greatest(F.col(f"{o.name}_lo"), code - width)
         hi = F.least(F.col(f"{o.name}_hi") - width, code)
         placed = placed.withColumn(part, F.explode(F.sequence(lo, hi)))
-        parts += [width, F.col(part)]
-    return placed.select(spec.group, "eps", "vid", F.concat_ws(",", *parts).alias("block"))
+        span = max(o.codes) - min(o.codes) + 1
+        digits.append((span * span, width * span + F.col(part) - min(o.codes)))
+    if prod(radix for radix, _ in digits) < 2**62:
+        block = F.lit(0).cast("bigint")
+        for radix, digit in digits:
+            block = block * radix + digit
+    else:
+        block = F.concat_ws(",", *[digit for _, digit in digits])
+    return placed.select(spec.group, "eps", "vid", block.alias("block"))
 
 
 def spread_labels(
@@ -208,14 +219,16 @@ def spread_labels(
     """Connected components of vectors that share blocks: (keys, vid, label).
 
     ``cores`` holds (keys, vid, label) with labels unique per key; each component ends with
-    its smallest label.  A pass takes the smallest label per block and then per vector; as
-    every vector sits in a block of its own value, labels only ever fall.  A job chains a few
-    passes, writes the state to the shared folder and stops once the sum of labels rests.
+    its smallest label.  Blocks with a single core vector join nothing and are left out.  A
+    pass takes the smallest label per block and then per vector, so labels only ever fall.
+    A job chains a few passes, writes the state to the shared folder and stops once the sum
+    of labels rests.
     """
-    links = materialise(
-        links.join(cores.select(*keys, "vid"), [*keys, "vid"]).select(*keys, "vid", "block"), "links"
-    )
-    state, total = cores.select(*keys, "vid", "label"), None
+    cores = materialise(cores.select(*keys, "vid", "label"), "cores")
+    inside = links.join(cores.select(*keys, "vid"), [*keys, "vid"]).select(*keys, "vid", "block")
+    shared = inside.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("vectors")).filter("vectors > 1")
+    links = materialise(inside.join(shared, [*keys, "block"], "left_semi"), "links")
+    state, total = cores, None
     for _ in range(max_jobs):
         for _ in range(passes):
             by_block = links.join(state, [*keys, "vid"]).groupBy(*keys, "block").agg(F.min("label").alias("label"))
@@ -223,5 +236,8 @@ def spread_labels(
         state = materialise(state, "labels")
         before, total = total, state.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if total == before:
-            return state
+            linked = state.withColumnRenamed("label", "low")
+            return cores.join(linked, [*keys, "vid"], "left").select(
+                *keys, "vid", F.coalesce("low", "label").alias("label")
+            )
     raise RuntimeError(f"components did not settle within {max_jobs * passes} passes")

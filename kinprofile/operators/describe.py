@@ -7,29 +7,34 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinprofile.operators.metrics import best_row
-from kinprofile.operators.quantiles import grouped_quantiles
-from kinprofile.session import materialise
+from kinprofile.operators.quantiles import counted_quantiles, grouped_quantiles
+from kinprofile.session import materialise, spread
 
 
-def _long(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
+def value_counts(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
+    """Rows per (group, variable, value), written once: the only pass over the rows that
+    medians, modes, shares and densities need."""
     doubles = df.select(group, *[F.col(c).cast("double").alias(c) for c in columns])
-    return doubles.unpivot([group], list(columns), "variable", "value").filter("value IS NOT NULL")
+    return materialise(
+        doubles.unpivot([group], list(columns), "variable", "value").filter("value IS NOT NULL")
+        .groupBy(group, "variable", "value").agg(F.count(F.lit(1)).alias("rows")),
+        "value-counts",
+    )
 
 
-def medians(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
+def medians(counts: DataFrame, group: str) -> DataFrame:
     """Exact interpolated median: (group, variable, value)."""
-    return grouped_quantiles(_long(df, group, columns), [group, "variable"], "value", (0.5,)).drop("prob")
+    weighted = counts.withColumnRenamed("rows", "weight")
+    return counted_quantiles(weighted, [group, "variable"], "value", (0.5,)).drop("prob")
 
 
-def modes(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
+def modes(counts: DataFrame, group: str) -> DataFrame:
     """Most frequent value (lowest on ties): (group, variable, value, share)."""
-    counts = _long(df, group, columns).groupBy(group, "variable", "value").agg(F.count(F.lit(1)).alias("rows"))
-    totals = counts.groupBy(group, "variable").agg(F.sum("rows").alias("total"))
-    top = best_row(counts, [group, "variable"], [F.col("rows").desc(), F.col("value")])
-    return top.join(totals, [group, "variable"]).select(
-        group, "variable", "value", (F.col("rows") / F.col("total")).alias("share")
+    top = counts.groupBy(group, "variable").agg(
+        F.min_by("value", F.struct(-F.col("rows"), F.col("value"))).alias("value"),
+        (F.max("rows") / F.sum("rows")).alias("share"),
     )
+    return top.select(group, "variable", "value", "share")
 
 
 def impute(df: DataFrame, group: str, continuous: Sequence[str], categorical: Sequence[str]) -> DataFrame:
@@ -38,11 +43,12 @@ def impute(df: DataFrame, group: str, continuous: Sequence[str], categorical: Se
     Only the small table of fill values meets the rows; it is written first so the join is
     planned from its size and the rows are not shuffled by group.
     """
+    counts = value_counts(df, group, [*continuous, *categorical])
     fills = []
     if continuous:
-        fills.append(medians(df, group, continuous))
+        fills.append(medians(counts.filter(F.col("variable").isin(*continuous)), group))
     if categorical:
-        fills.append(modes(df, group, categorical).drop("share"))
+        fills.append(modes(counts.filter(F.col("variable").isin(*categorical)), group).drop("share"))
     table = fills[0] if len(fills) == 1 else fills[0].unionByName(fills[1])
     names = [*continuous, *categorical]
     wide = materialise(table.groupBy(group).pivot("variable", names).agg(F.first("value")), "fills").select(
@@ -74,8 +80,9 @@ def group_summary(
     labels: Mapping[str, Mapping[int, str]], digits: int = 1,
 ) -> DataFrame:
     """One row per group: rounded medians and "label (nn%)" of the modes ("-" without values)."""
+    counts = value_counts(df, group, [*continuous, *categorical])
     middle = (
-        medians(df, group, continuous).withColumn("shown", F.round("value", digits).cast("string"))
+        medians(counts.filter(F.col("variable").isin(*continuous)), group).withColumn("shown", F.round("value", digits).cast("string"))
         .select(group, "variable", "shown")
     )
     named = F.lit(None).cast("string")
@@ -84,7 +91,7 @@ def group_summary(
         named = F.when(
             F.col("variable") == variable, F.element_at(F.create_map(*pairs), F.col("value").cast("int"))
         ).otherwise(named)
-    top = modes(df, group, categorical).select(
+    top = modes(counts.filter(F.col("variable").isin(*categorical)), group).select(
         group, "variable",
         F.format_string("%s (%d%%)", F.coalesce(named, F.col("value").cast("string")), F.round(F.col("share") * 100).cast("int")).alias("shown"),
     )
@@ -106,12 +113,9 @@ def category_shares(df: DataFrame, group: str, column: str, table: Mapping[int,
     )
 
 
-def pooled_percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+def pooled_percentiles(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
     """Exact percentiles over all groups together: (variable, prob, value)."""
-    pooled = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "variable", "value"
-    )
-    return grouped_quantiles(pooled, ["variable"], "value", probs)
+    return grouped_quantiles(counts, ["variable"], "value", probs, weight="rows")
 
 
 def density_curves(
@@ -124,14 +128,19 @@ def density_curves(
     Values are counted first, so repeated values cost once.
     """
     keys = [group, "variable"]
-    values = materialise(
-        _long(df, group, columns).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("rows")), "density-values"
+    values = value_counts(df, group, columns)
+    means = materialise(
+        values.groupBy(*keys).agg(
+            F.sum("rows").alias("n"), (F.sum(F.col("rows") * F.col("value")) / F.sum("rows")).alias("mean"),
+            F.min("value").alias("low"), F.max("value").alias("high"),
+        ).filter((F.col("n") > 1) & (F.col("high") - F.col("low") > 1e-8 + 1e-5 * F.abs("low"))),
+        "density-means",
+    )
+    off = F.col("value") - F.col("mean")
+    moments = values.join(means, keys).groupBy(*keys, "n").agg(
+        F.sqrt(F.sum(F.col("rows") * off * off) / F.greatest(F.col("n") - 1, F.lit(1))).alias("std")
     )
-    moments = _long(df, group, columns).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("low"), F.max("value").alias("high"),
-    ).filter((F.col("n") > 1) & (F.col("high") - F.col("low") > 1e-8 + 1e-5 * F.abs("low")))
-    ends = pooled_percentiles(df, columns, limits).groupBy("variable").agg(
+    ends = pooled_percentiles(values, limits).groupBy("variable").agg(
         F.min("value").alias("x_min"), F.max("value").alias("x_max")
     )
     flat = F.col("x_min") == F.col("x_max")
@@ -146,13 +155,14 @@ def density_curves(
     place = F.col("x_min") + (F.col("x_max") - F.col("x_min")) * F.col("i") / F.lit(float(points - 1))
     z = (F.col("x") - F.col("value")) / F.col("bandwidth")
     raw = (
-        values.join(frame, keys)
+        spread(values).join(frame, keys)
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .withColumn("x", place)
         .groupBy(*keys, "i", "x")
         .agg(F.sum(F.col("rows") * F.exp(-z * z / 2)).alias("raw"))
     )
-    peaks = materialise(raw, "density-raw")
-    return peaks.join(peaks.groupBy(*keys).agg(F.max("raw").alias("peak")), keys).select(
-        *keys, "i", "x", F.when(F.col("peak") > 0, F.col("raw") / F.nullif("peak", F.lit(0.0))).otherwise(F.col("raw")).alias("density")
+    curves = materialise(raw, "density-raw")
+    return curves.join(curves.groupBy(*keys).agg(F.max("raw").alias("peak")), keys).select(
+        *keys, "i", "x",
+        F.when(F.col("peak") > 0, F.col("raw") / F.nullif("peak", F.lit(0.0))).otherwise(F.col("raw")).alias("density"),
     )

@@ -195,7 +195,8 @@ def bootstrap_stability(
         files=scan_tasks(df, spec),
     )
     wanted = drawn.select(*units).distinct().join(chosen.select(group, "k"), group)
-    again, _ = kmeans(drawn, spec, K_RANGE, n_init, units=units, wanted=wanted)
+    ks = tuple(sorted(row["k"] for row in chosen.select("k").distinct().collect()))  # at most the swept K
+    again, _ = kmeans(drawn, spec, ks, n_init, units=units, wanted=wanted)
     base = members.join(chosen.select(group, "k"), [group, "k"]).select(
         group, "k", "vid", F.col("label").alias("label_a")
     )

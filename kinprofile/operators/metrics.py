@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kinprofile.operators.neighbours import extreme_distance
 from kinprofile.operators.vectors import level_sums_sql, one_hot_sql
-from kinprofile.session import materialise
+from kinprofile.session import materialise, spread
 from kinprofile.spec import FeatureSpec
 
 MIN_POINTS = 20
@@ -65,7 +65,7 @@ def silhouette(coded: DataFrame, counts: DataFrame, spec: FeatureSpec, keys: lis
     the cluster's level counts: cost is vectors x clusters, never vector pairs.
     """
     other = counts.select(*keys, F.col("label").alias("other"), "size", "level_rows")
-    sums = coded.join(other, keys).withColumn("apart", _column_mismatches(spec))
+    sums = spread(coded).join(other, keys).withColumn("apart", _column_mismatches(spec))
     own = F.col("other") == F.col("label")
     per_member = sums.groupBy(*keys, "vid", "label", "w").agg(
         F.max(F.when(own, F.col("size"))).alias("size"),

@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from kinprofile.session import materialise
 
 
-def _ranks(totals: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+def _ranks(totals: DataFrame, keys: list[str], probs: Sequence[float], carried: Sequence[str] = ()) -> DataFrame:
     """The two neighbouring ranks (from 0) and the mixing share of every probability."""
     spot = F.col("prob") * (F.col("n") - 1).cast("double")
     return (
         totals.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .select(*keys, "prob", F.floor(spot).alias("lo"), (spot - F.floor(spot)).alias("share"), "n")
+        .select(*keys, "prob", F.floor(spot).alias("lo"), (spot - F.floor(spot)).alias("share"), "n", *carried)
         .withColumn("hi", F.least(F.col("lo") + 1, F.col("n") - 1))
+        .drop("n")
     )
 
 
@@ -82,30 +83,35 @@ def _narrow(counts: DataFrame, keys: list[str], column: str, ranks: DataFrame, b
 
 
 def grouped_quantiles(
-    df: DataFrame, keys: list[str], column: str, probs: Sequence[float], window_rows: int = 1_000_000
+    df: DataFrame, keys: list[str], column: str, probs: Sequence[float], window_rows: int = 1_000_000,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact interpolated quantiles of ``column`` per ``keys``: (keys, prob, value).
 
-    Counts per value shuffle by (key, value), so a hot key spreads over all tasks.  Windows
-    run only over brackets of at most ``window_rows`` distinct values per (key, prob).
+    ``weight`` names a row count where the input is already counted. Counts per value
+    shuffle by (key, value), so a hot key spreads over all tasks.
     """
     counts = materialise(
         df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias(column))
-        .agg(F.count(F.lit(1)).alias("weight")),
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("weight")),
         "value-counts",
     )
+    return counted_quantiles(counts, keys, column, probs, window_rows)
+
+
+def counted_quantiles(
+    counts: DataFrame, keys: list[str], column: str, probs: Sequence[float], window_rows: int = 1_000_000
+) -> DataFrame:
+    """The same from a written table with one row per (keys, value) and its ``weight``.
+
+    Windows run only over brackets of at most ``window_rows`` distinct values per (key, prob).
+    """
     sizes = counts.groupBy(*keys).agg(
         F.sum("weight").alias("n"), F.count(F.lit(1)).alias("distinct_values"),
         F.min(column).alias("from"), F.max(column).alias("to"),
-    )
-    ranks = _ranks(sizes.select(*keys, "n"), keys, probs).join(sizes.drop("n"), keys)
-    ranks = materialise(
-        ranks.select(
-            *keys, "prob", "lo", "hi", "share", "from", "to", F.lit(0).cast("bigint").alias("skipped"),
-            "distinct_values",
-        ),
-        "ranks",
-    )
+    ).withColumn("skipped", F.lit(0).cast("bigint"))
+    carried = ["from", "to", "skipped", "distinct_values"]
+    ranks = materialise(_ranks(sizes, keys, probs, carried), "ranks")
     while not ranks.filter(F.col("distinct_values") > window_rows).isEmpty():
         ranks = materialise(_narrow(counts, keys, column, ranks.drop("distinct_values")), "ranks")
     narrowed = counts.join(ranks.select(*keys, "prob", "from", "to", "skipped"), keys).filter(

@@ -383,14 +383,11 @@ def mortality_descriptive(spark, sf):
 
 @register()
 def mortality_typology(spark, sf):
-    """The preset with K-Means and DBSCAN over all states: profiles of the adopted partitions."""
-    store = ResultStore(scratch_path(spark, "mortality"), "ESTADO")
-    algorithms = {
-        "KMeans": lambda v, s: typology.run_kmeans(v, s, ks=(2, 3, 4), n_init=1),
-        "DBSCAN": typology.run_dbscan,
-    }
-    _, agreed = study.cluster(mortality.homicides(death_records(spark, sf)), "row_id", store, algorithms)
-    return store.read(spark, "profile").join(agreed.select("ESTADO", "ari"), "ESTADO", "left")
+    """The preset with K-Means over all states: profiles of the adopted partitions, read from the store."""
+    store, spec = ResultStore(scratch_path(spark, "mortality"), "ESTADO"), mortality.mortality_spec("row_id")
+    rows = mortality.categorise(mortality.homicides(death_records(spark, sf)))
+    typology.run_typology(rows, spec, {"KMeans": lambda v, s: typology.run_kmeans(v, s, ks=(2, 3, 4), n_init=2)}, store)
+    return store.read(spark, "profile")
 
 
 @register("""SELECT event_type, CASE WHEN hour(ts) < 6 THEN 'madrugada' WHEN hour(ts) < 12 THEN 'manha' WHEN hour(ts) < 18 THEN 'tarde'
@@ -553,9 +550,8 @@ def kde_curve(spark, sf):
   vals AS (SELECT variable, quantile_cont(x, [0.005, 0.5, 0.7, 0.85, 0.9, 0.995]) AS q FROM stacked GROUP BY variable)
 SELECT variable, unnest([0.005, 0.5, 0.7, 0.85, 0.9, 0.995])::DOUBLE AS prob, round(unnest(q), 6) AS value FROM vals""")
 def pooled_percentiles(spark, sf):
-    found = describe.pooled_percentiles(
-        _event_measures(spark, sf), ["value", "hour"], (0.005, 0.5, 0.7, 0.85, 0.9, 0.995)
-    )
+    counts = describe.value_counts(_event_measures(spark, sf), "event_type", ["value", "hour"])
+    found = describe.pooled_percentiles(counts, (0.005, 0.5, 0.7, 0.85, 0.9, 0.995))
     return found.select("variable", "prob", r("value"))
 
 

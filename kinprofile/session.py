@@ -54,3 +54,9 @@ def small_side(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
     threshold while still being small.  Larger tables stay a shuffled join.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core, for small written tables ahead of heavy work per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -177,7 +177,8 @@ def bootstrap_weights(
     )
     draws = poisson_one(uniform(seed, F.col("replicate"), F.col(spec.row_id)))
     return (
-        rows.groupBy(group, "replicate", "vid", *spec.code_columns).agg(F.sum(draws).alias("w")).filter("w > 0")
+        rows.groupBy(group, "replicate", "vid").agg(F.sum(draws).alias("w")).filter("w > 0")
+        .withColumns(spec.codes_of_vector())
     )
 
 

@@ -24,11 +24,15 @@ def encode(df: DataFrame, spec: FeatureSpec) -> DataFrame:
 
 def distinct_vectors(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     """One row per (group, vector): codes, weight ``w``, smallest row id, group size ``n``
-    and ordinals scaled by the largest absolute level present in the group."""
+    and ordinals scaled by the largest absolute level present in the group.
+
+    The key of the big aggregation is just (group, vid); the codes are read back from it.
+    """
     collapsed = (
         encode(df, spec)
-        .groupBy(spec.group, "vid", *spec.code_columns)
+        .groupBy(spec.group, "vid")
         .agg(F.count(F.lit(1)).alias("w"), F.min(spec.row_id).alias("first_row"))
+        .withColumns(spec.codes_of_vector())
     )
     return with_scaling(collapsed, spec)
 

@@ -126,3 +126,15 @@ class FeatureSpec:
                 digit = F.array_position(F.array(*map(F.lit, f.codes)), F.col(f.code)) - 1
             vid = vid * len(f.codes) + digit
         return vid.cast("bigint")
+
+    def codes_of_vector(self) -> dict[str, Column]:
+        """The code columns read back from the digits of ``vid``."""
+        out, stride = {}, self.max_vectors
+        for f in self.features:
+            stride //= len(f.codes)
+            digit = F.expr(f"CAST((vid div {stride}) % {len(f.codes)} AS INT)")
+            if isinstance(f, Nominal):
+                out[f.code] = digit - 1
+            else:
+                out[f.code] = F.get(F.array(*map(F.lit, f.codes)), digit)
+        return out

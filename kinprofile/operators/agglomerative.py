@@ -172,7 +172,7 @@ def linkage_history(vectors: DataFrame, spec: FeatureSpec, linkages: tuple[str,
             "linkage-members",
         )
         changed = step.filter("height IS NOT NULL")
-        if changed.isEmpty():
+        if rounds and changed.isEmpty():
             break
         rounds.append(changed.select(*keys, "vid", "w", F.lit(len(rounds)).alias("round"), "before", "cluster", "height"))
         members = step.drop("into", "height", "before")

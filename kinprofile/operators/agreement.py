@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinprofile.operators.metrics import adjusted_rand
+from kinprofile.session import materialise
 
 MIN_POINTS = 50
 
@@ -31,9 +32,10 @@ def agreement(
         for a, b in combinations(algorithms, 2)
     ]
     keys = [group, "algorithm_a", "algorithm_b"]
-    cells = (
+    cells = materialise(
         wide.select(group, "w", F.explode(F.array(*pairs)).alias("p")).select(group, "w", "p.*")
-        .groupBy(*keys, "label_a", "label_b").agg(F.sum("w").alias("cnt"))
+        .groupBy(*keys, "label_a", "label_b").agg(F.sum("w").alias("cnt")),
+        "agreement-cells",
     )
     overview = cells.groupBy(*keys).agg(
         (F.sum((F.col("label_a").isNull() != F.col("label_b").isNull()).cast("int")) == 0).alias("aligned")

@@ -165,8 +165,11 @@ def model_report(
 def adjusted_rand(contingency: DataFrame, keys: list[str], a: str, b: str, weight: str = "cnt") -> DataFrame:
     """Adjusted Rand index from a contingency table: (keys, n_points, ari).
 
-    1 where both partitions agree on every pair (also when both are trivial).
+    1 where both partitions agree on every pair (also when both are trivial). The table is
+    written first: it is small, is read three times, and may come from full row tables.
     """
+    contingency = materialise(contingency.select(*keys, a, b, weight), "contingency")
+
     def pairs(c: Column) -> Column:
         x = c.cast("double")
         return x * (x - 1) / 2

@@ -689,6 +689,16 @@ def partition_sizes(spark, sf):
     return metrics.partition_sizes(members, KEYS, digits=PLACES)
 
 
+@register(f"""WITH {VECTORS}, {LABELS} SELECT a.r_name, a.label::INT AS label_a, b.label::INT AS label_b, sum(a.w)::BIGINT AS cnt FROM labels_of a
+  JOIN labels_of b ON a.r_name = b.r_name AND a.vid = b.vid WHERE a.algorithm = 'status' AND b.algorithm = 'segment' GROUP BY ALL""")
+def label_contingency(spark, sf):
+    _, members = _given(spark, sf)
+    members = materialise(members, "given")
+    return metrics.contingency(
+        members.filter("algorithm = 'status'"), members.filter("algorithm = 'segment'"), [GROUP], "vid"
+    )
+
+
 def _ari_sql(source: str, a: str, b: str) -> str:
     return f"""WITH cells AS (SELECT {a} AS a, {b} AS b, count(*)::DOUBLE AS c FROM {source} GROUP BY ALL),
   t AS (SELECT sum(c) AS n, sum(c * (c - 1) / 2) AS agree FROM cells),

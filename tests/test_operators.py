@@ -256,6 +256,19 @@ def test_constant_group_scales_to_zero(spark):
     assert row["w"] == 5 and row["o_scaled"] == 0.0 and row["o_scale"] == 1.0
 
 
+def test_group_with_a_single_vector(spark):
+    df = spark.createDataFrame([("u", i, "x", "p", "o1") for i in range(30)], "g string, id bigint, a string, b string, o string")
+    vectors = vector_table(df, SPEC)
+    history = agglomerative.linkage_history(vectors, SPEC, ("average",))
+    labels = agglomerative.flat_clusters(history, vectors, SPEC, (2,), ("average",))
+    assert [(r["label"], r["w"]) for r in labels.collect()] == [(0, 30)]
+    assert dbscan.dbscan_sweep(vectors, SPEC).isEmpty()  # every k-distance is 0, so there is no radius to try
+    # one cluster that never splits is no partition: the rows stay noise
+    assert [r["label"] for r in hdbscan.hdbscan_sweep(vectors, SPEC, (0.0,)).collect()] == [-1]
+    members, _ = kmeans.kmeans(vectors, SPEC, (2,), 1)
+    assert [(r["label"], r["w"]) for r in members.collect()] == [(0, 30)]
+
+
 def test_components_helper_is_consistent():
     near = np.array([[1, 1, 0], [1, 1, 0], [0, 0, 1]], bool)
     assert list(components(near, np.ones(3, bool))) == [0, 0, 1]

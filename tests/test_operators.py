@@ -134,6 +134,22 @@ def test_linkage_heights_match_greedy(spark, monkeypatch):
         mine = merges[merges["linkage"] == linkage].sort_values("height")
         assert np.allclose(mine["height"], _greedy(d, w, linkage), atol=0.2)
         assert len(mine) == len(part) - 1
+    # whatever the order of ties, every merge has the height its linkage defines
+    place, x = {v: i for i, v in enumerate(part["vid"])}, points(part)
+    steps = history.toPandas()
+    for linkage in ("ward", "average"):
+        sets = {v: [place[v]] for v in part["vid"]}
+        for (_, cluster), step in steps[steps["linkage"] == linkage].groupby(["round", "cluster"]):
+            a, b = (sets.pop(v) for v in sorted(step["before"].unique()))
+            wa, wb = w[a].sum(), w[b].sum()
+            if linkage == "ward":
+                gap = (w[a] @ x[a]) / wa - (w[b] @ x[b]) / wb
+                want = np.sqrt(2 * wa * wb / (wa + wb) * (gap @ gap))
+            else:
+                want = (w[a] @ d[np.ix_(a, b)] @ w[b]) / (wa * wb)
+            assert step["height"].iloc[0] == pytest.approx(want, abs=1e-8)
+            sets[cluster] = a + b
+        assert len(sets) == 1
     assert (merges.groupby("linkage")["rows"].max() == 500).all()
     labels = agglomerative.flat_clusters(history, vectors, SPEC, (2, 5)).toPandas()
     counts = labels.groupby(["linkage", "k"])["label"].nunique()

@@ -28,9 +28,14 @@ def sorted_curve(kdist: DataFrame, spec: FeatureSpec) -> DataFrame:
     return values.select(spec.group, "kdist", (last - F.col("w") + 1).alias("first_place"), last.alias("last_place"))
 
 
-def eps_candidates(kdist: DataFrame, spec: FeatureSpec, picks: int = CANDIDATES) -> DataFrame:
+def eps_candidates(kdist: DataFrame, counts: DataFrame, spec: FeatureSpec, picks: int = CANDIDATES) -> DataFrame:
     """Candidate radii per group: evenly spaced picks from the tail of the distinct
-    k-distances plus three percentiles, rounded to 4 places, distinct and positive."""
+    k-distances plus three percentiles, rounded to 4 places, distinct and positive.
+
+    Where every vector has k equal rows or more, all k-distances are 0.  Such a group takes the smallest positive
+    distances that occur (rounded up, so that a radius reaches its own distance), as many as ``picks``; a group
+    whose rows are all equal takes 1.  So every group has a candidate however many rows repeat.
+    """
     group = spec.group
     values = kdist.groupBy(group, "kdist").agg(F.sum("w").alias("w"))
     tail = max(picks * 4, 40)
@@ -49,12 +54,21 @@ def eps_candidates(kdist: DataFrame, spec: FeatureSpec, picks: int = CANDIDATES)
     context = weighted_quantiles(values, [group], "kdist", "w", CONTEXT_PERCENTILES).select(
         group, F.col("value").alias("kdist")
     )
-    return (
+    found = (
         tail_picks.unionByName(context)
         .select(group, F.round("kdist", 4).alias("eps"))
         .filter("eps > 0")
         .distinct()
     )
+    groups = values.select(group).distinct()
+    without = groups.join(found.select(group).distinct(), group, "left_anti")
+    occurring = counts.filter("dist > 0").join(without, group, "left_semi").select(
+        group, (F.ceil(F.col("dist") * 10_000) / 10_000).alias("eps")
+    ).distinct()
+    upward = Window.partitionBy(group).orderBy("eps")
+    smallest = occurring.withColumn("place", F.row_number().over(upward)).filter(F.col("place") <= picks).drop("place")
+    constant = without.join(smallest.select(group).distinct(), group, "left_anti").withColumn("eps", F.lit(1.0))
+    return found.unionByName(smallest).unionByName(constant)
 
 
 def knee(kdist: DataFrame, spec: FeatureSpec) -> DataFrame:
@@ -132,5 +146,5 @@ def dbscan(
 def dbscan_sweep(vectors: DataFrame, spec: FeatureSpec, min_samples: int = MIN_SAMPLES) -> DataFrame:
     """Labels for all candidate radii of all groups."""
     counts = materialise(neighbour_counts(vectors, spec), "counts")
-    radii = eps_candidates(k_distances(counts, spec, min_samples), spec)
+    radii = eps_candidates(materialise(k_distances(counts, spec, min_samples), "kdist"), counts, spec)
     return dbscan(vectors, counts, radii, spec, min_samples)

@@ -24,7 +24,6 @@ K_RANGE = tuple(range(2, 11))
 N_INIT = 10
 MAX_ITER = 300
 SEED = 42
-BOOTSTRAP_ROWS = 6000
 
 
 def _centre_sql(spec: FeatureSpec, at: str) -> str:
@@ -163,18 +162,15 @@ def kmeans_sweep(
 
 
 def bootstrap_weights(
-    df: DataFrame, spec: FeatureSpec, replicates: int = 20, seed: int = SEED, below: int = BOOTSTRAP_ROWS
+    df: DataFrame, spec: FeatureSpec, replicates: int = 20, seed: int = SEED
 ) -> DataFrame:
     """Resampled weight of every distinct vector: (group, replicate, codes, vid, w).
 
-    Only groups with fewer than ``below`` rows take part, as the check is meant for small
-    groups; each of their rows gets a Poisson(1) count per replicate.
+    Every row of every group gets a Poisson(1) count per replicate; the counts are summed per vector before
+    anything is shuffled.
     """
     group = spec.group
-    small = materialise(df.groupBy(group).count().filter(F.col("count") < below).select(group), "small-groups")
-    rows = encode(df, spec).join(small, group, "left_semi").withColumn(
-        "replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))
-    )
+    rows = encode(df, spec).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     draws = poisson_one(uniform(seed, F.col("replicate"), F.col(spec.row_id)))
     return (
         rows.groupBy(group, "replicate", "vid").agg(F.sum(draws).alias("w")).filter("w > 0")
@@ -184,7 +180,7 @@ def bootstrap_weights(
 
 def bootstrap_stability(
     df: DataFrame, spec: FeatureSpec, members: DataFrame, chosen: DataFrame, replicates: int = 20,
-    n_init: int = 5, below: int = BOOTSTRAP_ROWS,
+    n_init: int = 5,
 ) -> DataFrame:
     """ARI of each resampled clustering against the adopted one: (group, replicate, k, ari).
 
@@ -192,7 +188,7 @@ def bootstrap_stability(
     """
     group, units = spec.group, [spec.group, "replicate"]
     drawn = materialise(
-        with_scaling(bootstrap_weights(df, spec, replicates, below=below), spec, units), "bootstrap",
+        with_scaling(bootstrap_weights(df, spec, replicates), spec, units), "bootstrap",
         files=scan_tasks(df, spec),
     )
     wanted = drawn.select(*units).distinct().join(chosen.select(group, "k"), group)

@@ -214,30 +214,38 @@ def blocks_within(vectors: DataFrame, radii: DataFrame, spec: FeatureSpec) -> Da
 
 
 def spread_labels(
-    cores: DataFrame, links: DataFrame, keys: list[str], max_jobs: int = 500, passes: int = 3
+    cores: DataFrame, links: DataFrame, keys: list[str], passes: int = 2
 ) -> DataFrame:
     """Connected components of vectors that share blocks: (keys, vid, label).
 
     ``cores`` holds (keys, vid, label) with labels unique per key; each component ends with
     its smallest label.  Blocks with a single core vector join nothing and are left out.  A
     pass takes the smallest label per block and then per vector, so labels only ever fall.
-    A job chains a few passes, writes the state to the shared folder and stops once the sum
-    of labels rests.
+    A label is the first row of some core vector, so a pass ends with a shortcut: every vector takes
+    over the label that the vector behind its label has by now.  Shortcuts double the reach of a label each
+    time, so the number of jobs follows the logarithm of a component's diameter.  A job chains a few passes, writes
+    the state to the shared folder and the loop ends once the sum of the labels' hashes rests (ids may be text).
     """
     cores = materialise(cores.select(*keys, "vid", "label"), "cores")
     inside = links.join(cores.select(*keys, "vid"), [*keys, "vid"]).select(*keys, "vid", "block")
     shared = inside.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("vectors")).filter("vectors > 1")
     links = materialise(inside.join(shared, [*keys, "block"], "left_semi"), "links")
+    owner = cores.select(*keys, "vid", F.col("label").alias("own"))
     state, total = cores, None
-    for _ in range(max_jobs):
+    while True:
         for _ in range(passes):
             by_block = links.join(state, [*keys, "vid"]).groupBy(*keys, "block").agg(F.min("label").alias("label"))
             state = links.join(by_block, [*keys, "block"]).groupBy(*keys, "vid").agg(F.min("label").alias("label"))
         state = materialise(state, "labels")
-        before, total = total, state.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        for _ in range(2):
+            behind = state.join(owner, [*keys, "vid"]).select(*keys, F.col("own").alias("label"), F.col("label").alias("further"))
+            state = state.join(behind, [*keys, "label"], "left").select(
+                *keys, "vid", F.least("label", F.coalesce("further", "label")).alias("label")
+            )
+        state = materialise(state, "labels")
+        before, total = total, state.agg(F.sum(F.xxhash64("label").cast("decimal(38,0)"))).first()[0]
         if total == before:
             linked = state.withColumnRenamed("label", "low")
             return cores.join(linked, [*keys, "vid"], "left").select(
                 *keys, "vid", F.coalesce("low", "label").alias("label")
             )
-    raise RuntimeError(f"components did not settle within {max_jobs * passes} passes")

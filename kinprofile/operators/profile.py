@@ -57,9 +57,9 @@ def cluster_profile(
 
 
 def wide_profile(profile: DataFrame, spec: FeatureSpec, keys: list[str]) -> DataFrame:
-    """One row per cluster: "value (nn%)" and lift per variable, noise named "Ruido"."""
+    """One row per cluster: "value (nn%)" and lift per variable, noise named "Ruído"."""
     named = profile.withColumn(
-        "cluster", F.when(F.col("label") < 0, "Ruido").otherwise(F.concat(F.lit("Cluster "), F.col("label")))
+        "cluster", F.when(F.col("label") < 0, "Ruído").otherwise(F.concat(F.lit("Cluster "), F.col("label")))
     ).withColumn("shown", F.format_string("%s (%.0f%%)", "top_value", "top_pct"))
     return (
         named.groupBy(*keys, "label", "cluster", "n", "pct")

@@ -39,23 +39,21 @@ def sample_rows(df: DataFrame, group: str, row_id: str, size: int, seed: int = S
 
 
 def sample_positions(sizes: DataFrame, keys: list[str], seed: int = SEED) -> DataFrame:
-    """Distinct uniform row positions 1..n per key: (keys, position).
+    """``m`` distinct uniform row positions out of 1..n per key: (keys, position).
 
-    ``sizes`` is (keys, n, m): m positions out of n.  Small n ranks all positions by hash; large n
-    draws 4m + 64 of them and keeps the first m distinct ones.  No row is read.
+    ``sizes`` is (keys, n, m).  Floyd's draw, one rule for every size and always exact: step i of m draws a position
+    up to n - m + i and takes n - m + i itself if the drawn one is taken already.  A key's m steps run inside its row;
+    no row of the data is read.
     """
     names = [F.col(k) for k in keys]
-    few = F.col("n") < 8 * F.col("m")
-    drawn = sizes.withColumn(
-        "i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.when(few, F.col("n")).otherwise(4 * F.col("m") + 64)))
-    ).withColumn("u", uniform(seed, "row", *names, F.col("i")))
-    placed = drawn.select(
-        *keys, "m",
-        F.when(few, F.col("i")).otherwise(F.floor(F.col("u") * F.col("n")) + 1).alias("position"),
-        F.when(few, F.col("u")).otherwise(F.col("i").cast("double")).alias("turn"),
-    )
-    once = placed.groupBy(*keys, "m", "position").agg(F.min("turn").alias("turn"))
-    order = Window.partitionBy(*keys).orderBy("turn", "position")
-    return once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.col("m")).select(
-        *keys, "position"
+    drawn = uniform(seed, "row", *names, F.col("i"))
+    steps = sizes.withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m").cast("bigint"))))
+    top = F.col("n") - F.col("m") + F.col("i")
+    steps = steps.withColumns({"top": top, "at": F.floor(drawn * top).cast("bigint") + 1})
+    in_order = F.array_sort(F.collect_list(F.struct("i", "top", "at")))
+    packed = steps.groupBy(*keys).agg(in_order.alias("steps"))  # m entries: the sample's size, not the data's
+    taken = F.aggregate(
+        "steps", F.array().cast("array<bigint>"),
+        lambda have, s: F.array_append(have, F.when(F.array_contains(have, s["at"]), s["top"]).otherwise(s["at"])),
     )
+    return packed.select(*keys, F.explode(taken).alias("position"))

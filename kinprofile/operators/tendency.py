@@ -14,21 +14,33 @@ from kinprofile.spec import FeatureSpec
 
 SAMPLE = 150
 RUNS = 10
+STRIPS = 256
 
 
 def _sampled_vectors(vectors: DataFrame, positions: DataFrame, group: str) -> DataFrame:
     """Rows drawn from every vector: (group, run, vid, taken).
 
-    Positions and cumulative weights are laid on one axis; each position belongs to the
-    first vector whose cumulative weight reaches it.
+    A vector covers the positions between the weight before it and the weight up to it.  The running weight comes from
+    the totals of vector ranges, then from a window inside each range; vectors and positions meet in position ranges,
+    at most ``STRIPS`` a group, so no window or join has the group alone as its key.
     """
-    upto = F.sum("w").over(Window.partitionBy(group).orderBy("vid"))
-    axis = vectors.select(group, upto.alias("at"), "vid", F.lit(None).cast("int").alias("run"))
-    axis = axis.unionByName(positions.select(group, F.col("position").alias("at"), F.lit(None).cast("bigint").alias("vid"), "run"))
-    onward = Window.partitionBy(group).orderBy("at").rangeBetween(0, Window.unboundedFollowing)
+    spread = F.floor(F.col("vid") / F.greatest(F.lit(1), F.ceil((F.col("high") + 1) / STRIPS))).alias("strip")
+    top = vectors.groupBy(group).agg(F.max("vid").alias("high"), F.sum("w").alias("rows"))
+    placed = vectors.select(group, "vid", "w").join(top, group).select(group, "vid", "w", "rows", spread)
+    totals = placed.groupBy(group, "strip").agg(F.sum("w").alias("total"))
+    before = totals.join(
+        totals.select(group, F.col("strip").alias("earlier"), F.col("total").alias("part")), group, "left"
+    ).groupBy(group, "strip").agg(F.coalesce(F.sum(F.when(F.col("earlier") < F.col("strip"), F.col("part"))), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(group, "strip").orderBy("vid")
+    upto = placed.join(before, [group, "strip"]).withColumn("upto", F.col("before") + F.sum("w").over(inside))
+    width = F.greatest(F.lit(1), F.ceil(F.col("rows") / STRIPS)).cast("bigint")
+    covers = upto.select(
+        group, "vid", (F.col("upto") - F.col("w")).alias("low"), "upto", width.alias("width"),
+    ).withColumn("strip", F.explode(F.expr("sequence((low + 1) div width, upto div width)")))
+    asked = positions.join(top.select(group, width.alias("width")), group).withColumn("strip", F.expr("position div width"))
+    met = asked.select(group, "run", "position", "strip").join(covers, [group, "strip"])
     return (
-        axis.withColumn("vid", F.first("vid", ignorenulls=True).over(onward)).filter("run IS NOT NULL")
-        .groupBy(group, "run", "vid").agg(F.count(F.lit(1)).alias("taken"))
+        met.filter("position > low AND position <= upto").groupBy(group, "run", "vid").agg(F.count(F.lit(1)).alias("taken"))
     )
 
 
@@ -92,7 +104,7 @@ def hopkins_summary(runs: DataFrame, group: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, group: str, value: str, bins: int = 8) -> DataFrame:
-    """Equal-width bins between each group's extremes: (group, bin 1..bins, cnt).
+    """Equal-width bins between each group's extremes: (group, bin 1..bins, cnt), empty bins with 0.
 
     The last bin includes its upper edge; a constant group falls into the middle bin, as
     its range is widened by one half on both sides.
@@ -104,7 +116,9 @@ def histogram(df: DataFrame, group: str, value: str, bins: int = 8) -> DataFrame
         F.when(flat, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"),
     )
     place = F.floor((F.col(value) - F.col("low")) / (F.col("high") - F.col("low")) * bins) + 1
-    return (
+    filled = (
         df.join(ends, group).withColumn("bin", F.least(place, F.lit(bins)).cast("int"))
         .groupBy(group, "bin").agg(F.count(F.lit(1)).alias("cnt"))
     )
+    grid = ends.select(group, F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    return grid.join(filled, [group, "bin"], "left").select(group, "bin", F.coalesce("cnt", F.lit(0)).alias("cnt"))

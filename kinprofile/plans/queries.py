@@ -113,6 +113,18 @@ def csv_roundtrip(spark, sf):
     return tables.read_delimited(spark, path, "c_custkey bigint, note string, c_acctbal double")
 
 
+@register(r"""SELECT '"' || c_custkey || '";"' || c_name || '; ""' || c_mktsegment || '"" \\ end"' AS line FROM customer""")
+def csv_lines(spark, sf):
+    """The raw lines of the delimited sink: every field quoted, quotes and backslashes doubled."""
+    path = scratch_path(spark, "delimited")
+    rows = table(spark, sf, "customer").select(
+        "c_custkey", F.concat("c_name", F.lit('; "'), "c_mktsegment", F.lit('" \\ end')).alias("note")
+    )
+    tables.write_delimited(rows, path)
+    header = '"c_custkey";"note"'  # every file has it
+    return spark.read.text(path).select(F.col("value").alias("line")).where(F.col("line") != header)
+
+
 @register(f"WITH {ORD} SELECT r_name, count(*)::BIGINT AS n, round(avg(o_totalprice), 2) AS mean_price FROM ord GROUP BY r_name")
 def report_roundtrip(spark, sf):
     path = scratch_path(spark, "report")
@@ -218,9 +230,20 @@ def result_store_overwrite(spark, sf):
     store.write("labels", "first", by_status)
     store.write("labels", "second", by_status.filter(F.col(GROUP).isin("ASIA", "EUROPE")))
     store.write("labels", "first", by_priority.filter(F.col(GROUP) == "ASIA"))
-    return store.read(spark, "labels").select(
-        F.col("algorithm").cast("string").alias("algorithm"), F.col(GROUP).cast("string").alias(GROUP), "label", "w"
-    )
+    return store.read(spark, "labels").select("algorithm", GROUP, "label", "w")
+
+
+@register("""SELECT 'counts' AS algorithm, code, count(*)::BIGINT AS n FROM (
+  SELECT CASE n_regionkey WHEN 0 THEN '01' WHEN 1 THEN '1' WHEN 2 THEN '1e3' WHEN 3 THEN '2020-01-01' ELSE 'x/y=z %' END AS code
+  FROM customer JOIN nation ON c_nationkey = n_nationkey) GROUP BY code""")
+def result_store_codes(spark, sf):
+    """Groups that look like numbers or dates come back as the text they were."""
+    codes = F.element_at(F.array(*map(F.lit, ["01", "1", "1e3", "2020-01-01", "x/y=z %"])), F.col("n_regionkey") + 1)
+    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    store = ResultStore(scratch_path(spark, "store"), "code")
+    for _ in range(2):  # the second run replaces the first
+        store.write("chosen", "counts", rows.select(codes.alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")))
+    return store.read(spark, "chosen").select("algorithm", "code", "n")
 
 
 @register(f"""WITH {VECTORS} SELECT r_name, count(*)::BIGINT AS vectors, sum(w)::BIGINT AS total_rows, max(w)::BIGINT AS heaviest
@@ -567,11 +590,11 @@ def group_median(spark, sf):
 
 HOPKINS = f"""{FINE_VECTORS}, units AS (SELECT r_name, any_value(n) AS n, least(150, greatest(10, any_value(n) // 3))::BIGINT AS m FROM v GROUP BY r_name),
   runs AS (SELECT units.*, run FROM units CROSS JOIN generate_series(0, 9) t(run) WHERE n > m),
-  drawn AS (SELECT r_name, run, n, m, i, {sql_uniform("'42'", "'row'", "r_name", "run", "i")} AS u, n < 8 * m AS few
-    FROM runs, unnest(generate_series(1, CASE WHEN n < 8 * m THEN n ELSE 4 * m + 64 END)) t(i)),
-  placed AS (SELECT r_name, run, m, CASE WHEN few THEN i ELSE floor(u * n)::BIGINT + 1 END AS position, CASE WHEN few THEN u ELSE i::DOUBLE END AS turn FROM drawn),
-  once AS (SELECT r_name, run, m, position, min(turn) AS turn FROM placed GROUP BY ALL),
-  picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r_name, run ORDER BY turn, position) AS place FROM once) WHERE place <= m),
+  floyd AS (SELECT r_name, run, n, m, 0::BIGINT AS i, []::BIGINT[] AS have FROM runs
+    UNION ALL SELECT r_name, run, n, m, i, list_append(have, CASE WHEN list_contains(have, spot) THEN n - m + i ELSE spot END) FROM (
+      SELECT r_name, run, n, m, have, i, floor({sql_uniform("'42'", "'row'", "r_name", "run", "i")} * (n - m + i))::BIGINT + 1 AS spot
+      FROM (SELECT * REPLACE (i + 1 AS i) FROM floyd WHERE i < m))),
+  picked AS (SELECT r_name, run, unnest(have) AS position FROM floyd WHERE i = m),
   axis AS (SELECT v.*, sum(w) OVER (PARTITION BY r_name ORDER BY vid) AS upto FROM v),
   taken AS (SELECT p.r_name, run, vid, count(*) AS taken FROM picked p JOIN axis a ON p.r_name = a.r_name AND position > upto - w AND position <= upto GROUP BY ALL),
   rest AS (SELECT v.r_name, r.run, v.vid, pri, sta, seg, pb, top, w, coalesce(taken, 0) AS taken FROM v JOIN runs r USING (r_name)
@@ -591,13 +614,13 @@ HOPKINS = f"""{FINE_VECTORS}, units AS (SELECT r_name, any_value(n) AS n, least(
   h AS (SELECT r_name, run::INT AS run, random / (random + real) AS h FROM random JOIN real USING (r_name, run))"""
 
 
-@register(f"WITH {HOPKINS} SELECT r_name, run, round(h, 6) AS h FROM h")
+@register(f"WITH RECURSIVE {HOPKINS} SELECT r_name, run, round(h, 6) AS h FROM h")
 def hopkins(spark, sf):
     vectors = vector_table(fine_order_profiles(spark, sf), FINE_ORDERS)
     return tendency.hopkins_runs(vectors, FINE_ORDERS).select(GROUP, "run", r("h"))
 
 
-@register(f"""WITH {HOPKINS} SELECT r_name, round(avg(h), 6) AS mean_h, round(stddev_pop(h), 6) AS std_h,
+@register(f"""WITH RECURSIVE {HOPKINS} SELECT r_name, round(avg(h), 6) AS mean_h, round(stddev_pop(h), 6) AS std_h,
   CASE WHEN avg(h) >= 0.75 THEN 'strong' WHEN avg(h) >= 0.6 THEN 'moderate' WHEN avg(h) >= 0.5 THEN 'weak' ELSE 'random' END AS reading
 FROM h GROUP BY r_name""")
 def hopkins_summary(spark, sf):
@@ -606,10 +629,11 @@ def hopkins_summary(spark, sf):
     return summary.select(GROUP, r("mean_h"), r("std_h"), "reading")
 
 
-@register(f"""WITH {HOPKINS}, rounded AS (SELECT r_name, round(h, 9) AS h FROM h),
+@register(f"""WITH RECURSIVE {HOPKINS}, rounded AS (SELECT r_name, round(h, 9) AS h FROM h),
   ends AS (SELECT r_name, min(h) - CASE WHEN min(h) = max(h) THEN 0.5 ELSE 0 END AS lo,
     max(h) + CASE WHEN min(h) = max(h) THEN 0.5 ELSE 0 END AS hi FROM rounded GROUP BY r_name)
-SELECT r_name, least(floor((h - lo) / (hi - lo) * 8) + 1, 8)::INT AS bin, count(*)::BIGINT AS cnt FROM rounded JOIN ends USING (r_name) GROUP BY ALL""")
+SELECT ends.r_name, b::INT AS bin, count(h)::BIGINT AS cnt FROM ends CROSS JOIN generate_series(1, 8) t(b)
+LEFT JOIN rounded ON rounded.r_name = ends.r_name AND least(floor((h - lo) / (hi - lo) * 8) + 1, 8) = b GROUP BY ALL""")
 def hopkins_histogram(spark, sf):
     vectors = vector_table(fine_order_profiles(spark, sf), FINE_ORDERS)
     runs = materialise(
@@ -623,18 +647,18 @@ def hopkins_histogram(spark, sf):
 
 KEYS = [GROUP, "algorithm"]
 
-SILHOUETTE = f"""{PAIRS}, {LABELS}, sizes AS (SELECT r_name, algorithm, label, sum(w) AS size FROM labels_of WHERE label >= 0 GROUP BY ALL),
-  reach AS (SELECT a.r_name, a.algorithm, a.vid, a.label, a.w, b.label AS other, sum(d.apart * d.w_b) AS apart
+SILHOUETTE_OF = """sizes AS (SELECT r_name, algorithm, label, sum(w) AS size FROM labels_of WHERE label >= 0 GROUP BY ALL),
+  toward AS (SELECT a.r_name, a.algorithm, a.vid, a.label, a.w, b.label AS other, sum(d.apart * d.w_b) AS apart
     FROM labels_of a JOIN d ON d.r_name = a.r_name AND d.vid = a.vid
     JOIN labels_of b ON b.r_name = a.r_name AND b.vid = d.vid_b AND b.algorithm = a.algorithm
     WHERE a.label >= 0 AND b.label >= 0 GROUP BY ALL),
   ab AS (SELECT r_name, algorithm, vid, label, w, max(CASE WHEN other = label THEN size END) AS size,
       max(CASE WHEN other = label THEN apart END) AS inside, min(CASE WHEN other <> label THEN apart / size END) AS b
-    FROM reach JOIN (SELECT r_name, algorithm, label AS other, size FROM sizes) USING (r_name, algorithm, other) GROUP BY ALL),
+    FROM toward JOIN (SELECT r_name, algorithm, label AS other, size FROM sizes) USING (r_name, algorithm, other) GROUP BY ALL),
   silhouette AS (SELECT r_name, algorithm, sum(w * CASE WHEN size = 1 OR greatest(inside / greatest(size - 1, 1), b) = 0 THEN 0
       ELSE (b - inside / (size - 1)) / greatest(inside / (size - 1), b) END) / sum(w) AS silhouette FROM ab GROUP BY ALL)"""
 
-CENTRES = f"""{VECTORS}, {LABELS}, {FEATURES},
+CENTRES_OF = f"""{FEATURES},
   spread AS (SELECT r_name, algorithm, label, sum(w * dist) / sum(w) AS s FROM (
       SELECT l.r_name, l.algorithm, l.label, l.vid, any_value(l.w) AS w, sqrt(sum((xj - c) * (xj - c))) AS dist
       FROM long l JOIN centre USING (r_name, algorithm, label, j) GROUP BY l.r_name, l.algorithm, l.label, l.vid) GROUP BY ALL),
@@ -642,6 +666,30 @@ CENTRES = f"""{VECTORS}, {LABELS}, {FEATURES},
     FROM centre a JOIN centre b ON a.r_name = b.r_name AND a.algorithm = b.algorithm AND a.j = b.j AND a.label <> b.label GROUP BY ALL)"""
 
 
+SILHOUETTE = f"{PAIRS}, {LABELS}, {SILHOUETTE_OF}"
+CENTRES = f"{VECTORS}, {LABELS}, {CENTRES_OF}"
+BOULDIN_OF = """bouldin AS (SELECT r_name, algorithm, avg(worst) AS davies_bouldin, min(nearest) AS min_gap FROM (
+    SELECT g.r_name, g.algorithm, g.label, max(CASE WHEN gap > 0 THEN (a.s + b.s) / gap ELSE 0 END) AS worst, min(gap) AS nearest FROM gap g
+    JOIN spread a ON a.r_name = g.r_name AND a.algorithm = g.algorithm AND a.label = g.label
+    JOIN spread b ON b.r_name = g.r_name AND b.algorithm = g.algorithm AND b.label = g.other GROUP BY ALL) GROUP BY ALL)"""
+WIDE_OF = """wide AS (SELECT a.r_name, a.algorithm, max(d.dist) AS diameter FROM labels_of a
+    JOIN d ON d.r_name = a.r_name AND d.vid = a.vid
+    JOIN labels_of b ON b.r_name = a.r_name AND b.vid = d.vid_b AND b.algorithm = a.algorithm AND b.label = a.label
+    WHERE a.label >= 0 GROUP BY ALL)"""
+SIZES_OF = """shares AS (SELECT r_name, algorithm, sum((label >= 0)::INT)::BIGINT AS n_clusters,
+    sum(CASE WHEN label < 0 THEN size ELSE 0 END)::BIGINT AS n_noise,
+    sum(CASE WHEN label < 0 THEN size ELSE 0 END) * 100.0::DOUBLE / sum(size) AS pct_noise,
+    min(CASE WHEN label >= 0 THEN size END) * 100.0::DOUBLE / sum(size) AS min_cluster_pct,
+    sum((label >= 0)::INT) >= 2 AND sum(CASE WHEN label >= 0 THEN size END) >= 20 AS scored
+  FROM (SELECT r_name, algorithm, label, sum(w) AS size FROM labels_of GROUP BY ALL) GROUP BY ALL)"""
+#: The sweep table of any labels_of: sizes, and the three quality numbers where there are two clusters and 20 rows.
+REPORT_OF = f"""{SILHOUETTE_OF}, {CENTRES_OF}, {BOULDIN_OF}, {WIDE_OF}, {SIZES_OF},
+  report AS (SELECT r_name, algorithm, n_clusters, n_noise, round(pct_noise, 2) AS pct_noise, round(min_cluster_pct, 2) AS min_cluster_pct,
+    CASE WHEN scored THEN round(silhouette, 4) END AS silhouette, CASE WHEN scored THEN round(davies_bouldin, 4) END AS davies_bouldin,
+    CASE WHEN scored THEN round(CASE WHEN diameter > 0 THEN min_gap / diameter ELSE 0 END, 4) END AS dunn
+  FROM shares LEFT JOIN silhouette USING (r_name, algorithm) LEFT JOIN bouldin USING (r_name, algorithm) LEFT JOIN wide USING (r_name, algorithm))"""
+
+
 def _given(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     vectors = vector_table(order_profiles(spark, sf), ORDERS)
     return vectors, given_members(vectors)
@@ -741,7 +789,7 @@ def profile_with_lift(spark, sf):
     return cluster_profile(members, vectors, ORDERS, KEYS, digits=(PLACES, PLACES, PLACES))
 
 
-@register(f"""WITH {PROFILE}, named AS (SELECT r_name, algorithm, label::INT AS label, CASE WHEN label < 0 THEN 'Ruido' ELSE 'Cluster ' || label END AS cluster,
+@register(f"""WITH {PROFILE}, named AS (SELECT r_name, algorithm, label::INT AS label, CASE WHEN label < 0 THEN 'Ruído' ELSE 'Cluster ' || label END AS cluster,
     n::BIGINT AS n, round(n * 100 / total, 6) AS pct, variable, value, round((c / n) / (vt / total), 6) AS lift FROM k WHERE place = 1)
 SELECT r_name, algorithm, label, cluster, n, pct, max(CASE WHEN variable = 'o_orderstatus' THEN value END) AS status_top,
   max(CASE WHEN variable = 'o_orderstatus' THEN lift END) AS status_lift, max(CASE WHEN variable = 'c_mktsegment' THEN value END) AS segment_top,
@@ -893,17 +941,25 @@ def k_distance(spark, sf):
     return dbscan.k_distances(neighbour_counts(vectors, ORDERS), ORDERS).withColumn("kdist", r("kdist"))
 
 
-@register(f"""WITH {KDIST}, uniq AS (SELECT r_name, kdist, row_number() OVER (PARTITION BY r_name ORDER BY kdist DESC) AS top,
+CANDIDATES = f"""{KDIST}, uniq AS (SELECT r_name, kdist, row_number() OVER (PARTITION BY r_name ORDER BY kdist DESC) AS top,
     least(count(*) OVER (PARTITION BY r_name), 72) AS size FROM kd GROUP BY r_name, kdist),
   picks AS (SELECT DISTINCT r_name, size, floor(i::DOUBLE * (size - 1) / 17)::BIGINT AS pos FROM (SELECT DISTINCT r_name, size FROM uniq) CROSS JOIN generate_series(0, 17) t(i)),
   tail AS (SELECT u.r_name, kdist FROM uniq u JOIN picks p ON p.r_name = u.r_name AND u.top <= 72 AND p.pos = u.size - u.top),
   everyrow AS (SELECT r_name, kdist FROM kd, unnest(generate_series(1, w)) t(i)),
-  context AS (SELECT r_name, unnest(quantile_cont(kdist, [0.5, 0.7, 0.85])) AS kdist FROM everyrow GROUP BY r_name)
-SELECT DISTINCT r_name, round(kdist, 4) AS eps FROM (SELECT * FROM tail UNION ALL SELECT * FROM context) WHERE round(kdist, 4) > 0""")
+  context AS (SELECT r_name, unnest(quantile_cont(kdist, [0.5, 0.7, 0.85])) AS kdist FROM everyrow GROUP BY r_name),
+  candidates AS (SELECT DISTINCT r_name, round(kdist, 4) AS eps FROM (SELECT * FROM tail UNION ALL SELECT * FROM context) WHERE round(kdist, 4) > 0),
+  occurring AS (SELECT DISTINCT r_name, ceil(dist * 10000) / 10000 AS eps FROM hist WHERE dist > 0 AND r_name NOT IN (SELECT r_name FROM candidates)),
+  smallest AS (SELECT r_name, eps FROM (SELECT *, row_number() OVER (PARTITION BY r_name ORDER BY eps) AS place FROM occurring) WHERE place <= 18),
+  allradii AS (SELECT * FROM candidates UNION ALL SELECT * FROM smallest
+    UNION ALL SELECT DISTINCT r_name, 1.0::DOUBLE FROM v WHERE r_name NOT IN (SELECT r_name FROM candidates UNION ALL SELECT r_name FROM smallest))"""
+
+
+@register(f"WITH {CANDIDATES} SELECT * FROM allradii")
 def eps_candidates(spark, sf):
     vectors = vector_table(order_profiles(spark, sf), ORDERS)
-    kdist = materialise(dbscan.k_distances(neighbour_counts(vectors, ORDERS), ORDERS), "kdist")
-    return dbscan.eps_candidates(kdist, ORDERS)
+    counts = materialise(neighbour_counts(vectors, ORDERS), "counts")
+    kdist = materialise(dbscan.k_distances(counts, ORDERS), "kdist")
+    return dbscan.eps_candidates(kdist, counts, ORDERS)
 
 
 @register(f"""WITH {KDIST}, curve AS (SELECT r_name, kdist, row_number() OVER (PARTITION BY r_name ORDER BY kdist) AS pos FROM kd, unnest(generate_series(1, w)) t(i)),
@@ -929,18 +985,21 @@ RADII = [0.25, 0.5, 1.0]
 CORE_ROWS = 25
 
 
-@register(f"""WITH RECURSIVE {PAIRS}, radii AS (SELECT unnest({RADII})::DOUBLE AS eps),
-  deg AS (SELECT r_name, eps, vid, w, first_row, sum(w_b) AS degree FROM d JOIN radii ON dist <= eps GROUP BY ALL),
-  edges AS (SELECT d.r_name, a.eps, d.vid, d.vid_b FROM d JOIN deg a ON a.r_name = d.r_name AND a.vid = d.vid AND d.dist <= a.eps AND a.degree >= {CORE_ROWS}
-    JOIN deg b ON b.r_name = d.r_name AND b.vid = d.vid_b AND b.eps = a.eps AND b.degree >= {CORE_ROWS}),
-  reach AS (SELECT r_name, eps, vid, first_row AS label FROM deg WHERE degree >= {CORE_ROWS}
+DBSCAN = """deg AS (SELECT d.r_name, eps, vid, w, first_row, sum(w_b) AS degree FROM d JOIN radii ON radii.r_name = d.r_name AND dist <= eps GROUP BY ALL),
+  edges AS (SELECT d.r_name, a.eps, d.vid, d.vid_b FROM d JOIN deg a ON a.r_name = d.r_name AND a.vid = d.vid AND d.dist <= a.eps AND a.degree >= {core}
+    JOIN deg b ON b.r_name = d.r_name AND b.vid = d.vid_b AND b.eps = a.eps AND b.degree >= {core}),
+  reach AS (SELECT r_name, eps, vid, first_row AS label FROM deg WHERE degree >= {core}
     UNION SELECT e.r_name, e.eps, e.vid_b, reach.label FROM reach JOIN edges e ON e.r_name = reach.r_name AND e.eps = reach.eps AND e.vid = reach.vid),
   comp AS (SELECT r_name, eps, vid, min(label) AS label FROM reach GROUP BY ALL),
   numbered AS (SELECT r_name, eps, vid, dense_rank() OVER (PARTITION BY r_name, eps ORDER BY label) - 1 AS num FROM comp),
-  border AS (SELECT d.r_name, n.eps, d.vid, min(num) AS num FROM d JOIN numbered n ON n.r_name = d.r_name AND n.vid = d.vid_b AND d.dist <= n.eps GROUP BY ALL)
-SELECT deg.r_name, deg.eps, deg.vid, deg.w, coalesce(n.num, b.num, -1)::INT AS label FROM deg
-LEFT JOIN numbered n ON n.r_name = deg.r_name AND n.eps = deg.eps AND n.vid = deg.vid
-LEFT JOIN border b ON b.r_name = deg.r_name AND b.eps = deg.eps AND b.vid = deg.vid""")
+  border AS (SELECT d.r_name, n.eps, d.vid, min(num) AS num FROM d JOIN numbered n ON n.r_name = d.r_name AND n.vid = d.vid_b AND d.dist <= n.eps GROUP BY ALL),
+  dblabels AS (SELECT deg.r_name, deg.eps, deg.vid, deg.w, coalesce(n.num, b.num, -1)::INT AS label FROM deg
+    LEFT JOIN numbered n ON n.r_name = deg.r_name AND n.eps = deg.eps AND n.vid = deg.vid
+    LEFT JOIN border b ON b.r_name = deg.r_name AND b.eps = deg.eps AND b.vid = deg.vid)"""
+
+
+@register(f"""WITH RECURSIVE {PAIRS}, radii AS (SELECT DISTINCT r_name, eps FROM v, unnest({RADII}::DOUBLE[]) t(eps)), {DBSCAN.format(core=CORE_ROWS)}
+SELECT * FROM dblabels""")
 def dbscan_labels(spark, sf):
     vectors = vector_table(order_profiles(spark, sf), ORDERS)
     counts = materialise(neighbour_counts(vectors, ORDERS), "counts")
@@ -948,7 +1007,10 @@ def dbscan_labels(spark, sf):
     return dbscan.dbscan(vectors, counts, radii, ORDERS, CORE_ROWS)
 
 
-@register()
+@register(f"""WITH RECURSIVE {CANDIDATES}, radii AS (SELECT * FROM allradii), {DBSCAN.format(core=10)},
+  labels_of AS (SELECT l.r_name, l.vid, l.w, n, pri, sta, seg, pb, top, eps::VARCHAR AS algorithm, label FROM dblabels l JOIN v ON v.r_name = l.r_name AND v.vid = l.vid),
+  {REPORT_OF}
+SELECT r_name, algorithm::DOUBLE AS eps, n_clusters, n_noise, pct_noise, min_cluster_pct, silhouette, davies_bouldin, dunn FROM report""")
 def dbscan_sweep(spark, sf):
     vectors = vector_table(order_profiles(spark, sf), ORDERS)
     return typology.run_dbscan(vectors, ORDERS).metrics
@@ -1012,8 +1074,7 @@ def kmeans_one_step(spark, sf):
   draws AS (SELECT r_name, vid, rep, (SELECT count(*) FROM cuts WHERE cut <= u) AS draw FROM u)
 SELECT r_name, rep::INT AS replicate, vid, sum(draw)::BIGINT AS w FROM draws GROUP BY ALL HAVING sum(draw) > 0""")
 def bootstrap_weights(spark, sf):
-    every = 1 << 62
-    drawn = kmeans.bootstrap_weights(order_profiles(spark, sf), ORDERS, replicates=5, below=every)
+    drawn = kmeans.bootstrap_weights(order_profiles(spark, sf), ORDERS, replicates=5)
     return drawn.select(GROUP, "replicate", "vid", "w")
 
 
@@ -1050,7 +1111,7 @@ def kmeans_bootstrap(spark, sf):
     ks = (2, 3)
     members, report = kmeans.kmeans_sweep(vectors, ORDERS, ks, n_init=2)
     chosen = materialise(selection.best_row(report, [GROUP], [F.col("dunn").desc(), F.col("k")]).select(GROUP, "k"), "chosen")
-    scores = kmeans.bootstrap_stability(rows, ORDERS, members, chosen, replicates=5, n_init=2, below=1 << 62)
+    scores = kmeans.bootstrap_stability(rows, ORDERS, members, chosen, replicates=5, n_init=2)
     return kmeans.stability_summary(scores, GROUP)
 
 

@@ -18,7 +18,7 @@ from kinprofile.operators.metrics import model_report
 from kinprofile.operators.profile import cluster_profile
 from kinprofile.operators.selection import pick_balanced_solution, pick_density_solution, pick_k
 from kinprofile.operators.vectors import encode, vector_table
-from kinprofile.session import materialise, small_side
+from kinprofile.session import materialise
 from kinprofile.sources.store import ResultStore
 from kinprofile.spec import FeatureSpec
 
@@ -112,8 +112,8 @@ def compare(solutions: Mapping[str, Solution], spec: FeatureSpec) -> DataFrame:
 def row_labels(df: DataFrame, spec: FeatureSpec, solution: Solution) -> DataFrame:
     """Label of every row: (group, row id, label), joined on the computed vector id.
 
-    A vector may hold a third of all rows, so the rows are not shuffled by vector while the
-    label table is small enough to send.
+    A vector may hold a third of all rows.  The label table is written, so Catalyst sends it to the rows while its
+    measured size allows; beyond that the join is shuffled and adaptive execution splits a vector's rows.
     """
-    labels = small_side(solution.members.select(spec.group, "vid", "label"))
+    labels = materialise(solution.members.select(spec.group, "vid", "label"), "row-labels")
     return encode(df, spec).select(spec.group, spec.row_id, "vid").join(labels, [spec.group, "vid"]).drop("vid")

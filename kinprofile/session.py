@@ -4,13 +4,14 @@ Iterative operators never keep their state only on executors.  They write it as
 Parquet table into the shared folder the cluster names in ``spark.checkpoint.dir``
 and read it back.  A lost executor then costs one task, not the whole loop, and the
 file size gives Catalyst a measured number on which to decide for or against a
-broadcast join.  The one hint in the package, ``small_side``, counts the rows first.
+broadcast join; the package gives no broadcast hints of its own.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     master = spark.sparkContext.master
-    if not master.startswith("local"):
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError(f"set {_CONF} to a folder all executors can reach")
-    fallback = tempfile.mkdtemp(prefix="kinprofile-")
-    spark.conf.set(_CONF, fallback)
-    return fallback
+    return _own_folder()
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """One folder per process, for sessions in a single JVM only."""
+    return tempfile.mkdtemp(prefix="kinprofile-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -47,15 +52,6 @@ def materialise(df: DataFrame, name: str, files: int | None = None) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Hint a broadcast of a written, narrow table, but only after counting its rows.
-
-    For joins of full row tables with per-vector tables: those may exceed the automatic
-    threshold while still being small.  Larger tables stay a shuffled join.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def spread(df: DataFrame) -> DataFrame:
     """At least one partition per core, for small written tables ahead of heavy work per row."""
     cores = df.sparkSession.sparkContext.defaultParallelism

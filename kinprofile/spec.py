@@ -14,7 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-MAX_VECTORS = 2_000_000
+#: Vector ids are 64-bit numbers of the code tuple.
+MAX_VECTORS = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -87,7 +88,7 @@ class FeatureSpec:
         if not self.features:
             raise ValueError("a specification needs at least one feature")
         if self.max_vectors > MAX_VECTORS:
-            raise ValueError(f"{self.max_vectors} possible vectors per group; use coarser levels (at most {MAX_VECTORS})")
+            raise ValueError(f"{self.max_vectors} possible vectors per group do not fit a 64-bit id")
 
     @property
     def features(self) -> tuple[Nominal | Ordinal, ...]:

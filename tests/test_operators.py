@@ -6,14 +6,14 @@ from helpers import (
 )
 from pyspark.sql import functions as F
 
-from kinprofile.operators import agglomerative, dbscan, hdbscan, kmeans, metrics
-from kinprofile.operators.neighbours import extreme_distance, neighbour_counts
+from kinprofile.operators import agglomerative, dbscan, hdbscan, kmeans, metrics, tendency
+from kinprofile.operators.neighbours import extreme_distance, neighbour_counts, spread_labels
 from kinprofile.operators.quantiles import grouped_quantiles
-from kinprofile.operators.sampling import sample_rows
+from kinprofile.operators.sampling import sample_positions, sample_rows
 from kinprofile.operators.vectors import distinct_vectors, vector_table
 from kinprofile.plans import typology
 from kinprofile.session import materialise
-from kinprofile.spec import FeatureSpec, Nominal
+from kinprofile.spec import FeatureSpec, Nominal, Ordinal
 
 
 @pytest.fixture(scope="module")
@@ -278,13 +278,55 @@ def test_group_with_a_single_vector(spark):
     history = agglomerative.linkage_history(vectors, SPEC, ("average",))
     labels = agglomerative.flat_clusters(history, vectors, SPEC, (2,), ("average",))
     assert [(r["label"], r["w"]) for r in labels.collect()] == [(0, 30)]
-    assert dbscan.dbscan_sweep(vectors, SPEC).isEmpty()  # every k-distance is 0, so there is no radius to try
+    # every distance is 0: the one radius left to try is 1, and all rows are one cluster
+    assert [(r["eps"], r["label"]) for r in dbscan.dbscan_sweep(vectors, SPEC).collect()] == [(1.0, 0)]
     # one cluster that never splits is no partition: the rows stay noise
     assert [r["label"] for r in hdbscan.hdbscan_sweep(vectors, SPEC, (0.0,)).collect()] == [-1]
     members, _ = kmeans.kmeans(vectors, SPEC, (2,), 1)
     assert [(r["label"], r["w"]) for r in members.collect()] == [(0, 30)]
 
 
+def test_dbscan_keeps_its_groups_when_rows_repeat(spark):
+    rows = random_rows(spark, 60, groups=("u", "w"), seed=3)
+    many = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn("id", F.col("id") * 100 + F.col("copy")).drop("copy")
+    labels = dbscan.dbscan_sweep(vector_table(many, SPEC), SPEC)
+    found = labels.groupBy("g").agg(F.countDistinct("eps").alias("radii"), F.sum("w").alias("w"), F.max("label").alias("top")).collect()
+    assert len(found) == 2 and all(r["radii"] >= 1 and r["top"] >= 0 and r["w"] == r["radii"] * many.count() / 2 for r in found)
+
+
+def test_components_of_a_long_chain_settle(spark):
+    """5,000 steps of an ordinal, each within reach of the next only: labels take shortcuts instead of 5,000 passes."""
+    steps = tuple((f"s{i}", i) for i in range(5001))
+    spec = FeatureSpec("g", "id", (Nominal("a", ("x", "y")),), (Ordinal("o", steps),))
+    df = spark.range(5001).select(F.lit("u").alias("g"), "id", F.lit("x").alias("a"), F.concat(F.lit("s"), "id").alias("o"))
+    links = spark.range(5000).select(
+        F.lit("u").alias("g"), F.explode(F.array("id", F.col("id") + 1)).alias("vid"), F.col("id").alias("block")
+    )
+    cores = spark.range(5001).select(F.lit("u").alias("g"), F.col("id").alias("vid"), F.concat(F.lit("row"), F.format_string("%05d", "id")).alias("label"))
+    assert {r["label"] for r in spread_labels(cores, links, ["g"]).collect()} == {"row00000"}
+    assert vector_table(df, spec).count() == 5001
+
+
+def test_positions_are_distinct_and_exact(spark):
+    sizes = spark.createDataFrame([("a", 10, 10), ("b", 1000, 150), ("c", 10**12, 150), ("d", 160, 150)], "g string, n long, m long")
+    found = sample_positions(sizes, ["g"]).toPandas()
+    for g, part in found.groupby("g"):
+        n, m = sizes.where(F.col("g") == g).first()[1:]
+        assert len(part) == m == part["position"].nunique() and part["position"].between(1, n).all()
+
+
+def test_sampled_vectors_follow_the_weights(spark):
+    vectors = spark.createDataFrame([("u", v, w) for v, w in ((0, 5), (3, 1), (700, 994), (1000, 10))], "g string, vid long, w long")
+    positions = spark.createDataFrame([("u", 0, p) for p in (1, 5, 6, 7, 1000, 1001, 1010)], "g string, run int, position long")
+    found = {r["vid"]: r["taken"] for r in tendency._sampled_vectors(vectors, positions, "g").collect()}
+    assert found == {0: 2, 3: 1, 700: 2, 1000: 2}
+
+
+def test_histogram_has_empty_bins(spark):
+    df = spark.createDataFrame([("u", 0.0), ("u", 1.0)], "g string, h double")
+    assert sorted((r["bin"], r["cnt"]) for r in tendency.histogram(df, "g", "h").collect()) == [(1, 1)] + [(b, 0) for b in range(2, 8)] + [(8, 1)]
+
+
 def test_components_helper_is_consistent():
     near = np.array([[1, 1, 0], [1, 1, 0], [0, 0, 1]], bool)
     assert list(components(near, np.ones(3, bool))) == [0, 0, 1]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinprofile.functions.scalar import band, coded_in, lookup
+from kinprofile.functions.scalar import band, coded_in, lookup, stripped
 from kinprofile.spec import FeatureSpec, Nominal, Ordinal
 
 # The coding of the public mortality records and the labels of its categories.
@@ -101,12 +101,18 @@ IGNORED_CODES = {
 # End of fixed values.
 
 
+def plain_number(text: Column) -> Column:
+    """A decimal number between white space; suffixes such as the D of "425D", which casts accept, make it null."""
+    bare = stripped(text)
+    return F.when(bare.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), bare).try_cast("double")
+
+
 def age_digits(code: Column) -> Column:
     """The code as the digits of a whole number.
 
     Passing through a number loses a leading zero: "015" reads as unit 1, quantity 5.
     """
-    return F.trim(code).try_cast("double").try_cast("bigint").cast("string")
+    return plain_number(code).try_cast("bigint").cast("string")
 
 
 def years_from_digits(digits: Column) -> Column:
@@ -132,7 +138,7 @@ def age_band(years: Column) -> Column:
 
 def raw_hour(code: Column) -> Column:
     """Leading two characters as a number, null when they are not one."""
-    return F.substring(code, 1, 2).try_cast("double")
+    return plain_number(F.substring(code, 1, 2))
 
 
 def shift(hour: Column) -> Column:
@@ -182,7 +188,7 @@ def describe_numeric(df: DataFrame) -> DataFrame:
         "ESTCIV_NUM": lookup(F.col("ESTCIV"), MARITAL_NUMBER),
         "ESC_NUM": lookup(F.col("ESC"), SCHOOL_NUMBER),
         "LOCOCOR_NUM": lookup(F.col("LOCOCOR"), PLACE_NUMBER),
-        "ANO_NUM": F.trim(F.col("ANO")).try_cast("int"),
+        "ANO_NUM": stripped(F.col("ANO")).try_cast("int"),
     })
 
 

@@ -8,10 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space that a text strip removes, blanks and control characters alike.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+
+
+def stripped(column: Column) -> Column:
+    return F.btrim(column, F.lit(WHITE))
+
+
 def lookup(column: Column, table: Mapping[str, object], default: object = None) -> Column:
     """Translate a trimmed code through a literal map; unmatched codes give ``default``."""
     pairs = [F.lit(x) for item in table.items() for x in item]
-    hit = F.element_at(F.create_map(*pairs), F.trim(column))
+    hit = F.element_at(F.create_map(*pairs), stripped(column))
     return hit if default is None else F.coalesce(hit, F.lit(default))
 
 

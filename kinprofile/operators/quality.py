@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinprofile.functions.scalar import stripped
+
 MISSING = ("", "nan", "none", "<na>")
 ALERT = 15.0
 HIGH_ALERT = 30.0
@@ -14,14 +16,14 @@ HIGH_ALERT = 30.0
 
 def is_missing(column: Column) -> Column:
     """Null, blank or one of the textual stand-ins for a missing value."""
-    return column.isNull() | F.lower(F.trim(column)).isin(*MISSING)
+    return column.isNull() | F.lower(stripped(column)).isin(*MISSING)
 
 
 def is_ignored(column: Column, codes: Sequence[str]) -> Column:
     """Filled in, but with a code that says "unknown"; never true where the value is missing."""
     if not codes:
         return F.lit(False)
-    return ~is_missing(column) & F.trim(column).isin(*codes)
+    return ~is_missing(column) & stripped(column).isin(*codes)
 
 
 def quality_report(

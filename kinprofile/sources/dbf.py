@@ -1,7 +1,7 @@
 """DBF files as a Spark data source: ``spark.read.format("dbf").load(folder)``.
 
 Records have a fixed length, so a file is cut into record ranges and large files are read by
-several tasks.  All columns are strings; files may differ in columns and the table has the
+several tasks, which read the headers themselves; the driver only lists the folder.  All columns are strings; files may differ in columns and the table has the
 union of them.  The state and year come from the file name (``DOUFAAAA.dbf``).
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
-STATE, YEAR = "ESTADO", "ANO"
+STATE, YEAR, RECORD = "ESTADO", "ANO", "_record"
 RANGE_BYTES = 64 * 1024 * 1024
 BATCH_RECORDS = 50_000
 
@@ -49,21 +49,35 @@ def read_layout(filesystem: fs.FileSystem, path: str) -> Layout:
 
 @dataclass
 class RecordRange(InputPartition):
+    """Part ``part`` of ``parts`` of a file's records; the header is read by the task."""
+
     path: str
-    layout: Layout
-    first: int
-    count: int
+    part: int
+    parts: int
+
+
+def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
+    if "://" in folder or folder.startswith("file:"):
+        return fs.FileSystem.from_uri(folder)
+    return fs.LocalFileSystem(), folder
 
 
-def list_files(folder: str, suffixes: list[str] | None) -> tuple[fs.FileSystem, list[str]]:
-    filesystem, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (
-        fs.LocalFileSystem(), folder
-    )
+def list_files(folder: str, suffixes: list[str] | None) -> tuple[fs.FileSystem, list[tuple[str, int]]]:
+    """(path, bytes) of the wanted files; one listing, no file is opened."""
+    filesystem, root = open_folder(folder)
     entries = filesystem.get_file_info(fs.FileSelector(root))
-    paths = sorted(e.path for e in entries if e.is_file and e.path.lower().endswith(".dbf"))
+    files = sorted((e.path, e.size) for e in entries if e.is_file and e.path.lower().endswith(".dbf"))
     if suffixes:
-        paths = [p for p in paths if p[:-4].endswith(tuple(suffixes))]
-    return filesystem, paths
+        files = [(p, n) for p, n in files if p[:-4].endswith(tuple(suffixes))]
+    return filesystem, files
+
+
+def _texts(raw: np.ndarray) -> pa.Array:
+    """Rows of Latin-1 bytes as strings without padding: a byte is its own code point."""
+    if not raw.size:
+        return pa.array([""] * len(raw), pa.string())
+    wide = np.ascontiguousarray(raw.astype("<u4")).view(f"<U{raw.shape[1]}").ravel()
+    return pa.array(np.char.rstrip(wide, " \0"), pa.string())
 
 
 class DbfReader(DataSourceReader):
@@ -72,50 +86,45 @@ class DbfReader(DataSourceReader):
         self.folder, self.suffixes, self.range_bytes = folder, suffixes, range_bytes
 
     def partitions(self) -> list[RecordRange]:
-        filesystem, paths = list_files(self.folder, self.suffixes)
-        out = []
-        for path in paths:
-            layout = read_layout(filesystem, path)
-            step = max(1, self.range_bytes // max(1, layout.width))
-            out += [
-                RecordRange(path, layout, first, min(step, layout.records - first))
-                for first in range(0, layout.records, step)
-            ]
-        return out
+        _, files = list_files(self.folder, self.suffixes)
+        sizes = [(path, max(1, -(-size // self.range_bytes))) for path, size in files]
+        return [RecordRange(path, part, parts) for path, parts in sizes for part in range(parts)]
 
     def read(self, partition: RecordRange) -> Iterator[pa.RecordBatch]:
-        filesystem, _ = fs.FileSystem.from_uri(self.folder) if "://" in self.folder or self.folder.startswith("file:") else (
-            fs.LocalFileSystem(), None
-        )
-        layout, name = partition.layout, partition.path.rsplit("/", 1)[-1]
-        kind = np.dtype({
-            "names": ["deleted"] + [f for f, _ in layout.fields],
-            "formats": ["S1"] + [f"S{size}" for _, size in layout.fields],
-            "itemsize": layout.width,
-            "offsets": [0] + [1 + sum(s for _, s in layout.fields[:i]) for i in range(len(layout.fields))],
-        })
+        filesystem, _ = open_folder(self.folder)
+        layout, name = read_layout(filesystem, partition.path), partition.path.rsplit("/", 1)[-1]
+        first = layout.records * partition.part // partition.parts
+        left = layout.records * (partition.part + 1) // partition.parts - first
         fixed = {STATE: name[2:4], YEAR: name[4:8]}
-        present = {f for f, _ in layout.fields}
+        places, at = {}, 1
+        for field, size in layout.fields:
+            places[field] = slice(at, at + size)
+            at += size
         with filesystem.open_input_file(partition.path) as handle:
-            handle.seek(layout.offset + partition.first * layout.width)
-            left = partition.count
+            handle.seek(layout.offset + first * layout.width)
             while left > 0:
                 take = min(left, BATCH_RECORDS)
-                rows = np.frombuffer(handle.read(take * layout.width), dtype=kind)
-                rows = rows[rows["deleted"] != b"*"]
-                left -= take
+                rows = np.frombuffer(handle.read(take * layout.width), np.uint8).reshape(-1, layout.width)
+                numbers = np.arange(first, first + len(rows))
+                kept = rows[:, 0] != ord("*")
+                rows, numbers = rows[kept], numbers[kept]
+                left, first = left - take, first + take
                 columns = []
                 for column in self.columns:
-                    if column in present:
-                        text = [v.decode("latin-1").rstrip(" \0") for v in rows[column].tolist()]
+                    if column in places:
+                        columns.append(_texts(rows[:, places[column]]))
+                    elif column == RECORD:
+                        columns.append(pa.array([f"{name}#{n}" for n in numbers.tolist()], pa.string()))
                     else:
-                        text = [fixed.get(column)] * len(rows)
-                    columns.append(pa.array(text, pa.string()))
+                        columns.append(pa.array([fixed.get(column)] * len(rows), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=self.columns)
 
 
 class DbfSource(DataSource):
-    """Options: ``path``; ``suffixes`` (comma list such as ``AC2019,AM2020``); ``rangeBytes``."""
+    """Options: ``path``; ``suffixes`` (comma list such as ``AC2019,AM2020``); ``rangeBytes``; ``columns`` (comma list:
+    only these are decoded, and no header is opened to find the schema; a file without one gives null); ``recordId``
+    (true adds ``_record``: file name and record number, the same at every read).
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -126,11 +135,14 @@ class DbfSource(DataSource):
         return [s for s in text.split(",") if s] or None
 
     def schema(self) -> StructType:
-        filesystem, paths = list_files(self.options["path"], self._suffixes())
-        names: dict[str, None] = {}
-        for path in paths:
-            names.update(dict.fromkeys(f for f, _ in read_layout(filesystem, path).fields))
-        names.update(dict.fromkeys((STATE, YEAR)))
+        names: dict[str, None] = dict.fromkeys(c for c in self.options.get("columns", "").split(",") if c)
+        if not names:
+            filesystem, files = list_files(self.options["path"], self._suffixes())
+            for path, _ in files:
+                names.update(dict.fromkeys(f for f, _ in read_layout(filesystem, path).fields))
+            names.update(dict.fromkeys((STATE, YEAR)))
+        if self.options.get("recordId", "false").lower() == "true":
+            names[RECORD] = None
         return StructType([StructField(n, StringType()) for n in names])
 
     def reader(self, schema: StructType) -> DbfReader:

@@ -12,7 +12,11 @@ KINDS = ("metrics", "chosen", "labels", "profile", "stability")
 
 @dataclass(frozen=True)
 class ResultStore:
-    """Writing an algorithm's results replaces only its own (algorithm, group) partitions."""
+    """Writing an algorithm's results replaces only its own (algorithm, group) partitions.
+
+    Algorithm and group stay typed columns of the data; the folders are named by text copies with a prefix that no
+    reader takes for a number, so "01", "1" and "1e3" remain three groups and a string group remains one.
+    """
 
     path: str
     group: str
@@ -21,11 +25,14 @@ class ResultStore:
         if kind not in KINDS:
             raise ValueError(f"unknown result kind {kind}")
         (
-            df.withColumn("algorithm", F.lit(algorithm)).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("algorithm", self.group).parquet(f"{self.path}/{kind}")
+            df.withColumns({
+                "algorithm": F.lit(algorithm), "_algorithm": F.lit(f"is {algorithm}"),
+                "_group": F.concat(F.lit("is "), F.coalesce(F.col(self.group).cast("string"), F.lit("null"))),
+            })
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("_algorithm", "_group").parquet(f"{self.path}/{kind}")
         )
 
     def read(self, spark: SparkSession, kind: str) -> DataFrame:
         """All stored rows; columns written by only some algorithms are null elsewhere."""
-        return spark.read.option("mergeSchema", True).parquet(f"{self.path}/{kind}")
+        return spark.read.option("mergeSchema", True).parquet(f"{self.path}/{kind}").drop("_algorithm", "_group")

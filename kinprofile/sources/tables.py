@@ -42,14 +42,19 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mo
 
 
 def write_delimited(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Semicolon CSV with every field quoted and backslash escapes, UTF-8."""
-    df.write.mode(mode).options(
-        sep=";", quoteAll=True, escape="\\", header=True, encoding="UTF-8", emptyValue="", nullValue=""
+    """Semicolon CSV, UTF-8, every field quoted; quotes inside are doubled and so are backslashes."""
+    text = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+    doubled = df.withColumns({c: F.replace(c, F.lit("\\"), F.lit("\\\\")) for c in text}) if text else df
+    doubled.write.mode(mode).options(
+        sep=";", quoteAll=True, escape='"', header=True, encoding="UTF-8", emptyValue="", nullValue=""
     ).csv(path)
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).options(sep=";", escape="\\", header=True, encoding="UTF-8").csv(path)
+    """The dialect of ``write_delimited``; an empty field is null."""
+    df = spark.read.schema(schema).options(sep=";", escape='"', header=True, encoding="UTF-8").csv(path)
+    text = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+    return df.withColumns({c: F.replace(c, F.lit("\\\\"), F.lit("\\")) for c in text}) if text else df
 
 
 def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:

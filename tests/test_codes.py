@@ -8,7 +8,7 @@ from kinprofile.operators import quality
 AGES = [
     ("425", 25.0), (" 425 ", 25.0), ("425.7", 25.0), ("4125", 125.0), ("400", 0.0), ("306", 0.5), ("215", 15 / 365),
     ("015", 5 / 8760), ("025", 5 / 365), ("501", None), ("999", None), ("4", None), ("", None), (None, None),
-    ("abc", None), ("-425", None), ("nan", None),
+    ("abc", None), ("-425", None), ("nan", None), ("425D", None), ("425f", None), ("\t425\n", 25.0), ("4.25e2", 25.0),
 ]
 BANDS = [
     (0.5, "recem_nascido"), (1.0, "crianca"), (11.9, "crianca"), (12.0, "adolescente"), (17.0, "adolescente"),
@@ -16,7 +16,7 @@ BANDS = [
 ]
 HOURS = [
     ("0559", "madrugada"), ("0600", "manha"), ("1200", "tarde"), ("1800", "noite"), ("2359", "noite"),
-    ("9999", "ignorado"), ("2400", "ignorado"), ("", "ignorado"), (None, "ignorado"), ("x1", "ignorado"),
+    ("9999", "ignorado"), ("2400", "ignorado"), ("", "ignorado"), (None, "ignorado"), ("x1", "ignorado"), ("1d30", "ignorado"), ("2f", "ignorado"),
 ]
 CATEGORIES = [
     (m.SEX_CATEGORY, "nao_decl", [("1", "masculino"), ("F", "feminino"), ("I", "nao_decl"), ("9", "nao_decl"), (None, "nao_decl")]),

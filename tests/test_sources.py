@@ -1,6 +1,7 @@
 import struct
 
 from kinprofile.sources import dbf, tables
+from kinprofile.sources.store import ResultStore
 
 
 def _write(path, fields, rows, deleted=()):
@@ -34,8 +35,28 @@ def test_coverage_gap(spark):
 
 
 def test_delimited_dialect(spark, tmp_path):
-    df = spark.createDataFrame([("a;b", 'say "x"', None)], "p string, q string, r string")
+    df = spark.createDataFrame([("a;b \\ c", 'say "x"', None)], "p string, q string, r string")
     tables.write_delimited(df.coalesce(1), str(tmp_path / "out"))
     text = "".join(p.read_text() for p in (tmp_path / "out").glob("part-*.csv"))
     assert text.splitlines()[0] == '"p";"q";"r"'
-    assert text.splitlines()[1] == '"a;b";"say \\"x\\"";""'
+    assert text.splitlines()[1] == '"a;b \\\\ c";"say ""x""";""'
+
+
+def test_dbf_columns_and_record_ids(spark, tmp_path):
+    _write(tmp_path / "DOAC2019.dbf", [("SEXO", 1), ("IDADE", 4)], [(str(i % 3), f"4{i:02d}") for i in range(50)], deleted={7})
+    _write(tmp_path / "DOAM2020.dbf", [("IDADE", 3)], [("425",)])
+    dbf.register(spark)
+    for size in (40, 1 << 20):
+        df = spark.read.format("dbf").options(columns="IDADE,SEXO,ANO", recordId="true", rangeBytes=size).load(str(tmp_path))
+        assert df.columns == ["IDADE", "SEXO", "ANO", "_record"]
+        rows = {r["_record"]: r for r in df.collect()}
+        assert len(rows) == 50 and "DOAC2019.dbf#7" not in rows
+        assert rows["DOAC2019.dbf#31"]["IDADE"] == "431" and rows["DOAM2020.dbf#0"]["SEXO"] is None
+
+
+def test_store_keeps_the_type_of_groups(spark, tmp_path):
+    store = ResultStore(str(tmp_path / "store"), "g")
+    store.write("chosen", "A", spark.createDataFrame([("01", 1), ("1", 2), ("1e3", 3)], "g string, k int"))
+    store.write("chosen", "A", spark.createDataFrame([("1", 5)], "g string, k int"))
+    found = store.read(spark, "chosen")
+    assert dict(found.dtypes)["g"] == "string" and {r["g"]: r["k"] for r in found.collect()} == {"01": 1, "1": 5, "1e3": 3}

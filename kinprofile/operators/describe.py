@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from kinprofile.operators.quantiles import counted_quantiles, grouped_quantiles
 from kinprofile.session import materialise, spread
 
+REACH = 9.0
+
 
 def value_counts(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """Rows per (group, variable, value), written once: the only pass over the rows that
@@ -154,14 +156,22 @@ def density_curves(
     )
     place = F.col("x_min") + (F.col("x_max") - F.col("x_min")) * F.col("i") / F.lit(float(points - 1))
     z = (F.col("x") - F.col("value")) / F.col("bandwidth")
+    # A value adds less than 1e-17 of its own peak beyond REACH bandwidths, so it only visits the points within.
+    step = (F.col("x_max") - F.col("x_min")) / F.lit(float(points - 1))
+    first = F.greatest(F.lit(0), F.ceil((F.col("value") - REACH * F.col("bandwidth") - F.col("x_min")) / step)).cast("int")
+    last = F.least(F.lit(points - 1), F.floor((F.col("value") + REACH * F.col("bandwidth") - F.col("x_min")) / step)).cast("int")
     raw = (
         spread(values).join(frame, keys)
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        .withColumns({"first": first, "last": last}).filter("first <= last")
+        .withColumn("i", F.explode(F.sequence("first", "last")))
         .withColumn("x", place)
-        .groupBy(*keys, "i", "x")
+        .groupBy(*keys, "i")
         .agg(F.sum(F.col("rows") * F.exp(-z * z / 2)).alias("raw"))
     )
-    curves = materialise(raw, "density-raw")
+    grid = frame.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", place)
+    curves = materialise(
+        grid.join(raw, [*keys, "i"], "left").select(*keys, "i", "x", F.coalesce("raw", F.lit(0.0)).alias("raw")), "density-raw"
+    )
     return curves.join(curves.groupBy(*keys).agg(F.max("raw").alias("peak")), keys).select(
         *keys, "i", "x",
         F.when(F.col("peak") > 0, F.col("raw") / F.nullif("peak", F.lit(0.0))).otherwise(F.col("raw")).alias("density"),

@@ -113,6 +113,11 @@ def pick_k(report: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def divergent(chosen: DataFrame, keys: list[str], expected: int = EXPECTED_K) -> DataFrame:
+    """Groups whose Dunn peak is another K than ``expected``, with that K."""
+    return chosen.filter(F.col("k_dunn") != expected).select(*keys, "k_dunn")
+
+
 def premise(chosen: DataFrame, expected: int = EXPECTED_K) -> DataFrame:
     """Does one global K hold? Share of groups whose Dunn peak is ``expected``."""
     agree = F.sum((F.col("k_dunn") == expected).cast("int"))

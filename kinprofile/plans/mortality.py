@@ -11,6 +11,7 @@ from kinprofile.functions import mortality as m
 from kinprofile.operators import describe, quality, tendency
 from kinprofile.operators.vectors import vector_table
 from kinprofile.plans import typology
+from kinprofile.session import qualified
 from kinprofile.sources import dbf, tables
 from kinprofile.sources.store import ResultStore
 
@@ -22,18 +23,32 @@ CATEGORICAL = ["SEXO_NUM", "RACACOR_NUM", "ESTCIV_NUM", "ESC_NUM", "LOCOCOR_NUM"
 def ingest(
     spark: SparkSession, folder: str, out: str, states: Sequence[str] = m.STATES, years: Sequence[str] = m.YEARS
 ) -> DataFrame:
-    """Read the DBF files of the wanted states and years, write the full, the selected and the
-    homicide table below ``out`` and return the state x year combinations without a file."""
+    """Read the DBF files of the wanted states and years once, write the full, the selected and the
+    homicide table below ``out`` and return the state x year combinations without a file.
+
+    ``_record`` (file and record number) identifies a row from here to its label; the CSV files leave it out.
+    """
     dbf.register(spark)
-    suffixes = ",".join(s + y for s in states for y in years)
-    deaths = spark.read.format("dbf").option("suffixes", suffixes).load(folder)
-    tables.write_delimited(deaths, f"{out}/all_csv")
-    selected = tables.project_present(deaths, m.WANTED_COLUMNS)
-    tables.write_delimited(selected, f"{out}/selected_csv")
+    folder = qualified(spark, folder)
+    suffixes = [s + y for s in states for y in years]
+    parsed = spark.read.format("dbf").options(suffixes=",".join(suffixes), recordId="true").load(folder)
+    tables.write_parquet(parsed, f"{out}/all")
+    deaths = spark.read.schema(parsed.schema).parquet(f"{out}/all")
+    tables.write_delimited(deaths.drop(dbf.RECORD), f"{out}/all_csv")
+    selected = tables.project_present(deaths, [*m.WANTED_COLUMNS, dbf.RECORD])
+    tables.write_delimited(selected.drop(dbf.RECORD), f"{out}/selected_csv")
     tables.write_parquet(selected, f"{out}/selected")
     kept = m.homicides(spark.read.schema(selected.schema).parquet(f"{out}/selected"))
     tables.write_parquet(kept, f"{out}/homicides", partition_by=[GROUP])
-    return tables.coverage_gap(deaths.select(GROUP, "ANO"), {GROUP: list(states), "ANO": list(years)})
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][bB][fF]").load(folder)
+    named = tables.with_file_columns(files, **{GROUP: (3, 2), "ANO": (5, 4)}).select(GROUP, "ANO")
+    return tables.coverage_gap(named, {GROUP: list(states), "ANO": list(years)})
+
+
+def read_homicides(spark: SparkSession, out: str) -> DataFrame:
+    """The homicide table that ``ingest`` wrote, the state as text."""
+    df = spark.read.parquet(f"{out}/homicides")
+    return df.withColumn(GROUP, F.col(GROUP).cast("string"))
 
 
 def diagnosis(df: DataFrame, digits: int = 1) -> DataFrame:
@@ -58,13 +73,13 @@ def distributions(df: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def hopkins(df: DataFrame, row_id: str) -> DataFrame:
+def hopkins(df: DataFrame, row_id: str = dbf.RECORD) -> DataFrame:
     spec = m.mortality_spec(row_id)
     return tendency.hopkins_summary(tendency.hopkins_runs(vector_table(m.categorise(df), spec), spec), GROUP)
 
 
 def cluster(
-    df: DataFrame, row_id: str, store: ResultStore | None = None,
+    df: DataFrame, row_id: str = dbf.RECORD, store: ResultStore | None = None,
     algorithms: Mapping[str, typology.Algorithm] = typology.ALGORITHMS,
 ) -> tuple[dict[str, typology.Solution], DataFrame]:
     """All algorithms over all states, and the agreement of their adopted partitions."""

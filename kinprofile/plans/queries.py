@@ -6,10 +6,8 @@ name to its check.
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +25,7 @@ from kinprofile.operators.sampling import sample_rows
 from kinprofile.operators.vectors import distinct_vectors, feature_table, vector_table
 from kinprofile.plans import mortality as study
 from kinprofile.plans import typology
+from kinprofile.plans.dbf_files import write_dbf
 from kinprofile.plans.oracle_parts import CODED, FEATURES, FINE_VECTORS, KDIST, LABELS, ORD, PAIRS, VECTORS
 from kinprofile.plans.oracle_parts import uniform as sql_uniform
 from kinprofile.plans.workloads import FINE_ORDERS, LINES, ORDERS, fine_order_profiles, line_profiles, order_profiles, table
@@ -152,50 +151,15 @@ def distinct_values(spark, sf):
     return table(spark, sf, "documents").select("lang", "source").distinct()
 
 
-DBF_FIELDS = (("ORDERKEY", 12), ("STATUS", 1), ("PRIORITY", 15), ("PRICE", 12))
-
-
-def _dbf_bytes(rows: list[tuple[str, ...]]) -> bytes:
-    """A DBF file of character fields; used to lay the given tables out as DBF files."""
-    width = 1 + sum(size for _, size in DBF_FIELDS)
-    offset = 32 + 32 * len(DBF_FIELDS) + 1
-    out = [struct.pack("<BBBBIHH20x", 3, 24, 1, 1, len(rows), offset, width)]
-    for name, size in DBF_FIELDS:
-        out.append(struct.pack("<11sc4xBB14x", name.encode(), b"C", size, 0))
-    out.append(b"\r")
-    for row in rows:
-        out.append(b" " + b"".join(
-            v.encode("latin-1").ljust(size) for v, (_, size) in zip(row, DBF_FIELDS)
-        ))
-    return b"".join(out)
-
-
 def _orders_as_dbf(spark: SparkSession, sf: str) -> str:
-    """Write the orders as DBF files named DOUFAAAA-part.dbf, each task its own files."""
-    folder = scratch_path(spark, "dbf")
+    """The orders as DBF files named DOUFAAAA-part.dbf."""
     rows = order_profiles(spark, sf).select(
-        F.substring(GROUP, 1, 2).alias("uf"), F.year("o_orderdate").alias("year"),
-        F.col("o_orderkey").cast("string").alias("key"), "o_orderstatus", "o_orderpriority",
-        F.format_string("%.2f", "o_totalprice").alias("price"),
+        F.substring(GROUP, 1, 2).alias("uf"), F.year("o_orderdate").cast("string").alias("year"),
+        F.col("o_orderkey").cast("string").alias("ORDERKEY"), F.col("o_orderstatus").alias("STATUS"),
+        F.col("o_orderpriority").alias("PRIORITY"), F.format_string("%.2f", "o_totalprice").alias("PRICE"),
     )
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from uuid import uuid4
-
-        from pyarrow import fs
-
-        target, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (
-            fs.LocalFileSystem(), folder
-        )
-        target.create_dir(root, recursive=True)
-        for pdf in batches:
-            for (uf, year), part in pdf.groupby(["uf", "year"]):
-                body = _dbf_bytes(list(part[["key", "o_orderstatus", "o_orderpriority", "price"]].itertuples(index=False)))
-                with target.open_output_stream(f"{root}/DO{uf}{year}-{uuid4().hex}.dbf") as handle:
-                    handle.write(body)
-                yield pd.DataFrame({"written": [len(part)]})
-
-    rows.mapInPandas(write, "written bigint").agg(F.sum("written")).first()
+    folder = scratch_path(spark, "dbf")
+    write_dbf(rows, folder, {"ORDERKEY": 12, "STATUS": 1, "PRIORITY": 15, "PRICE": 12})
     return folder
 
 
@@ -404,13 +368,77 @@ def mortality_descriptive(spark, sf):
     )
 
 
+def _study(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The deaths laid out as DBF files and ingested: coverage gaps, and homicides with record ids."""
+    folder, out = scratch_path(spark, "study-dbf"), scratch_path(spark, "study")
+    rows = death_records(spark, sf).withColumnRenamed("row_id", "NUMERODO").withColumn("NUMERODO", F.col("NUMERODO").cast("string"))
+    write_dbf(rows.withColumns({"uf": F.col("ESTADO"), "year": F.col("ANO")}).drop("ESTADO", "ANO"), folder, {
+        "NUMERODO": 10, "IDADE": 5, "HORAOBITO": 4, "CAUSABAS_O": 4, "SEXO": 1, "RACACOR": 5, "ESTCIV": 6, "ESC": 11, "LOCOCOR": 8,
+    })
+    states, years = ["AC", "AM", "PA", "RO"], [str(y) for y in range(1993, 1998)]
+    gaps = study.ingest(spark, folder, out, states, years)
+    return gaps, study.read_homicides(spark, out)
+
+
+STUDY = f"""{DEATHS}, study AS (SELECT * FROM decoded WHERE causa IN ('X85', 'X99', 'Y00', 'Y09') AND ano BETWEEN 1993 AND 1997)"""
+
+
+@register(f"""WITH {DEATHS}, grid AS (SELECT s AS "ESTADO", y::VARCHAR AS "ANO" FROM unnest(['AC', 'AM', 'PA', 'RO']) t(s), generate_series(1993, 1997) u(y))
+SELECT * FROM grid WHERE ("ESTADO", "ANO") NOT IN (SELECT estado, ano::VARCHAR FROM deaths)""")
+def study_coverage(spark, sf):
+    """State x year combinations without a file, from the file names alone."""
+    return _study(spark, sf)[0]
+
+
+@register(f"""WITH {STUDY} SELECT estado AS "ESTADO", ano::VARCHAR AS "ANO", count(*)::BIGINT AS n, count(*)::BIGINT AS records,
+  round(avg(years), 6) AS years FROM study GROUP BY ALL""")
+def study_ingest(spark, sf):
+    """The homicide table of the ingested files; every row has a record id of its own."""
+    kept = mortality.decode(_study(spark, sf)[1])
+    return kept.groupBy("ESTADO", "ANO").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(dbf.RECORD).alias("records"), F.round(F.avg("IDADE_NUM"), 6).alias("years")
+    )
+
+
+@register(f"""WITH {STUDY}, coded AS (SELECT estado, CASE WHEN sexo IN ('1', 'M') THEN 1 WHEN sexo IN ('2', 'F') THEN 2 WHEN sexo IN ('0', 'I', '') THEN 0 END AS sex FROM study),
+  mode AS (SELECT estado, sex AS top FROM (SELECT estado, sex, row_number() OVER (PARTITION BY estado ORDER BY count(*) DESC, sex) AS place
+    FROM coded WHERE sex IS NOT NULL GROUP BY estado, sex) WHERE place = 1),
+  filled AS (SELECT estado, coalesce(sex, top) AS sex FROM coded JOIN mode USING (estado))
+SELECT estado AS "ESTADO", c.code::INT AS code, c.label, round(count(*) FILTER (WHERE sex = c.code) * 100.0::DOUBLE / count(*), 6) AS pct
+FROM filled CROSS JOIN (VALUES {', '.join(f"({k}, '{v}')" for k, v in mortality.DISPLAY_LABELS["SEXO_NUM"].items())}) c(code, label) GROUP BY ALL""")
+def study_sex_profile(spark, sf):
+    """One of the category profiles of the distributions step, with display labels."""
+    shares = study.distributions(_study(spark, sf)[1])["profile_SEXO_NUM"]
+    return shares.select("ESTADO", "code", "label", r("pct"))
+
+
+@register()
+def study_summary(spark, sf):
+    return study.distributions(_study(spark, sf)[1])["summary"]
+
+
+@register()
+def study_hopkins(spark, sf):
+    return study.hopkins(_study(spark, sf)[1])
+
+
 @register()
 def mortality_typology(spark, sf):
-    """The preset with K-Means over all states: profiles of the adopted partitions, read from the store."""
-    store, spec = ResultStore(scratch_path(spark, "mortality"), "ESTADO"), mortality.mortality_spec("row_id")
-    rows = mortality.categorise(mortality.homicides(death_records(spark, sf)))
-    typology.run_typology(rows, spec, {"KMeans": lambda v, s: typology.run_kmeans(v, s, ks=(2, 3, 4), n_init=2)}, store)
-    return store.read(spark, "profile")
+    """The study from the files on with K-Means over all states: profiles and resampled stability, read from the store."""
+    store = ResultStore(scratch_path(spark, "mortality"), "ESTADO")
+    rows = mortality.categorise(_study(spark, sf)[1])
+    typology.run_typology(rows, mortality.mortality_spec(dbf.RECORD), {"KMeans": typology.run_kmeans}, store)
+    stable = store.read(spark, "stability").select("ESTADO", "algorithm", "mean_ari", "reading")
+    return store.read(spark, "profile").join(stable, ["ESTADO", "algorithm"], "left")
+
+
+@register()
+def study_row_labels(spark, sf):
+    """Every record of the ingested files with its K-Means label."""
+    kept, spec = _study(spark, sf)[1], mortality.mortality_spec(dbf.RECORD)
+    rows = mortality.categorise(kept)
+    solutions = typology.run_typology(rows, spec, {"KMeans": typology.run_kmeans})
+    return typology.row_labels(rows, spec, solutions["KMeans"])
 
 
 @register("""SELECT event_type, CASE WHEN hour(ts) < 6 THEN 'madrugada' WHEN hour(ts) < 12 THEN 'manha' WHEN hour(ts) < 18 THEN 'tarde'
@@ -1080,7 +1108,7 @@ def bootstrap_weights(spark, sf):
 
 def _kmeans(spark: SparkSession, sf: str) -> tuple[DataFrame, typology.Solution]:
     vectors = vector_table(order_profiles(spark, sf), ORDERS)
-    return vectors, typology.run_kmeans(vectors, ORDERS, n_init=2)
+    return vectors, typology.run_kmeans(vectors, ORDERS)
 
 
 @register()
@@ -1107,12 +1135,14 @@ def kmeans_profile(spark, sf):
 @register()
 def kmeans_bootstrap(spark, sf):
     rows = order_profiles(spark, sf)
-    vectors = vector_table(rows, ORDERS)
-    ks = (2, 3)
-    members, report = kmeans.kmeans_sweep(vectors, ORDERS, ks, n_init=2)
-    chosen = materialise(selection.best_row(report, [GROUP], [F.col("dunn").desc(), F.col("k")]).select(GROUP, "k"), "chosen")
-    scores = kmeans.bootstrap_stability(rows, ORDERS, members, chosen, replicates=5, n_init=2)
-    return kmeans.stability_summary(scores, GROUP)
+    solution = typology.run_kmeans(vector_table(rows, ORDERS), ORDERS)
+    return typology.stability(rows, ORDERS, solution)
+
+
+@register()
+def kmeans_divergent(spark, sf):
+    """Groups whose adopted K is not the expected one."""
+    return selection.divergent(_kmeans(spark, sf)[1].chosen, [GROUP])
 
 
 @register()
@@ -1123,10 +1153,11 @@ def agglomerative_sweep(spark, sf):
 
 @register()
 def dendrogram_tail(spark, sf):
+    """Last merges of every group under its adopted linkage and K."""
     vectors = vector_table(order_profiles(spark, sf), ORDERS)
-    history = agglomerative.linkage_history(vectors, ORDERS, ("ward",))
-    chosen = vectors.select(GROUP).distinct().select(GROUP, F.lit("ward").alias("linkage"), F.lit(4).alias("k"))
-    return agglomerative.dendrogram_tail(history, ORDERS, chosen)
+    history = agglomerative.linkage_history(vectors, ORDERS)
+    chosen = typology.run_agglomerative(vectors, ORDERS, history=history).chosen
+    return agglomerative.dendrogram_tail(history, ORDERS, chosen.select(GROUP, "linkage", "k"))
 
 
 # ---------------------------------------------------------------- driver, sampling, projection
@@ -1134,15 +1165,13 @@ def dendrogram_tail(spark, sf):
 
 @register()
 def typology_run(spark, sf):
-    """Two algorithms over all groups through the store, then their agreement."""
+    """All four algorithms over all groups through the store, with the mean agreement of each with the others."""
     store = ResultStore(scratch_path(spark, "results"), GROUP)
-    algorithms = {
-        "KMeans": lambda v, s: typology.run_kmeans(v, s, ks=(2, 3, 4), n_init=1),
-        "DBSCAN": typology.run_dbscan,
-    }
-    solutions = typology.run_typology(order_profiles(spark, sf), ORDERS, algorithms, store)
-    agreed = typology.compare(solutions, ORDERS).select(GROUP, "ari")
-    return store.read(spark, "profile").join(agreed, GROUP, "left")
+    solutions = typology.run_typology(order_profiles(spark, sf), ORDERS, store=store)
+    agreed = typology.compare(solutions, ORDERS).select(GROUP, "algorithm_a", "algorithm_b", "ari")
+    both = agreed.select(GROUP, F.col("algorithm_a").alias("algorithm"), "ari").union(agreed.select(GROUP, "algorithm_b", "ari"))
+    mean = both.groupBy(GROUP, "algorithm").agg(F.avg("ari").alias("mean_ari"))
+    return store.read(spark, "profile").join(mean, [GROUP, "algorithm"], "left")
 
 
 @register()
@@ -1150,7 +1179,7 @@ def typology_lines(spark, sf):
     """The same driver on line items: K-Means profiles of every return flag."""
     rows = line_profiles(spark, sf)
     vectors = vector_table(rows, LINES)
-    solution = typology.run_kmeans(vectors, LINES, ks=(2, 3, 4), n_init=1)
+    solution = typology.run_kmeans(vectors, LINES)
     return cluster_profile(solution.members, vectors, LINES, [LINES.group])
 
 

@@ -65,10 +65,12 @@ def run_hdbscan(vectors: DataFrame, spec: FeatureSpec, epsilons=hdbscan.SELECTIO
 
 
 def run_agglomerative(
-    vectors: DataFrame, spec: FeatureSpec, ks=agglomerative.K_RANGE, linkages=agglomerative.LINKAGES
+    vectors: DataFrame, spec: FeatureSpec, ks=agglomerative.K_RANGE, linkages=agglomerative.LINKAGES,
+    history: DataFrame | None = None,
 ) -> Solution:
+    """``history`` is the result of ``linkage_history``, if it is there already."""
     keys = [spec.group, "linkage", "k"]
-    history = agglomerative.linkage_history(vectors, spec, linkages)
+    history = agglomerative.linkage_history(vectors, spec, linkages) if history is None else history
     members = materialise(agglomerative.flat_clusters(history, vectors, spec, ks, linkages), "linkage-labels")
     report = materialise(model_report(members, vectors, spec, keys), "linkage-report")
     chosen = materialise(pick_balanced_solution(report, [spec.group], linkages), "linkage-chosen")
@@ -84,9 +86,14 @@ ALGORITHMS: Mapping[str, Algorithm] = {
 
 
 def run_typology(
-    df: DataFrame, spec: FeatureSpec, algorithms: Mapping[str, Algorithm] = ALGORITHMS, store: ResultStore | None = None
+    df: DataFrame, spec: FeatureSpec, algorithms: Mapping[str, Algorithm] = ALGORITHMS, store: ResultStore | None = None,
+    replicates: int = 20,
 ) -> dict[str, Solution]:
-    """Cluster every group with every algorithm; results go to ``store`` when one is given."""
+    """Cluster every group with every algorithm; results go to ``store`` when one is given.
+
+    The K-Means solution is also resampled ``replicates`` times (0: not at all); its agreement with itself is the
+    ``stability`` table.
+    """
     vectors = vector_table(df, spec)
     out = {}
     for name, algorithm in algorithms.items():
@@ -97,9 +104,18 @@ def run_typology(
             store.write("chosen", name, solution.chosen)
             store.write("labels", name, solution.members)
             store.write("profile", name, cluster_profile(solution.members, vectors, spec, [spec.group]))
+            if algorithm is run_kmeans and replicates:
+                store.write("stability", name, stability(df, spec, solution, replicates))
     return out
 
 
+def stability(df: DataFrame, spec: FeatureSpec, solution: Solution, replicates: int = 20) -> DataFrame:
+    """Mean and spread of the agreement between the adopted K-Means partition and those of resampled rows."""
+    chosen = solution.chosen.select(spec.group, "k")
+    members = solution.members.join(chosen, spec.group)
+    return kmeans.stability_summary(kmeans.bootstrap_stability(df, spec, members, chosen, replicates), spec.group)
+
+
 def compare(solutions: Mapping[str, Solution], spec: FeatureSpec) -> DataFrame:
     """Agreement of the adopted partitions; every row of a vector carries the vector's label."""
     tables = [s.members.withColumn("algorithm", F.lit(name)) for name, s in solutions.items()]

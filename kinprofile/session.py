@@ -19,11 +19,18 @@ from pyspark.sql import functions as F
 _CONF = "spark.checkpoint.dir"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system on which Spark resolves it, for readers besides Spark's own."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString().rstrip("/")
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder visible to driver and executors, taken from the session's settings."""
     configured = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF)
     if configured:
-        return configured.rstrip("/")
+        return qualified(spark, configured)
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError(f"set {_CONF} to a folder all executors can reach")

@@ -63,12 +63,12 @@ def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 def list_files(folder: str, suffixes: list[str] | None) -> tuple[fs.FileSystem, list[tuple[str, int]]]:
-    """(path, bytes) of the wanted files; one listing, no file is opened."""
+    """(path, bytes) of the wanted files; one listing, no file is opened.  A file may come in parts, DOUFAAAA-part.dbf."""
     filesystem, root = open_folder(folder)
     entries = filesystem.get_file_info(fs.FileSelector(root))
     files = sorted((e.path, e.size) for e in entries if e.is_file and e.path.lower().endswith(".dbf"))
     if suffixes:
-        files = [(p, n) for p, n in files if p[:-4].endswith(tuple(suffixes))]
+        files = [(p, n) for p, n in files if p.rsplit("/", 1)[-1][:-4].split("-")[0].endswith(tuple(suffixes))]
     return filesystem, files
 
 
@@ -90,7 +90,9 @@ class DbfReader(DataSourceReader):
         sizes = [(path, max(1, -(-size // self.range_bytes))) for path, size in files]
         return [RecordRange(path, part, parts) for path, parts in sizes for part in range(parts)]
 
-    def read(self, partition: RecordRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: RecordRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no file matched
+            return
         filesystem, _ = open_folder(self.folder)
         layout, name = read_layout(filesystem, partition.path), partition.path.rsplit("/", 1)[-1]
         first = layout.records * partition.part // partition.parts

@@ -5,7 +5,8 @@ neighbour may merge in the same round without changing the hierarchy.  A round i
 Spark job for all groups and linkages: each task holds one block of clusters, compares it
 with the (bounded) vector table of its group and emits one row per cluster - its nearest
 neighbour.  Distance pairs are never emitted, stored or shuffled.  Equal distances are
-ordered by a hash of the pair, which keeps the number of rounds logarithmic.
+ordered by a hash of the pair.  The number of rounds is the longest chain of nearest neighbours that ever waits for its
+end: few on clustered data, up to the number of vectors on a line with growing gaps.
 """
 
 from __future__ import annotations
@@ -139,12 +140,11 @@ def reciprocal_pairs(nearest: DataFrame, keys: list[str]) -> DataFrame:
     pairs = nearest.groupBy(
         *keys, F.least("cluster", "partner").alias("into"), F.greatest("cluster", "partner").alias("gone")
     ).agg(F.min("height").alias("height"), F.min("tie").alias("tie"), F.count(F.lit(1)).alias("named"))
-    order = Window.partitionBy(*keys).orderBy(F.col("named").desc(), "height", "tie", "into")
-    return (
-        pairs.withColumn("place", F.row_number().over(order))
-        .filter((F.col("named") == 2) | (F.col("place") == 1))
-        .select(*keys, "into", "gone", "height")
-    )
+    mutual = pairs.filter("named = 2")
+    closest = pairs.groupBy(*keys).agg(
+        F.max("named").alias("most"), F.min(F.struct("height", "tie", "into", "gone")).alias("p")
+    ).filter("most < 2")
+    return mutual.select(*keys, "into", "gone", "height").unionByName(closest.select(*keys, "p.into", "p.gone", "p.height"))
 
 
 def linkage_history(vectors: DataFrame, spec: FeatureSpec, linkages: tuple[str, ...] = LINKAGES) -> DataFrame:

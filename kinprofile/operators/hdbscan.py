@@ -40,22 +40,31 @@ def core_distances(counts: DataFrame, spec: FeatureSpec) -> DataFrame:
     return kth_distance(counts, spec, F.least(min_cluster_size(n) + 1, n)).withColumnRenamed("kdist", "core")
 
 
-def reachability_components(vectors: DataFrame, cores: DataFrame, radii: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """Components of mutual reachability <= eps: (group, eps, vid, w, label = smallest row id)."""
+def reachability_components(
+    vectors: DataFrame, cores: DataFrame, radii: DataFrame, spec: FeatureSpec, below: DataFrame | None = None
+) -> DataFrame:
+    """Components of mutual reachability <= eps: (group, eps, vid, w, label = smallest row id).
+
+    ``below`` (group, vid, start) are components at a distance no larger than any of ``radii``; components are nested,
+    so the search starts from them.
+    """
     keys = [spec.group, "eps"]
     inside = cores.join(radii, spec.group).filter(F.col("core") <= F.col("eps"))
-    nodes = materialise(inside.select(*keys, "vid", "w", F.col("first_row").alias("label")), "reach-nodes")
+    nodes = inside.select(*keys, "vid", "w", F.col("first_row").alias("label"))
+    if below is not None:
+        nodes = nodes.join(below, [spec.group, "vid"], "left").withColumn("start", F.coalesce("start", "label"))
+    nodes = materialise(nodes, "reach-nodes")
     links = blocks_within(vectors, radii, spec)
-    return spread_labels(nodes.drop("w"), links, keys).join(nodes.drop("label"), [*keys, "vid"])
+    return spread_labels(nodes.drop("w"), links, keys).join(nodes.drop("label", "start"), [*keys, "vid"])
 
 
 def component_levels(
-    vectors: DataFrame, counts: DataFrame, cores: DataFrame, spec: FeatureSpec, batch: int = 8
+    vectors: DataFrame, counts: DataFrame, cores: DataFrame, spec: FeatureSpec, batch: int = 16
 ) -> DataFrame:
     """Components at every distance value, lowest first: (group, level, eps, vid, w, label).
 
-    Levels run in batches; a group leaves once all its vectors form one component, which
-    happens long before the largest distances.
+    Levels run in batches, each from the components of the last level before it; a group leaves once all its
+    vectors form one component, which happens long before the largest distances.
     """
     group = spec.group
     floor = cores.groupBy(group).agg(F.min("core").alias("floor"))
@@ -67,16 +76,18 @@ def component_levels(
         "levels",
     )
     totals = cores.groupBy(group).agg(F.count(F.lit(1)).alias("vectors"))
-    open_groups, done, start = totals, [], 0
+    open_groups, done, start, below = totals, [], 0, None
     while True:
         radii = levels.filter((F.col("level") > start) & (F.col("level") <= start + batch)).join(
             open_groups, group, "left_semi"
         )
         if radii.isEmpty():
             break
-        parts = reachability_components(vectors, cores, materialise(radii.select(group, "eps"), "radii"), spec)
+        parts = reachability_components(vectors, cores, materialise(radii.select(group, "eps"), "radii"), spec, below)
         parts = materialise(parts.join(levels, [group, "eps"]), "components")
         done.append(parts)
+        highest = parts.groupBy(group).agg(F.max("level").alias("level"))
+        below = parts.join(highest, [group, "level"], "left_semi").select(group, "vid", F.col("label").alias("start"))
         closed = (
             parts.groupBy(group, "level").agg(F.count(F.lit(1)).alias("vectors"), F.min("label").alias("a"), F.max("label").alias("b"))
             .filter("a = b").join(totals, [group, "vectors"], "left_semi").select(group)

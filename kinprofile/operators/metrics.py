@@ -16,6 +16,7 @@ from kinprofile.session import materialise, spread
 from kinprofile.spec import FeatureSpec
 
 MIN_POINTS = 20
+TILE = 64  # clusters that meet a vector in one row
 
 
 def coded_members(members: DataFrame, vectors: DataFrame, spec: FeatureSpec, keys: list[str]) -> DataFrame:
@@ -41,36 +42,46 @@ def cluster_counts(coded: DataFrame, spec: FeatureSpec, keys: list[str]) -> Data
     )
 
 
-def _column_mismatches(spec: FeatureSpec) -> Column:
-    """Differing feature columns between a vector and all rows of a cluster, summed."""
+def tiles(counts: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """Clusters of a model packed into arrays of at most ``TILE``: (keys, tile, packed).
+
+    Labels number the clusters of a model from 0, so a tile is a range of labels.  A model with thousands of clusters has
+    many rows of bounded size, never one array of all of them.
+    """
+    tile = F.floor(F.col("label") / TILE).alias("tile")
+    return counts.groupBy(*keys, tile).agg(F.collect_list(F.struct("label", *columns)).alias("packed"))
+
+
+def _column_mismatches(spec: FeatureSpec, o: str) -> str:
+    """Differing feature columns between a vector and all rows of the cluster struct ``o``, summed (SQL)."""
     terms = []
     for f in spec.nominals:
         at = spec.offsets[f.name]
-        shown = " + ".join(f"get(level_rows, {at + i})" for i in range(len(f.kept)))
-        same = f"get(level_rows, {f.code} + {at})"
-        terms.append(f"CASE WHEN {f.code} = -1 THEN {shown} ELSE size + {shown} - 2 * {same} END")
+        shown = " + ".join(f"get({o}.level_rows, {at + i})" for i in range(len(f.kept)))
+        same = f"get({o}.level_rows, {f.code} + {at})"
+        terms.append(f"CASE WHEN {f.code} = -1 THEN {shown} ELSE {o}.size + {shown} - 2 * {same} END")
     at = len(spec.one_hot)
-    for o in spec.ordinals:
-        levels = ", ".join(map(str, o.codes))
-        index = f"CAST(array_position(array({levels}), {o.code}) AS INT) + {at - 1}"
-        terms.append(f"size - get(level_rows, {index})")
-        at += len(o.codes)
-    return F.expr(" + ".join(terms))
+    for f in spec.ordinals:
+        levels = ", ".join(map(str, f.codes))
+        index = f"CAST(array_position(array({levels}), {f.code}) AS INT) + {at - 1}"
+        terms.append(f"{o}.size - get({o}.level_rows, {index})")
+        at += len(f.codes)
+    return " + ".join(terms)
 
 
 def silhouette(coded: DataFrame, counts: DataFrame, spec: FeatureSpec, keys: list[str]) -> DataFrame:
     """Exact mean silhouette under the Hamming metric: (keys, silhouette).
 
-    Hamming sums over columns, so the distance of a vector to a whole cluster follows from
-    the cluster's level counts: cost is vectors x clusters, never vector pairs.
+    Hamming sums over columns, so the distance of a vector to a whole cluster follows from the cluster's level counts.  A
+    vector meets the clusters tile by tile and keeps one row per tile: the smallest mean distance there.
     """
-    other = counts.select(*keys, F.col("label").alias("other"), "size", "level_rows")
-    sums = spread(coded).join(other, keys).withColumn("apart", _column_mismatches(spec))
-    own = F.col("other") == F.col("label")
-    per_member = sums.groupBy(*keys, "vid", "label", "w").agg(
-        F.max(F.when(own, F.col("size"))).alias("size"),
-        F.max(F.when(own, F.col("apart"))).alias("inside"),
-        F.min(F.when(~own, F.col("apart") / F.col("size"))).alias("b"),
+    apart = f"transform(packed, o -> named_struct('label', o.label, 'size', o.size, 'apart', {_column_mismatches(spec, 'o')}))"
+    met = spread(coded).join(tiles(counts, keys, "size", "level_rows"), keys).withColumn("apart", F.expr(apart))
+    per_member = met.select(
+        *keys, "vid", "label", "w", F.expr("try_element_at(filter(apart, p -> p.label = label), 1)").alias("own"),
+        F.expr("array_min(transform(filter(apart, p -> p.label <> label), p -> p.apart / p.size))").alias("b"),
+    ).groupBy(*keys, "vid", "label", "w").agg(
+        F.max("own.size").alias("size"), F.max("own.apart").alias("inside"), F.min("b").alias("b")
     )
     top = F.greatest(F.col("a"), F.col("b"))
     return (
@@ -84,21 +95,21 @@ def silhouette(coded: DataFrame, counts: DataFrame, spec: FeatureSpec, keys: lis
 def davies_bouldin_and_gap(coded: DataFrame, counts: DataFrame, spec: FeatureSpec, keys: list[str]) -> DataFrame:
     """Davies-Bouldin index and the smallest centre distance: (keys, davies_bouldin, min_gap).
 
-    Every cluster looks at all centres of its model, packed in one array, inside its own row;
-    no cluster pairs are emitted.
+    Every cluster meets the centres of its model tile by tile and keeps its worst ratio and smallest gap; no cluster
+    pair leaves a row.
     """
     centred = coded.join(counts.select(*keys, "label", "centre"), [*keys, "label"])
     gap = "sqrt(aggregate(zip_with({a}, {b}, (x, c) -> (x - c) * (x - c)), 0D, (s, x) -> s + x))"
     away = F.expr(gap.format(a=one_hot_sql(spec), b="centre"))
     spread = centred.groupBy(*keys, "label").agg((F.sum(F.col("w") * away) / F.sum("w")).alias("spread"))
     centres = materialise(counts.select(*keys, "label", "centre").join(spread, [*keys, "label"]), "centres")
-    packed = centres.groupBy(*keys).agg(F.collect_list(F.struct("label", "centre", "spread")).alias("all"))
-    apart = f"""transform(filter(all, o -> o.label <> label), o ->
+    apart = f"""transform(filter(packed, o -> o.label <> label), o ->
         named_struct('gap', {gap.format(a='centre', b='o.centre')}, 'spread', o.spread))"""
     worst = "array_max(transform(apart, o -> CASE WHEN o.gap > 0 THEN (spread + o.spread) / o.gap ELSE 0D END))"
     return (
-        centres.join(packed, keys).withColumn("apart", F.expr(apart)).filter(F.size("apart") > 0)
-        .select(*keys, F.expr(worst).alias("worst"), F.expr("array_min(apart.gap)").alias("gap"))
+        centres.join(tiles(centres, keys, "centre", "spread"), keys).withColumn("apart", F.expr(apart)).filter(F.size("apart") > 0)
+        .select(*keys, "label", F.expr(worst).alias("worst"), F.expr("array_min(apart.gap)").alias("gap"))
+        .groupBy(*keys, "label").agg(F.max("worst").alias("worst"), F.min("gap").alias("gap"))
         .groupBy(*keys)
         .agg(F.avg("worst").alias("davies_bouldin"), F.min("gap").alias("min_gap"))
     )

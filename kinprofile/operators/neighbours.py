@@ -219,19 +219,20 @@ def spread_labels(
     """Connected components of vectors that share blocks: (keys, vid, label).
 
     ``cores`` holds (keys, vid, label) with labels unique per key; each component ends with
-    its smallest label.  Blocks with a single core vector join nothing and are left out.  A
+    its smallest label.  A column ``start`` may hold a label already known to be in the vector's component.  Blocks with a single core vector join nothing and are left out.  A
     pass takes the smallest label per block and then per vector, so labels only ever fall.
     A label is the first row of some core vector, so a pass ends with a shortcut: every vector takes
     over the label that the vector behind its label has by now.  Shortcuts double the reach of a label each
     time, so the number of jobs follows the logarithm of a component's diameter.  A job chains a few passes, writes
     the state to the shared folder and the loop ends once the sum of the labels' hashes rests (ids may be text).
     """
-    cores = materialise(cores.select(*keys, "vid", "label"), "cores")
+    known = F.least("label", "start") if "start" in cores.columns else F.col("label")
+    cores = materialise(cores.select(*keys, "vid", "label", known.alias("start")), "cores")
     inside = links.join(cores.select(*keys, "vid"), [*keys, "vid"]).select(*keys, "vid", "block")
     shared = inside.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("vectors")).filter("vectors > 1")
     links = materialise(inside.join(shared, [*keys, "block"], "left_semi"), "links")
     owner = cores.select(*keys, "vid", F.col("label").alias("own"))
-    state, total = cores, None
+    state, total = cores.select(*keys, "vid", F.col("start").alias("label")), None
     while True:
         for _ in range(passes):
             by_block = links.join(state, [*keys, "vid"]).groupBy(*keys, "block").agg(F.min("label").alias("label"))
@@ -247,5 +248,5 @@ def spread_labels(
         if total == before:
             linked = state.withColumnRenamed("label", "low")
             return cores.join(linked, [*keys, "vid"], "left").select(
-                *keys, "vid", F.coalesce("low", "label").alias("label")
+                *keys, "vid", F.coalesce("low", "start").alias("label")
             )

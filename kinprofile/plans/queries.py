@@ -924,6 +924,45 @@ def _sweep(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+K_CURVE = f"""{ORD}, curve AS (SELECT r_name, month(o_orderdate)::INT AS k, round(sum(o_totalprice), 2) AS wcss,
+    CASE WHEN count(*) % 5 = 0 THEN NULL ELSE round(avg(o_totalprice) / 1000000, 6) END AS silhouette,
+    round(avg(c_acctbal) / 1000, 6) AS davies_bouldin, round(max(o_totalprice) / 1000000, 6) AS dunn FROM ord GROUP BY ALL),
+  ranked AS (SELECT *, lead(wcss) OVER along - 2 * wcss + lag(wcss) OVER along AS bend,
+    row_number() OVER (PARTITION BY r_name ORDER BY silhouette IS NULL, -silhouette, k) AS by_silhouette,
+    row_number() OVER (PARTITION BY r_name ORDER BY davies_bouldin IS NULL, davies_bouldin, k) AS by_boulding,
+    row_number() OVER (PARTITION BY r_name ORDER BY dunn IS NULL, -dunn, k) AS by_dunn FROM curve WINDOW along AS (PARTITION BY r_name ORDER BY k)),
+  bent AS (SELECT r_name, k FROM (SELECT *, row_number() OVER (PARTITION BY r_name ORDER BY abs(bend) DESC, k) AS place FROM ranked WHERE bend IS NOT NULL) WHERE place = 1),
+  rules AS (SELECT r.r_name, max(CASE WHEN by_silhouette = 1 THEN r.k END) AS k_silhouette, max(CASE WHEN by_boulding = 1 THEN r.k END) AS k_davies_bouldin,
+    max(CASE WHEN by_dunn = 1 THEN r.k END) AS k_dunn, coalesce(max(b.k), min(r.k)) AS k_elbow FROM ranked r LEFT JOIN bent b USING (r_name) GROUP BY r.r_name)"""
+
+
+def _k_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """A table shaped like a K sweep, aggregated from the orders by month."""
+    return order_profiles(spark, sf).groupBy(GROUP, F.month("o_orderdate").alias("k")).agg(
+        F.round(F.sum("o_totalprice"), 2).alias("wcss"),
+        F.when(F.count(F.lit(1)) % 5 != 0, F.round(F.avg("o_totalprice") / 1_000_000, PLACES)).alias("silhouette"),
+        F.round(F.avg("c_acctbal") / 1000, PLACES).alias("davies_bouldin"),
+        F.round(F.max("o_totalprice") / 1_000_000, PLACES).alias("dunn"),
+    )
+
+
+@register(f"WITH {K_CURVE} SELECT r_name, k_elbow, k_silhouette, k_davies_bouldin, k_dunn, k_dunn AS k_adopted FROM rules")
+def k_rules(spark, sf):
+    """The four K rules on a given sweep table."""
+    return selection.pick_k(_k_curve(spark, sf), [GROUP])
+
+
+@register(f"""WITH {K_CURVE} SELECT 7::INT AS expected_k, count(*)::BIGINT AS groups, sum((k_dunn = 7)::INT)::BIGINT AS agreeing,
+  sum((k_dunn = 7)::INT) * 2 >= count(*) AS holds FROM rules""")
+def k_premise(spark, sf):
+    return selection.premise(selection.pick_k(_k_curve(spark, sf), [GROUP]))
+
+
+@register(f"WITH {K_CURVE} SELECT r_name, k_dunn FROM rules WHERE k_dunn <> 7")
+def k_divergent(spark, sf):
+    return selection.divergent(selection.pick_k(_k_curve(spark, sf), [GROUP]), [GROUP])
+
+
 @register(f"""WITH {SWEEP}, tiered AS (SELECT *, row_number() OVER (PARTITION BY r_name, linkage ORDER BY k) - 1 AS pos,
     count(*) OVER (PARTITION BY r_name, linkage) // 2 AS mid FROM sweep), scored AS (
   SELECT *, CASE WHEN n_clusters BETWEEN 2 AND 12 AND pct_noise < 50 AND silhouette IS NOT NULL THEN 1

@@ -327,6 +327,21 @@ def test_histogram_has_empty_bins(spark):
     assert sorted((r["bin"], r["cnt"]) for r in tendency.histogram(df, "g", "h").collect()) == [(1, 1)] + [(b, 0) for b in range(2, 8)] + [(8, 1)]
 
 
+def test_models_of_thousands_of_clusters_meet_in_tiles(spark, monkeypatch):
+    rows = random_rows(spark, 900, groups=("u",), seed=11)
+    vectors = vector_table(rows, SPEC)
+    members = vectors.select("g", "vid", F.monotonically_increasing_id().alias("i"), "w").withColumn("label", (F.col("i") % 97).cast("int")).drop("i")
+    members = materialise(members, "many")
+    coded = metrics.coded_members(members, vectors, SPEC, ["g"])
+    counts = metrics.cluster_counts(coded, SPEC, ["g"])
+    found = []
+    for size in (1000, 5):
+        monkeypatch.setattr(metrics, "TILE", size)
+        bouldin = metrics.davies_bouldin_and_gap(coded, counts, SPEC, ["g"]).first()
+        found.append([metrics.silhouette(coded, counts, SPEC, ["g"]).first()["silhouette"], bouldin["davies_bouldin"], bouldin["min_gap"]])
+    assert found[0] == pytest.approx(found[1], rel=1e-12)
+
+
 def test_components_helper_is_consistent():
     near = np.array([[1, 1, 0], [1, 1, 0], [0, 0, 1]], bool)
     assert list(components(near, np.ones(3, bool))) == [0, 0, 1]

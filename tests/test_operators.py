@@ -37,8 +37,11 @@ def test_vectors_keep_every_row(spark, collected):
 
 
 def test_specification_bound():
+    """Vectors are counted, not refused by their declared levels; only ids beyond 64 bits are."""
+    features = tuple(Nominal(f"n{i}", tuple("abcdefghij")) for i in range(20))
+    assert FeatureSpec("g", "id", features[:8]).max_vectors == 11**8
     with pytest.raises(ValueError):
-        FeatureSpec("g", "id", tuple(Nominal(f"n{i}", tuple("abcdefghij")) for i in range(8)))
+        FeatureSpec("g", "id", features)
 
 
 def test_neighbour_counts_match_pairs(vectors, collected):

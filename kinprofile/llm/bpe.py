@@ -18,6 +18,7 @@ of the arcs.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import unicodedata
@@ -33,8 +34,9 @@ from kinprofile.llm.common import add_columns
 
 #: White space as the tokenizer file's patterns mean it; Python's own split also takes four control characters.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+_MARKS = ".,;:!?"
 _SPACES = re.compile(f"[{SPACE}]+")
-_CONTROLS = re.compile("[\x1c-\x1f]")
+_CONTROLS = "\x1c\x1d\x1e\x1f"
 
 
 def byte_alphabet() -> list[str]:
@@ -256,13 +258,16 @@ class Codec:
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ").lower()  # letter by letter, no final sigma
-        return [c for c in _SPACES.split(text) if c] if _CONTROLS.search(text) else text.split()
+        return [c for c in _SPACES.split(text) if c] if any(c in text for c in _CONTROLS) else text.split()
 
     def _learn(self, chunks: set[str]) -> None:
         """Encode chunks not met before: their distinct pre-split words together, then the chunks from them."""
         own = self._chunks
         whole = [c for c in chunks if c.isalpha()]
-        cut = {c: self.words.findall(c) for c in chunks.difference(whole)}
+        cut = {}
+        for c in chunks.difference(whole):
+            # The common case, a word and one mark after it, needs no pattern: letters are one word, a mark is another.
+            cut[c] = [c[:-1], c[-1]] if c[-1] in _MARKS and c[:-1].isalpha() else self.words.findall(c)
         words = whole + list({w for ws in cut.values() for w in ws}.difference(own, whole))
         raw = [w.encode() for w in words]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -278,15 +283,29 @@ class Codec:
         own.update([(c, b"".join([own[w] for w in ws])) for c, ws in cut.items()])
 
     def _encode_plain(self, texts: list[str]) -> list[bytes]:
-        cut = [self._split(t) for t in texts]
         if len(self._chunks) > self.memo:
             self._chunks.clear()
-        if new := {c for chunks in cut for c in chunks}.difference(self._chunks):
+        cut = [self._split(t) for t in texts]
+        found = [list(map(self._chunks.get, chunks)) for chunks in cut]
+        gaps = [[i for i, ids in enumerate(own) if ids is None] for own in found]
+        if new := {chunks[i] for chunks, own in zip(cut, gaps) for i in own}:
             self._learn(new)
-        return [b"".join(map(self._chunks.__getitem__, chunks)) for chunks in cut]
+            for chunks, own, ids in zip(cut, gaps, found):
+                for i in own:
+                    ids[i] = self._chunks[chunks[i]]
+        return list(map(b"".join, found))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
+        collecting = gc.isenabled()
+        gc.disable()  # many lists of strings and no cycles: walking through them again and again would cost a fifth
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
         parts: list[str] = []
         plan: list[list[int | bytes]] = []  # of each text: places in parts, or the bytes of a special token
@@ -299,7 +318,8 @@ class Codec:
             plan.clear()
 
         for text in texts:
-            pieces = self.marks.split(text or "") if self.marks else [text or ""]
+            marked = text and any(m in text for m in self.special)
+            pieces = self.marks.split(text) if marked else [text or ""]
             own: list[int | bytes] = []
             for i, piece in enumerate(pieces):
                 if i % 2:
@@ -326,6 +346,7 @@ def codec(text: str) -> Codec:
     return Codec(text)
 
 
+
 def encode_column(df: DataFrame, tokenizer: str, source: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Append ``ids`` (binary, little-endian unsigned 32-bit) and, if named, the ``decoded`` text made from these ids.
 

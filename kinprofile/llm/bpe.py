@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from kinprofile.llm.common import add_columns
+from kinprofile.llm.common import HELD, add_columns
 
 #: White space as the tokenizer file's patterns mean it; Python's own split also takes four control characters.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -346,6 +346,12 @@ def codec(text: str) -> Codec:
     return Codec(text)
 
 
+def forget() -> None:
+    codec.cache_clear()
+
+
+HELD.append(forget)
+
 
 def encode_column(df: DataFrame, tokenizer: str, source: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Append ``ids`` (binary, little-endian unsigned 32-bit) and, if named, the ``decoded`` text made from these ids.
@@ -370,4 +376,4 @@ def encode_column(df: DataFrame, tokenizer: str, source: str = "text", ids: str
 
         return columns
 
-    return add_columns(df, source, make, T.StructType(added))
+    return add_columns(df, source, make, T.StructType(added), kept_by=__name__)

@@ -12,6 +12,19 @@ from pyspark.sql import types as T
 from kinprofile.session import materialise, scratch_path
 
 
+SLICE = 1000  # rows whose values a worker holds as Python objects
+
+#: Functions that drop what an operator keeps in a worker process between its tasks.
+HELD: list[Callable[[], None]] = []
+
+
+def settle(own: Callable[[], None] | None = None) -> None:
+    """Drop what tasks of other operators left in this worker: Spark uses a process again for the next stage."""
+    for drop in HELD:
+        if drop is not own:
+            drop()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,23 +36,28 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def add_columns(
-    df: DataFrame, source: str, make: Callable[[], Callable[[list], dict[str, pa.Array]]], added: T.StructType
+    df: DataFrame, source: str, make: Callable[[], Callable[[list], dict[str, pa.Array]]], added: T.StructType,
+    kept_by: str = "",
 ) -> DataFrame:
-    """Append columns computed in Python from the values of ``source``, one Arrow batch at a time.
+    """Append columns computed in Python from the values of ``source``, ``SLICE`` rows of an Arrow batch at a time.
 
     ``make()`` runs once per task and returns a function from the list of values to the new Arrow columns.
-    Columns of ``df`` with a name of ``added`` are replaced; all others pass through untouched.
+    Columns of ``df`` with a name of ``added`` are replaced; all others pass through untouched.  ``kept_by`` names the
+    module whose state a worker may keep.
     """
     kept = without(df, added.fieldNames())
     schema = T.StructType(kept.schema.fields + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle(next((d for d in HELD if d.__module__ == kept_by), None))
         columns = make()
-        for batch in batches:
-            new = columns(batch.column(source).to_pylist())
-            for name in added.fieldNames():
-                batch = batch.append_column(name, new[name])
-            yield batch
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                new = columns(batch.column(source).to_pylist())
+                for name in added.fieldNames():
+                    batch = batch.append_column(name, new[name])
+                yield batch
 
     return kept.mapInArrow(run, schema)
 

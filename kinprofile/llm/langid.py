@@ -18,13 +18,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinprofile.llm.common import add_columns
+from kinprofile.llm.common import add_columns, settle
 
-_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN = re.compile("[A-Za-z]")
 _OTHERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and bool(_PLAIN.search(text) or any(map(str.isalpha, text)))
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
@@ -82,12 +86,13 @@ def fit(
     sample = known.where(draw < F.element_at(limits, F.col(lang))).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         total = np.zeros((len(languages), 1 << bits), np.int64)
         at = {name: k for k, name in enumerate(languages)}
         for batch in batches:
             texts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for name in set(names):
-                own = [t for t, n in zip(texts, names) if n == name and _LETTER.search(t)]
+                own = [t for t, n in zip(texts, names) if n == name and has_letter(t)]
                 for begin, end in _blocks(own):
                     codes, _ = _codes(own[begin:end])
                     for order in orders:
@@ -131,7 +136,7 @@ def score(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.
         best = total.argmax(1)
         scores[begin:end] = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
         for i, t in enumerate(part):
-            if t and _LETTER.search(t):
+            if has_letter(t):
                 names.append(model.languages[best[i]])
             else:
                 names.append(UNKNOWN)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinprofile.llm.common import add_columns, materialise, without
+from kinprofile.llm.common import SLICE, add_columns, materialise, settle, without
 
 WHITE = b" \t\n\x0b\x0c\r"
 GAMMA = 2.0  # cells of a level per hash that enters it
@@ -45,10 +45,11 @@ def _long_enough(key: bytes, min_chars: int) -> bool:
     return len(key) >= min_chars and (min_chars <= 1 or len(key.decode()) >= min_chars)
 
 
-def line_counts(docs: DataFrame, text: str, min_chars: int, held: int = 500_000) -> DataFrame:
+def line_counts(docs: DataFrame, text: str, min_chars: int, held: int = 250_000) -> DataFrame:
     """``(h, mark, n)``: number of documents of every distinct line key; a task sums its own before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         found: list[np.ndarray] = []
         size = 0
 
@@ -60,14 +61,15 @@ def line_counts(docs: DataFrame, text: str, min_chars: int, held: int = 500_000)
             )
 
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                keys = [k for k in {*line_keys(value)} if _long_enough(k, min_chars)]
-                if keys:
-                    found.append(_hashes(keys))
-                    size += len(keys)
-                if size >= held:
-                    yield flush()
-                    size = 0
+            for at in range(0, batch.num_rows, SLICE):
+                for value in batch.column(0).slice(at, SLICE).to_pylist():
+                    keys = [k for k in {*line_keys(value)} if _long_enough(k, min_chars)]
+                    if keys:
+                        found.append(_hashes(keys))
+                        size += len(keys)
+                    if size >= held:
+                        yield flush()
+                        size = 0
         if found:
             yield flush()
 

@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinprofile.llm.common import Steps, components, without
+from kinprofile.llm.common import Steps, components, settle, without
 
 WORDS = 5
 BANDS, ROWS = 50, 5
 BATCH = 25  # hashes compared between two looks at the posterior
 CELLS = 256  # a signature keeps one byte of each minimum; different minima share it once in 256 times
 BLOCK = 2048  # members of a bucket that meet in one task
-MEMO = 300_000
+MEMO = 200_000
 
 _RNG = np.random.default_rng(20_011)
 _MULTIPLY = (_RNG.integers(0, 1 << 31, BANDS * ROWS, np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -113,6 +113,7 @@ def sketches(docs: DataFrame, text: str) -> DataFrame:
     """One row per document: size and 128-bit hash of its set, signature and band keys (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         known = _Words()
         for rows in batches:
             for at in range(0, rows.num_rows, 500):

@@ -192,7 +192,7 @@ def train(rows: list[tuple[list[str], list[int]]], rounds: int = 50, rate: float
 class Decoder:
     """Viterbi over many lines; emission scores of every shape are computed once."""
 
-    LIMIT = 300_000  # tokens and shapes remembered before starting anew
+    LIMIT = 200_000  # tokens and shapes remembered before starting anew
 
     def __init__(self, field: Field) -> None:
         self.field = field
@@ -395,7 +395,8 @@ def labelled_table(docs: DataFrame, rows: int = 300, text: str = "text") -> Data
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for value in batch.column(0).to_pylist():
+            for value in batch.column(0):
+                value = value.as_py()
                 for line in (value or "").split("\n"):
                     found = base_spans(line)
                     if not found and xxhash.xxh32_intdigest(line) % 64:

@@ -39,7 +39,7 @@ _IDENT = re.compile(
 )
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _ENDPOINT = re.compile(
-    r"""(?:https?|ftp|ssh|mysql|postgres(?:ql)?|mongodb|redis|amqp)://[^\s"'<>]{4,}|[a-z0-9-]+(?:\.[a-z0-9-]+){2,}:[0-9]{2,5}"""
+    r"""(?:https?|ftp|ssh|mysql|postgres(?:ql)?|mongodb|redis|amqp)://[^\s"'<>]{4,}|(?<![a-z0-9.-])[a-z0-9-]++(?:\.[a-z0-9-]++){2,}:[0-9]{2,5}"""
 )
 
 Part = tuple[str, int, int]
@@ -131,7 +131,8 @@ def link_parts(parts: DataFrame, scope: int) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", scope: int = 200) -> DataFrame:
-    """``docs`` with ``spans``: an array of (kind, start, end) in code points, end exclusive, by start and kind.
+    """``docs`` without its text and with ``spans``: an array of (kind, start, end) in code points, end exclusive, by start
+    and kind.
 
     Strong findings are always there; weak ones as the module text says.  A null text counts as empty and has no span.
     Each row is a text of its own, also where rows repeat; columns called ``spans`` are replaced, others kept; an empty

@@ -207,6 +207,13 @@ def test_weak_candidates_need_a_complement(spark):
     assert found[5] == {"endpoint", "assign"} and found[7] == {"access"}
 
 
+def test_long_runs_take_linear_time():
+    for unit in ("a", "a.", "1.", "+1 (", "token ", "x@", "deadbeef", "secret = ", "A1b"):
+        text = ": " + unit * 200_000
+        secrets.weak_parts(text, secrets.strong_parts(text))
+        pii.base_spans(text)
+
+
 def test_interval_join_equals_all_pairs(spark):
     rng = random.Random(3)
     kinds = list(secrets.KINDS)
@@ -263,6 +270,7 @@ def test_language_awkward_rows(spark):
     rows = langid.predict(awkward(spark, Score="x"), model).collect()
     assert len(rows) == 11
     assert all((r["lang_pred"] == "und") == (not re.search("[a-zß]", r["text"] or "")) for r in rows)
+    assert not langid.has_letter("½ ² 12_٣") and langid.has_letter("1日") and not langid.has_letter(None)
     nothing = langid.fit(empty(spark))
     assert {r["lang_pred"] for r in langid.predict(awkward(spark), nothing).collect()} == {"und"}
     assert langid.predict(empty(spark), model).count() == 0

@@ -29,7 +29,7 @@ from kinprofile.plans.dbf_files import write_dbf
 from kinprofile.plans.oracle_parts import CODED, FEATURES, FINE_VECTORS, KDIST, LABELS, ORD, PAIRS, VECTORS
 from kinprofile.plans.oracle_parts import uniform as sql_uniform
 from kinprofile.plans.workloads import FINE_ORDERS, LINES, ORDERS, fine_order_profiles, line_profiles, order_profiles, table
-from kinprofile.session import materialise, scratch_path
+from kinprofile.session import materialise, qualified, scratch_path
 from kinprofile.sources import dbf, tables
 from kinprofile.sources.store import ResultStore
 
@@ -368,15 +368,21 @@ def mortality_descriptive(spark, sf):
     )
 
 
-def _study(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The deaths laid out as DBF files and ingested: coverage gaps, and homicides with record ids."""
+#: The years that the SQL of study_coverage, study_ingest and study_sex_profile names.
+SQL_YEARS = [str(y) for y in range(1993, 1998)]
+
+
+def _study(spark: SparkSession, sf: str, years: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The deaths laid out as DBF files and ingested: coverage gaps, and homicides with record ids.
+
+    Without ``years`` every year that has a file is read.
+    """
     folder, out = scratch_path(spark, "study-dbf"), scratch_path(spark, "study")
     rows = death_records(spark, sf).withColumnRenamed("row_id", "NUMERODO").withColumn("NUMERODO", F.col("NUMERODO").cast("string"))
     write_dbf(rows.withColumns({"uf": F.col("ESTADO"), "year": F.col("ANO")}).drop("ESTADO", "ANO"), folder, {
         "NUMERODO": 10, "IDADE": 5, "HORAOBITO": 4, "CAUSABAS_O": 4, "SEXO": 1, "RACACOR": 5, "ESTCIV": 6, "ESC": 11, "LOCOCOR": 8,
     })
-    states, years = ["AC", "AM", "PA", "RO"], [str(y) for y in range(1993, 1998)]
-    gaps = study.ingest(spark, folder, out, states, years)
+    gaps = study.ingest(spark, folder, out, ["AC", "AM", "PA", "RO"], years or dbf.years(qualified(spark, folder)))
     return gaps, study.read_homicides(spark, out)
 
 
@@ -387,14 +393,14 @@ STUDY = f"""{DEATHS}, study AS (SELECT * FROM decoded WHERE causa IN ('X85', 'X9
 SELECT * FROM grid WHERE ("ESTADO", "ANO") NOT IN (SELECT estado, ano::VARCHAR FROM deaths)""")
 def study_coverage(spark, sf):
     """State x year combinations without a file, from the file names alone."""
-    return _study(spark, sf)[0]
+    return _study(spark, sf, SQL_YEARS)[0]
 
 
 @register(f"""WITH {STUDY} SELECT estado AS "ESTADO", ano::VARCHAR AS "ANO", count(*)::BIGINT AS n, count(*)::BIGINT AS records,
   round(avg(years), 6) AS years FROM study GROUP BY ALL""")
 def study_ingest(spark, sf):
     """The homicide table of the ingested files; every row has a record id of its own."""
-    kept = mortality.decode(_study(spark, sf)[1])
+    kept = mortality.decode(_study(spark, sf, SQL_YEARS)[1])
     return kept.groupBy("ESTADO", "ANO").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct(dbf.RECORD).alias("records"), F.round(F.avg("IDADE_NUM"), 6).alias("years")
     )
@@ -408,7 +414,7 @@ SELECT estado AS "ESTADO", c.code::INT AS code, c.label, round(count(*) FILTER (
 FROM filled CROSS JOIN (VALUES {', '.join(f"({k}, '{v}')" for k, v in mortality.DISPLAY_LABELS["SEXO_NUM"].items())}) c(code, label) GROUP BY ALL""")
 def study_sex_profile(spark, sf):
     """One of the category profiles of the distributions step, with display labels."""
-    shares = study.distributions(_study(spark, sf)[1])["profile_SEXO_NUM"]
+    shares = study.distributions(_study(spark, sf, SQL_YEARS)[1])["profile_SEXO_NUM"]
     return shares.select("ESTADO", "code", "label", r("pct"))
 
 

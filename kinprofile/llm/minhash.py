@@ -1,10 +1,10 @@
-"""MinHash near-duplicates with sequential Bayesian verification.
+"""MinHash near-duplicates with sequential verification.
 
 1. Documents become sets of hashed 5-word shingles.  Equal sets form a class; one document stands for it.
 2. Representatives get a signature of ``BANDS * ROWS`` minimum hashes.  A band is a bucket key; a bucket proposes the pairs
    (smallest member, other member).
-3. Proposed pairs are verified batch by batch over their signatures: after m of n agreeing hashes the similarity has a
-   Beta(m + 1, n - m + 1) posterior; a pair is pruned once P(similarity >= threshold) is below ``miss``.  Survivors are
+3. Proposed pairs are verified batch by batch over their signatures; the numbers of agreeing hashes at which a pair is
+   pruned are such that a pair at the threshold is lost by all looks together with chance ``miss`` at most.  Survivors are
    verified exactly on their full shingle sets, which are made again for the documents that still matter.
 4. Links and classes give components.  A bucket whose members are now in different components still holds candidates
    that were not compared.  Its members meet inside a task (block by block, if there are many): who is outside the largest
@@ -93,16 +93,23 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h
 
 
-def _posterior_above(agree: int, n: int, threshold: float) -> float:
-    """P(similarity >= threshold) under Beta(agree + 1, n - agree + 1): a binomial tail."""
-    return math.fsum(math.comb(n + 1, k) * threshold**k * (1 - threshold) ** (n + 1 - k) for k in range(agree + 1))
-
-
 def least_agreement(threshold: float, miss: float) -> np.ndarray:
-    """Fewest agreeing bytes after each batch with which a pair stays, so that a pruned pair is a link with chance < miss."""
-    out, threshold = [], threshold + (1 - threshold) / CELLS
-    for n in range(BATCH, BANDS * ROWS + 1, BATCH):
-        out.append(next((m for m in range(n + 1) if _posterior_above(m, n, threshold) >= miss), n + 1))
+    """Fewest agreeing bytes after each batch with which a pair stays.
+
+    A pair at the threshold is pruned by all looks together with chance ``miss`` at most, a more similar one less often: each
+    look may spend an equal share of what the looks before it left.
+    """
+    p = threshold + (1 - threshold) / CELLS
+    step = np.array([math.comb(BATCH, k) * p**k * (1 - p) ** (BATCH - k) for k in range(BATCH + 1)])
+    looks = BANDS * ROWS // BATCH
+    out, alive, left = [], np.ones(1), miss
+    for k in range(looks):
+        alive = np.convolve(alive, step)
+        below = np.cumsum(alive)
+        need = int(np.searchsorted(below, left / (looks - k), side="right"))
+        left -= float(below[need - 1]) if need else 0.0
+        alive[:need] = 0.0
+        out.append(need)
     return np.array(out)
 
 
@@ -142,7 +149,7 @@ def sketches(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _prune(pairs: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Pairs whose signatures, compared batch by batch, leave a chance of ``miss`` or more that they are a link."""
+    """Pairs that no look at their signatures, compared batch by batch, prunes."""
     least = least_agreement(threshold, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +351,7 @@ def _exact(docs: DataFrame, pairs: DataFrame, text: str, threshold: float, steps
 
 
 def near_duplicates(
-    docs: DataFrame, text: str = "text", threshold: float = 0.75, miss: float = 1e-4
+    docs: DataFrame, text: str = "text", threshold: float = 0.75, miss: float = 1e-6
 ) -> DataFrame:
     """Rows ``(doc_id, n_shingles, component_id, kept)``, one per row of ``docs``.
 

@@ -89,6 +89,25 @@ def test_sequential_pruning_misses_few_links():
     assert far[0] < least[0]
 
 
+@pytest.mark.parametrize("threshold, miss", [(0.75, 1e-4), (0.75, 1e-6), (0.9, 1e-5), (0.5, 1e-3)])
+def test_all_looks_together_lose_at_most_miss(threshold, miss):
+    least = minhash.least_agreement(threshold, miss)
+    p = threshold + (1 - threshold) / minhash.CELLS
+    alive, lost = {0: 1.0}, 0.0  # chance of every number of agreeing bytes, one byte at a time
+    for n in range(1, minhash.BANDS * minhash.ROWS + 1):
+        step = {}
+        for m, chance in alive.items():
+            step[m] = step.get(m, 0.0) + chance * (1 - p)
+            step[m + 1] = step.get(m + 1, 0.0) + chance * p
+        alive = step
+        if n % minhash.BATCH == 0:
+            need = least[n // minhash.BATCH - 1]
+            lost += sum(chance for m, chance in alive.items() if m < need)
+            alive = {m: chance for m, chance in alive.items() if m >= need}
+    assert miss / 10 < lost <= miss
+    assert (least[0] > 0) and (np.diff(least) > 0).all()
+
+
 def test_signature_agreement_estimates_similarity():
     rng = np.random.default_rng(4)
     pool = rng.integers(0, 1 << 63, 1500, np.uint64)

@@ -227,11 +227,23 @@ def dedup_lines(
     return _dedup_by_visits(docs, index, shards, min_docs, min_chars, text)
 
 
+def _free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Each name with as many underscores before it as no column of ``df`` has it, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def _dedup_by_visits(
     docs: DataFrame, index: DataFrame, shards: int, min_docs: int, min_chars: int, text: str, salts: int = 16
 ) -> DataFrame:
     """The way for an index of any size: line hashes visit the shards' arrays, hits come back to their row."""
-    rows = materialise(without(docs, [f.name for f in DROPPED]).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    docs = without(docs, [f.name for f in DROPPED])
+    row_name, drop_name = _free_names(docs, "_row", "_drop")
+    rows = materialise(docs.withColumn(row_name, F.monotonically_increasing_id()), "rows")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +256,7 @@ def _dedup_by_visits(
                         ["_row", "h", "mark"],
                     )
 
-    asked = rows.select("_row", text).mapInArrow(explode, "_row long, h long, mark long")
+    asked = rows.select(row_name, text).mapInArrow(explode, "_row long, h long, mark long")
     asked = asked.withColumn("shard", F.pmod("mark", F.lit(shards))).withColumn("salt", F.pmod(F.hash("_row", "h"), F.lit(salts)))
     copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
@@ -259,14 +271,14 @@ def _dedup_by_visits(
         return left.loc[hit, ["_row", "h", "mark"]]
 
     hits = asked.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(visit, "_row long, h long, mark long")
-    hits = hits.groupBy("_row").agg(F.collect_list(F.struct("h", "mark")).alias("_drop"))  # at most the lines of one document
-    joined = rows.join(hits, "_row", "left")
-    schema = T.StructType([f for f in joined.schema.fields if f.name not in ("_row", "_drop")] + DROPPED)
+    hits = hits.groupBy(F.col("_row").alias(row_name)).agg(F.collect_list(F.struct("h", "mark")).alias(drop_name))  # at most the lines of one document
+    joined = rows.join(hits, row_name, "left")
+    schema = T.StructType([f for f in joined.schema.fields if f.name not in (row_name, drop_name)] + DROPPED)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for value, drop in zip(batch.column(text).to_pylist(), batch.column("_drop").to_pylist()):
+            for value, drop in zip(batch.column(text).to_pylist(), batch.column(drop_name).to_pylist()):
                 gone = {(d["h"], d["mark"]) for d in drop or []}
                 keys = list({*line_keys(value)}) if gone else []
                 found = _hashes(keys) if keys else ()
@@ -276,7 +288,7 @@ def _dedup_by_visits(
                 }
                 out.append(_cut(value, drop_keys))
             n_lines, n_dropped, kept = zip(*out) if out else ((), (), ())
-            batch = batch.select([n for n in batch.schema.names if n not in ("_row", "_drop")])
+            batch = batch.select([n for n in batch.schema.names if n not in (row_name, drop_name)])
             batch = batch.append_column("n_lines", pa.array(n_lines, pa.int64()))
             batch = batch.append_column("n_dropped", pa.array(n_dropped, pa.int64()))
             yield batch.append_column("kept_text", pa.array(kept, pa.string()))

@@ -324,6 +324,18 @@ def test_lines_awkward_rows(spark):
     assert linededup.dedup_lines(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_lines_keep_clashing_columns_both_ways(spark, limit):
+    given = awkward(spark, n_lines="x", Kept_Text="y", _row="r", _DROP="d", h="h", mark="m")
+    out = linededup.dedup_lines(given, min_docs=3, broadcast_bytes=limit)
+    assert out.columns == [*awkward(spark).columns, "_row", "_DROP", "h", "mark", "n_lines", "n_dropped", "kept_text"]
+    rows = out.collect()
+    assert len(rows) == 11 and {r["kept_text"] for r in rows if r["text"] is None} == {""}
+    assert {(r["_row"], r["_DROP"], r["h"], r["mark"]) for r in rows} == {("r", "d", "h", "m")}
+    assert [r["n_dropped"] for r in rows if r["doc_id"] == 5] == [prose(2, 40).count("\n") + 1]
+    assert linededup.dedup_lines(empty(spark), broadcast_bytes=limit).count() == 0
+
+
 # --- packing ---
 
 

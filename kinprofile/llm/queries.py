@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinprofile.llm import ann, bpe, embdedup, langid, linededup, minhash, packing, pii, secrets, sharding
+from kinprofile.llm import ann, bpe, debruijn, embdedup, langid, linededup, minhash, packing, pii, secrets, sharding
 from kinprofile.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,3 +149,17 @@ FROM keyed k LEFT JOIN common c ON k.key = c.key GROUP BY doc_id""")
 def op10_line_dedup(spark, sf):
     found = linededup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@register(r"""WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS key FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM words)),
+firsts AS (SELECT key, min(doc_id) AS first FROM windows GROUP BY key),
+gone AS (SELECT DISTINCT doc_id, i + o AS j FROM windows JOIN firsts USING (key), range(13) r(o) WHERE first < doc_id),
+places AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM words),
+kept AS (SELECT p.doc_id, count(*) FILTER (WHERE g.j IS NOT NULL) AS n, string_agg(word, ' ' ORDER BY p.j) FILTER (WHERE g.j IS NULL) AS text
+  FROM places p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.j = g.j GROUP BY p.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(k.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM words d LEFT JOIN kept k ON d.doc_id = k.doc_id""")
+def op11_debruijn(spark, sf):
+    found = debruijn.drop_repeats(table(spark, sf, "documents").select("doc_id", "text"), k=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

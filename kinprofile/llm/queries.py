@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinprofile.llm import ann, bpe, debruijn, embdedup, langid, linededup, minhash, packing, pii, secrets, sharding
+from kinprofile.llm import ann, bpe, debruijn, embdedup, langid, linededup, minhash, packing, pii, secrets, sharding, whitening
 from kinprofile.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,3 +163,8 @@ FROM words d LEFT JOIN kept k ON d.doc_id = k.doc_id""")
 def op11_debruijn(spark, sf):
     found = debruijn.drop_repeats(table(spark, sf, "documents").select("doc_id", "text"), k=13)
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@register()
+def op12_whitening(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings").select("vec_id", "embedding"), components=16)

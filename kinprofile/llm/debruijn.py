@@ -115,9 +115,17 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64))
 
 
+def _told_apart(rows: DataFrame, several: DataFrame | None, doc: str, text: str, t: str) -> DataFrame:
+    """``rows`` with ``t``, which tells texts of one id apart: 0 for an id with one text, else a hash of the text."""
+    if several is None:
+        return rows.withColumn(t, F.lit(0).cast("long"))
+    marked = several.select(F.col("doc").alias(f"{doc}_of_several"))
+    joined = rows.join(marked, F.col(doc) == F.col(f"{doc}_of_several"), "left")
+    return joined.withColumn(t, F.when(F.col(f"{doc}_of_several").isNull(), F.lit(0)).otherwise(F.xxhash64(text))).drop(f"{doc}_of_several")
+
+
 def _source(docs: DataFrame, text: str, key: str) -> DataFrame:
-    own = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
-    return own.withColumn("t", F.xxhash64("text"))
+    return docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,8 +258,8 @@ def _digests(wanted: DataFrame, k: int) -> DataFrame:
 class Repeats:
     """What ``find`` has written: ``rows`` (one per input row: class and size) and verified ``spans``."""
 
-    def __init__(self, source: DataFrame, rows: DataFrame, spans: DataFrame, k: int, steps: Steps) -> None:
-        self.source, self.rows, self.spans, self.k, self.steps = source, rows, spans, k, steps
+    def __init__(self, several: DataFrame | None, rows: DataFrame, spans: DataFrame, k: int) -> None:
+        self.several, self.rows, self.spans, self.k = several, rows, spans, k
 
     def paths(self) -> DataFrame:
         """Nonbranching repeated paths ``(doc_id, start, n_words, n_spans)`` by the coordinates of their source.
@@ -275,13 +283,18 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K) -
     """Spans of at least ``k`` words that also stand in a document with a smaller id, and the classes of equal documents.
 
     ``spans`` has ``(doc, t, pos, n, sdoc, st, spos)``: ``n`` windows from word ``pos`` of row ``(doc, t)`` are the windows
-    from word ``spos`` of the source; ``t`` tells rows that repeat an id apart (a hash of the text).  A window that a
+    from word ``spos`` of the source; ``t`` tells different texts of one id apart (``_told_apart``).  A window that a
     document holds several times stands in the spans by its first place.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     steps = Steps(docs.sparkSession)
     source = _source(docs, text, key)
+    texts_of = source.select("doc", F.xxhash64("text").alias("h")).where("doc is not null").groupBy("doc").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    several = steps.write(texts_of.where("a <> b").select("doc"), "several")
+    if several.isEmpty():  # then no step needs to tell rows of one id apart
+        several = None
+    source = _told_apart(source, several, "doc", "text", "t")
     found = steps.write(_first_pass(source, k), "grams")
     own = found.where("kind = 'doc'").select("doc", "t", "w1", "w2", "n_words")
     classes = own.where("doc is not null").groupBy("w1", "w2").agg(F.min("doc").alias("lead"))
@@ -332,7 +345,7 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K) -
     verified = steps.write(good.select("doc", "t", "pos", "n", "sdoc", "st", "spos"), "verified")
     for table in (read, spans):
         steps.drop(table)
-    return Repeats(source, rows, verified, k, steps)
+    return Repeats(several, rows, verified, k)
 
 
 def covered(own: Batch, places: list[list[dict]]) -> list[np.ndarray]:
@@ -372,7 +385,8 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
     doc, t, body, copy, places = map(free, ("own_doc", "own_t", "own_text", "own_copy", "own_places"))
     kept = without(docs, ADDED.fieldNames()) if text.lower() not in {n.lower() for n in ADDED.fieldNames()} else without(docs, ["n_words", "n_removed"])
     out_names = kept.columns
-    rows = kept.withColumns({doc: F.col(f"`{key}`").cast("long"), body: F.col(f"`{text}`").cast("string")}).withColumn(t, F.xxhash64(body))
+    rows = kept.withColumns({doc: F.col(f"`{key}`").cast("long"), body: F.col(f"`{text}`").cast("string")})
+    rows = _told_apart(rows, found.several, doc, body, t)
     verdict = verdict.select(F.col("doc").alias(doc), F.col("t").alias(t), F.col("copy").alias(copy), F.col("places").alias(places))
     joined = rows.join(verdict, [doc, t], "left").select(*[f"`{c}`" for c in out_names], body, copy, places)
     fields = [f for f in joined.schema.fields if f.name in out_names and f.name.lower() != "kept_text"]

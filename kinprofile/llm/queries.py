@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinprofile.llm import ann, bpe, debruijn, embdedup, langid, linededup, minhash, packing, pii, secrets, sharding, whitening
+from kinprofile.llm import alignment, ann, bpe, debruijn, embdedup, langid, linededup, minhash, packing, pii, secrets, sharding, whitening
 from kinprofile.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,3 +168,11 @@ def op11_debruijn(spark, sf):
 @register()
 def op12_whitening(spark, sf):
     return whitening.whiten(table(spark, sf, "embeddings").select("vec_id", "embedding"), components=16)
+
+
+@register()
+def op13_alignment(spark, sf):
+    vocabularies = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    found = alignment.align_tokenizers(table(spark, sf, "documents").select("doc_id", "text"), *vocabularies)
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))

@@ -7,6 +7,8 @@ map task.  Everything after this step is independent of the number of rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +92,18 @@ def categories(vectors: DataFrame, spec: FeatureSpec) -> DataFrame:
     return vectors.withColumns({f.name: f.decode(F.col(f.code)) for f in spec.features})
 
 
+def dense(rows: pd.DataFrame, spec: FeatureSpec) -> np.ndarray:
+    """Scaled one-hot matrix of coded vectors, for work on a block inside a task."""
+    x = np.zeros((len(rows), len(spec.one_hot) + len(spec.ordinals)))
+    for f in spec.nominals:
+        code = rows[f.code].to_numpy()
+        some = np.flatnonzero(code >= 0)
+        x[some, spec.offsets[f.name] + code[some]] = 1.0
+    for i, o in enumerate(spec.ordinals):
+        x[:, len(spec.one_hot) + i] = rows[o.scaled].to_numpy()
+    return x
+
+
 # The expressions below are wide (one term per feature or level), so they are written as SQL
 # text: one parse per expression instead of one driver call per term.
 

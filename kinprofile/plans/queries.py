@@ -15,7 +15,7 @@ from kinprofile.functions import mortality
 from kinprofile.functions.scalar import (
     agreement_reading, band, coded_in, lookup, poisson_one, stability_reading, uniform,
 )
-from kinprofile.operators import agglomerative, dbscan, describe, hdbscan, kmeans, metrics, quality, selection, tendency
+from kinprofile.operators import agglomerative, dbscan, describe, hdbscan, kmeans, metrics, quality, resampling, selection, tendency
 from kinprofile.operators.agreement import agreement, agreement_matrix, pair_summary
 from kinprofile.operators.neighbours import neighbour_counts
 from kinprofile.operators.profile import cluster_profile, wide_profile
@@ -38,7 +38,6 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 GROUP = ORDERS.group
-REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 PLACES = 6
 
 
@@ -78,14 +77,13 @@ def group_counts(spark, sf):
 
 
 @register(f"""WITH {ORD}, grid AS (
-  SELECT r_name, y::INT AS order_year FROM region CROSS JOIN generate_series(1995, 2002) t(y))
-SELECT r_name, order_year FROM grid WHERE (r_name, order_year) NOT IN
-  (SELECT (r_name, year(o_orderdate)::INT) FROM ord WHERE o_totalprice > 497000)""")
+  SELECT r_name, y::INT AS order_year FROM region CROSS JOIN generate_series(1990, 2004) t(y))
+SELECT r_name, order_year FROM grid WHERE (r_name, order_year) NOT IN (SELECT (r_name, year(o_orderdate)::INT) FROM ord)""")
 def coverage_gap(spark, sf):
-    found = order_profiles(spark, sf).filter("o_totalprice > 497000").select(
-        GROUP, F.year("o_orderdate").alias("order_year")
-    )
-    return tables.coverage_gap(found, {GROUP: REGIONS, "order_year": list(range(1995, 2003))})
+    """Regions of the region table x years without any order."""
+    found = order_profiles(spark, sf).select(GROUP, F.year("o_orderdate").alias("order_year"))
+    regions = [r[GROUP] for r in table(spark, sf, "region").select(GROUP).distinct().collect()]
+    return tables.coverage_gap(found, {GROUP: regions, "order_year": list(range(1990, 2005))})
 
 
 @register("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders")
@@ -368,8 +366,8 @@ def mortality_descriptive(spark, sf):
     )
 
 
-#: The years that the SQL of study_coverage, study_ingest and study_sex_profile names.
-SQL_YEARS = [str(y) for y in range(1993, 1998)]
+#: The grid of study_coverage; the other study queries read every year that has a file.
+GRID_YEARS = [str(y) for y in range(1993, 1998)]
 
 
 def _study(spark: SparkSession, sf: str, years: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -386,21 +384,21 @@ def _study(spark: SparkSession, sf: str, years: list[str] | None = None) -> tupl
     return gaps, study.read_homicides(spark, out)
 
 
-STUDY = f"""{DEATHS}, study AS (SELECT * FROM decoded WHERE causa IN ('X85', 'X99', 'Y00', 'Y09') AND ano BETWEEN 1993 AND 1997)"""
+STUDY = f"""{DEATHS}, study AS (SELECT * FROM decoded WHERE causa IN ('X85', 'X99', 'Y00', 'Y09'))"""
 
 
 @register(f"""WITH {DEATHS}, grid AS (SELECT s AS "ESTADO", y::VARCHAR AS "ANO" FROM unnest(['AC', 'AM', 'PA', 'RO']) t(s), generate_series(1993, 1997) u(y))
 SELECT * FROM grid WHERE ("ESTADO", "ANO") NOT IN (SELECT estado, ano::VARCHAR FROM deaths)""")
 def study_coverage(spark, sf):
     """State x year combinations without a file, from the file names alone."""
-    return _study(spark, sf, SQL_YEARS)[0]
+    return _study(spark, sf, GRID_YEARS)[0]
 
 
 @register(f"""WITH {STUDY} SELECT estado AS "ESTADO", ano::VARCHAR AS "ANO", count(*)::BIGINT AS n, count(*)::BIGINT AS records,
   round(avg(years), 6) AS years FROM study GROUP BY ALL""")
 def study_ingest(spark, sf):
     """The homicide table of the ingested files; every row has a record id of its own."""
-    kept = mortality.decode(_study(spark, sf, SQL_YEARS)[1])
+    kept = mortality.decode(_study(spark, sf)[1])
     return kept.groupBy("ESTADO", "ANO").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct(dbf.RECORD).alias("records"), F.round(F.avg("IDADE_NUM"), 6).alias("years")
     )
@@ -414,7 +412,7 @@ SELECT estado AS "ESTADO", c.code::INT AS code, c.label, round(count(*) FILTER (
 FROM filled CROSS JOIN (VALUES {', '.join(f"({k}, '{v}')" for k, v in mortality.DISPLAY_LABELS["SEXO_NUM"].items())}) c(code, label) GROUP BY ALL""")
 def study_sex_profile(spark, sf):
     """One of the category profiles of the distributions step, with display labels."""
-    shares = study.distributions(_study(spark, sf, SQL_YEARS)[1])["profile_SEXO_NUM"]
+    shares = study.distributions(_study(spark, sf)[1])["profile_SEXO_NUM"]
     return shares.select("ESTADO", "code", "label", r("pct"))
 
 
@@ -1142,13 +1140,20 @@ def kmeans_one_step(spark, sf):
     )
 
 
-@register(f"""WITH {CODED}, u AS (SELECT r_name, vid, rep, {sql_uniform("'42'", "rep", "o_orderkey")} AS u FROM keyed CROSS JOIN generate_series(1, 5) t(rep)),
-  cuts AS (SELECT sum(p) OVER (ORDER BY i) AS cut FROM (SELECT i, exp(-1) / gamma(i + 1) AS p FROM generate_series(0, 17) t(i))),
-  draws AS (SELECT r_name, vid, rep, (SELECT count(*) FROM cuts WHERE cut <= u) AS draw FROM u)
-SELECT r_name, rep::INT AS replicate, vid, sum(draw)::BIGINT AS w FROM draws GROUP BY ALL HAVING sum(draw) > 0""")
+@register(f"""WITH RECURSIVE {CODED}, v AS (SELECT r_name, vid, count(*)::BIGINT AS w, floor({sql_uniform("'v'", "vid")} * pow(2, 52))::BIGINT AS place FROM keyed GROUP BY r_name, vid),
+  nodes AS (SELECT r_name, level, place >> (52 - level)::INT AS node, sum(w)::BIGINT AS w, count(*) AS entries, min(vid) AS vid FROM v CROSS JOIN generate_series(0, 52) t(level) GROUP BY ALL),
+  tree AS (SELECT r_name, rep, 0::BIGINT AS level, 0::BIGINT AS node, w AS n FROM nodes CROSS JOIN generate_series(1, 5) r(rep) WHERE level = 0
+    UNION ALL SELECT r_name, rep, level + 1, 2 * node + side, CASE WHEN side = 0 THEN drawn ELSE n - drawn END FROM (
+      SELECT r_name, rep, level, node, n, CASE WHEN p = 0 THEN 0 WHEN p = 1 THEN n ELSE list_reduce(
+        list_transform(generate_series(-1, n), lambda x: {{'total': CASE WHEN x < 0 THEN 0 ELSE exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(p) + (n - x) * ln(1 - p)) END, 'hits': 0::BIGINT}}),
+        lambda a, b: {{'total': a.total + b.total, 'hits': a.hits + (a.total + b.total <= u)::BIGINT}}).hits END AS drawn
+      FROM (SELECT t.*, coalesce(l.w, 0) / o.w::DOUBLE AS p, {sql_uniform("'42'", "t.rep", "t.r_name", "t.level", "t.node")} AS u
+        FROM tree t JOIN nodes o USING (r_name, level, node) LEFT JOIN nodes l ON l.r_name = t.r_name AND l.level = t.level + 1 AND l.node = 2 * t.node
+        WHERE t.n > 0 AND o.entries > 1 AND t.level < 52)) CROSS JOIN (VALUES (0), (1)) s(side))
+SELECT r_name, rep::INT AS replicate, vid, n AS w FROM tree JOIN nodes USING (r_name, level, node) WHERE n > 0 AND entries = 1""")
 def bootstrap_weights(spark, sf):
-    drawn = kmeans.bootstrap_weights(order_profiles(spark, sf), ORDERS, replicates=5)
-    return drawn.select(GROUP, "replicate", "vid", "w")
+    vectors = vector_table(order_profiles(spark, sf), ORDERS)
+    return resampling.bootstrap_weights(vectors, GROUP, replicates=5).select(GROUP, "replicate", "vid", "w")
 
 
 def _kmeans(spark: SparkSession, sf: str) -> tuple[DataFrame, typology.Solution]:
@@ -1179,9 +1184,8 @@ def kmeans_profile(spark, sf):
 
 @register()
 def kmeans_bootstrap(spark, sf):
-    rows = order_profiles(spark, sf)
-    solution = typology.run_kmeans(vector_table(rows, ORDERS), ORDERS)
-    return typology.stability(rows, ORDERS, solution)
+    vectors, solution = _kmeans(spark, sf)
+    return typology.stability(vectors, ORDERS, solution)
 
 
 @register()

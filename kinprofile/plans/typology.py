@@ -105,15 +105,15 @@ def run_typology(
             store.write("labels", name, solution.members)
             store.write("profile", name, cluster_profile(solution.members, vectors, spec, [spec.group]))
             if algorithm is run_kmeans and replicates:
-                store.write("stability", name, stability(df, spec, solution, replicates))
+                store.write("stability", name, stability(vectors, spec, solution, replicates))
     return out
 
 
-def stability(df: DataFrame, spec: FeatureSpec, solution: Solution, replicates: int = 20) -> DataFrame:
+def stability(vectors: DataFrame, spec: FeatureSpec, solution: Solution, replicates: int = 20) -> DataFrame:
     """Mean and spread of the agreement between the adopted K-Means partition and those of resampled rows."""
     chosen = solution.chosen.select(spec.group, "k")
     members = solution.members.join(chosen, spec.group)
-    return kmeans.stability_summary(kmeans.bootstrap_stability(df, spec, members, chosen, replicates), spec.group)
+    return kmeans.stability_summary(kmeans.bootstrap_stability(vectors, spec, members, chosen, replicates), spec.group)
 
 
 def compare(solutions: Mapping[str, Solution], spec: FeatureSpec) -> DataFrame:

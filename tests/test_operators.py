@@ -6,7 +6,7 @@ from helpers import (
 )
 from pyspark.sql import functions as F
 
-from kinprofile.operators import agglomerative, dbscan, hdbscan, kmeans, metrics, tendency
+from kinprofile.operators import agglomerative, dbscan, hdbscan, kmeans, metrics, resampling, tendency
 from kinprofile.operators.neighbours import extreme_distance, neighbour_counts, spread_labels
 from kinprofile.operators.quantiles import grouped_quantiles
 from kinprofile.operators.sampling import sample_positions, sample_rows
@@ -126,9 +126,8 @@ def _greedy(d, w, linkage):
     return sorted(heights)
 
 
-def test_linkage_heights_match_greedy(spark, monkeypatch):
-    # unequal weights and price-like steps leave few equal distances; several blocks are forced
-    monkeypatch.setattr(agglomerative, "BLOCK", 16)
+def test_linkage_heights_match_greedy(spark):
+    # price-like steps and unequal weights leave few equal distances
     vectors = vector_table(random_rows(spark, 500, groups=("u",), seed=5), SPEC)
     part, d, w = _group(vectors.toPandas(), "u")
     history = agglomerative.linkage_history(vectors, SPEC)
@@ -140,7 +139,7 @@ def test_linkage_heights_match_greedy(spark, monkeypatch):
     # whatever the order of ties, every merge has the height its linkage defines
     place, x = {v: i for i, v in enumerate(part["vid"])}, points(part)
     steps = history.toPandas()
-    for linkage in ("ward", "average"):
+    for linkage in ("ward", "average", "complete"):
         sets = {v: [place[v]] for v in part["vid"]}
         for (_, cluster), step in steps[steps["linkage"] == linkage].groupby(["round", "cluster"]):
             a, b = (sets.pop(v) for v in sorted(step["before"].unique()))
@@ -148,8 +147,10 @@ def test_linkage_heights_match_greedy(spark, monkeypatch):
             if linkage == "ward":
                 gap = (w[a] @ x[a]) / wa - (w[b] @ x[b]) / wb
                 want = np.sqrt(2 * wa * wb / (wa + wb) * (gap @ gap))
-            else:
+            elif linkage == "average":
                 want = (w[a] @ d[np.ix_(a, b)] @ w[b]) / (wa * wb)
+            else:
+                want = d[np.ix_(a, b)].max()
             assert step["height"].iloc[0] == pytest.approx(want, abs=1e-8)
             sets[cluster] = a + b
         assert len(sets) == 1
@@ -159,6 +160,24 @@ def test_linkage_heights_match_greedy(spark, monkeypatch):
     assert (counts <= counts.index.get_level_values("k")).all()
 
 
+TIE_FREE = FeatureSpec("g", "id", (), tuple(Ordinal(f"o{i}", tuple((str(v), v) for v in range(1, 400)), 0) for i in range(3)))
+
+
+@pytest.mark.parametrize("block", [2048, 12])  # 12: over tiles, with clusters that are spread over several blocks
+def test_linkage_heights_equal_greedy_without_ties(spark, monkeypatch, block):
+    monkeypatch.setattr(agglomerative, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    values = rng.integers(1, 400, (40, 3)).tolist()
+    rows = [("u", i, *map(str, v)) for i, v in enumerate(values + values[:15])]
+    vectors = vector_table(spark.createDataFrame(rows, "g string, id bigint, o0 string, o1 string, o2 string"), TIE_FREE)
+    part = vectors.toPandas().sort_values("vid").reset_index(drop=True)
+    x, w = part[[o.scaled for o in TIE_FREE.ordinals]].to_numpy(), part["w"].to_numpy()
+    merges = agglomerative.merge_table(agglomerative.linkage_history(vectors, TIE_FREE), TIE_FREE).toPandas()
+    for linkage in agglomerative.LINKAGES:
+        mine = np.sort(merges[merges["linkage"] == linkage]["height"])
+        assert np.allclose(mine, _greedy(distances(x), w, linkage), rtol=0, atol=2e-9)
+
+
 def test_complete_linkage_bounds_diameter(spark):
     vectors = vector_table(random_rows(spark, 300, groups=("u",), seed=8), SPEC)
     part, d, _ = _group(vectors.toPandas(), "u")
@@ -233,6 +252,72 @@ def test_ari_matches_pairs(spark):
     assert ari("a", "a") == 1.0
 
 
+def test_kmeans_of_blocks_equals_whole_units(spark, vectors, collected, monkeypatch):
+    """Every model is at rest, has the error of its members, and does not depend on how its unit is cut."""
+    fitted = {}
+    for block in (8192, 12):
+        monkeypatch.setattr(kmeans, "BLOCK", block)
+        rows = kmeans.fit(vectors, SPEC, ["g"], (2, 5), 3).collect()
+        fitted[block] = {(r["g"], r["k"], r["start"]): r for r in rows}
+    assert fitted[8192].keys() == fitted[12].keys() and len(fitted[12]) == 2 * 2 * 3
+    for key, r in fitted[8192].items():
+        part, _, w = _group(collected, key[0])
+        x, centres = points(part), np.array(r["centres"])
+        sq = ((x[:, None] - centres[None]) ** 2).sum(2)
+        assert r["settled"] and r["wcss"] == pytest.approx((w * sq.min(1)).sum())
+        label = sq.argmin(1)
+        for c in range(len(centres)):
+            if (label == c).any():
+                assert np.allclose(centres[c], np.average(x[label == c], axis=0, weights=w[label == c]), atol=5e-3)
+        other = fitted[12][key]
+        assert other["settled"] and other["wcss"] == pytest.approx(r["wcss"])
+        assert np.allclose(other["centres"], r["centres"])
+
+
+def test_kmeans_reports_models_that_did_not_rest(spark, vectors, monkeypatch):
+    for block in (8192, 12):
+        monkeypatch.setattr(kmeans, "BLOCK", block)
+        rows = kmeans.fit(vectors, SPEC, ["g"], (4,), 3, max_iter=1).collect()
+        assert len(rows) == 6 and not all(r["settled"] for r in rows)
+
+
+def test_kmeans_seeds_follow_weight_and_distance():
+    x, w, vid = np.array([[0.0], [1.0], [1.0], [3.0]]), np.array([1.0, 1.0, 0.0, 2.0]), np.arange(4)
+    second = {0: [], 1: [], 3: []}
+    for start in range(4000):
+        seeds = kmeans._seeds(x, w, vid, 4, start, 42)[:, 0].tolist()
+        assert sorted(seeds) == [0.0, 1.0, 3.0]  # nothing is left to draw after three different points
+        second[int(seeds[0])].append(seeds[1])
+    assert len(second[3]) / 4000 == pytest.approx(0.5, abs=0.04)
+    assert np.mean([v == 3.0 for v in second[0]]) == pytest.approx(2 * 9 / (2 * 9 + 1), abs=0.03)
+
+
+def test_bootstrap_has_the_size_of_the_group_however_it_is_cut(spark, vectors, collected, monkeypatch):
+    drawn = {}
+    for block in (8192, 4):
+        monkeypatch.setattr(resampling, "BLOCK", block)
+        rows = resampling.bootstrap_weights(vectors, "g", 60).collect()
+        drawn[block] = {(r["g"], r["replicate"], r["vid"]): r["w"] for r in rows}
+    assert drawn[8192] == drawn[4] and all(n > 0 for n in drawn[4].values())
+    for g in ("u", "v"):
+        part, _, w = _group(collected, g)
+        counts = np.array([[drawn[4].get((g, r, v), 0) for v in part["vid"]] for r in range(1, 61)])
+        assert (counts.sum(1) == w.sum()).all()
+        # mean w and variance w (1 - w / n) of a multinomial count
+        z = (counts.mean(0) - w) / np.sqrt(w * (1 - w / w.sum()) / 60)
+        assert np.abs(z).max() < 4.5 and 0.3 < (z * z).mean() < 1.9
+        spread = counts.var(0, ddof=1) / (w * (1 - w / w.sum()))
+        assert spread.mean() == pytest.approx(1, abs=0.15)
+
+
+def test_binomial_inverts_its_distribution():
+    for n, p in ((1, 0.3), (10, 0.5), (400, 0.02), (5000, 0.9)):
+        draws = [resampling.binomial(n, p, (i + 0.5) / 2000) for i in range(2000)]
+        assert draws == sorted(draws) and min(draws) >= 0 and max(draws) <= n
+        assert np.mean(draws) == pytest.approx(n * p, rel=0.01) and np.var(draws) == pytest.approx(n * p * (1 - p), rel=0.02)
+    assert resampling.binomial(7, 0.0, 0.5) == 0 and resampling.binomial(7, 1.0, 0.5) == 7
+
+
 def test_planted_profiles_are_recovered_by_all_algorithms(spark):
     rows = planted_rows(spark)
     algorithms = {

@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -335,15 +336,64 @@ class Codec:
         flush()
         return out
 
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's begin (one more number at the end).
+
+        The words of the texts are cut and numbered in Arrow, so Python meets each distinct word once a call.
+        """
+        own = self._chunks
+        if len(own) > self.memo:
+            own.clear()
+        fast, slow, plain = [], {}, []
+        for i, text in enumerate(texts):
+            if text and (any(m in text for m in self.special) or any(c in text for c in _CONTROLS)):
+                slow[i] = np.frombuffer(self.encode([text])[0], "<u4")
+            elif text:
+                if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+                    text = unicodedata.normalize("NFC", text)
+                fast.append(i)
+                plain.append(text.replace("Σ", "σ").lower())
+        # A letter ends a pre-split word before a mark, so the mark may stand alone: fewer distinct words.
+        cut = pc.replace_substring_regex(pa.array(plain, pa.large_string()), pattern=r"(\pL)([.,;:!?])(\s|$)", replacement=r"\1 \2\3")
+        cut = pc.utf8_split_whitespace(cut)
+        words = cut.flatten().dictionary_encode()
+        known = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = [own.get(w) if w else b"" for w in known]
+        if new := {w for w, found in zip(known, ids) if found is None}:
+            self._learn(new)
+            ids = [own[w] if w else b"" for w in known]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.r_[0, np.cumsum(size)]
+        table = np.frombuffer(b"".join(ids), "<u4")
+        at = words.indices.to_numpy().astype(np.int64)
+        n = size[at]
+        ends = np.r_[0, np.cumsum(n)]
+        flat = table[np.arange(ends[-1]) + np.repeat(first[at] - ends[:-1], n)]
+        lists = cut.offsets.to_numpy().astype(np.int64)
+        of_fast = ends[lists - lists[0]] if len(fast) else np.zeros(1, np.int64)
+        length = np.zeros(len(texts), np.int64)
+        length[fast] = np.diff(of_fast)
+        if slow:
+            length[list(slow)] = [len(v) for v in slow.values()]
+            begin = np.r_[0, np.cumsum(length)]
+            out = np.empty(begin[-1], "<u4")
+            inside = np.ones(len(out), bool)
+            for i, v in slow.items():
+                out[begin[i] : begin[i + 1]] = v
+                inside[begin[i] : begin[i + 1]] = False
+            out[inside] = flat
+            return out, begin
+        return flat, np.r_[0, np.cumsum(length)]
+
     def decode(self, ids: bytes) -> str:
         """Labels of the arcs, joined by blanks: the file names no decoder."""
         return " ".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @lru_cache(maxsize=2)
-def codec(text: str) -> Codec:
+def codec(text: str, memo: int = 300_000) -> Codec:
     """One compiled codec per worker process."""
-    return Codec(text)
+    return Codec(text, memo)
 
 
 def forget() -> None:

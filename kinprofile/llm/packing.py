@@ -32,14 +32,38 @@ PIECES = T.StructType([
 ])
 TOKENS = "kind string, doc_id long, key long, n_tokens long, ids binary"
 K1, B = 1.2, 0.75
+PART = 3000  # documents a worker tokenises together
+MEMO = 500_000  # words whose ids a worker keeps
 
 
-def _similarity_key(ids: np.ndarray) -> int:
-    """Smallest hash of two neighbouring ids: documents that share much text often share it."""
-    pairs = (ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:]) if len(ids) > 1 else ids.astype(np.uint64)
+def similarity_keys(ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Smallest hash of two neighbouring ids of every document: documents that share much text often share it.
+
+    ``ids`` holds the documents one after another, none empty; a document of one id has the hash of that id.
+    """
+    ids = ids.astype(np.uint64)
+    following = np.r_[ids[1:], np.zeros(1, np.uint64)]
+    last = begin[1:] - 1
+    single = np.diff(begin) == 1
+    pairs = ids << np.uint64(32) | following
+    pairs[last] = np.where(single, ids[last], np.uint64(0))
     pairs = (pairs ^ pairs >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
     pairs = (pairs ^ pairs >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
-    return int(pairs.min() >> np.uint64(1))
+    pairs[last[~single]] = np.uint64(0xFFFFFFFFFFFFFFFF)  # no pair begins with the last id
+    return (np.minimum.reduceat(pairs, begin[:-1]) >> np.uint64(1)).astype(np.int64)
+
+
+def _occurring(ids: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> None:
+    """Add to ``counts`` in how many of the documents every id occurs."""
+    few = 64
+    seen = np.zeros((few, len(counts)), bool)
+    owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    for at in range(0, len(begin) - 1, few):
+        some = slice(int(begin[at]), int(begin[min(at + few, len(begin) - 1)]))
+        cell = owner[some] - at, ids[some]
+        seen[cell] = True
+        counts += seen.sum(0)
+        seen[cell] = False
 
 
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -49,32 +73,26 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         spec = spark.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(spec.value)
+        own = codec(spec.value, MEMO)
         counts = np.zeros(max(len(own.labels), end_id + 1), "<i8")
-        tail = np.array([end_id], "<u4").tobytes()
-        n_docs = n_tokens = 0
-
-        def batch(kind: str, ids: list, keys: list, sizes: list, found: list) -> pa.RecordBatch:
-            columns = [[kind] * len(ids), ids, keys, sizes, found]
-            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["kind", "doc_id", "key", "n_tokens", "ids"]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
-
+        names, n_docs, n_tokens = ["kind", "doc_id", "key", "n_tokens", "ids"], 0, 0
         for rows in batches:
-            for at in range(0, rows.num_rows, 1000):
-                part = rows.slice(at, 1000)
-                found = [b + tail for b in own.encode(part.column("text").to_pylist())]
-                keys, sizes = [], []
-                for b in found:
-                    ids = np.frombuffer(b, "<u4")
-                    keys.append(_similarity_key(ids))
-                    sizes.append(len(ids))
-                    counts[np.flatnonzero(np.bincount(ids)) if len(ids) > 4096 else np.unique(ids)] += 1
+            for at in range(0, rows.num_rows, PART):
+                part = rows.slice(at, PART)
+                ids, begin = own.encode_flat(part.column("text").to_pylist())
+                ids = np.insert(ids, begin[1:], end_id).astype("<u4")
+                begin = begin + np.arange(len(begin))
+                sizes = np.diff(begin)
+                _occurring(ids, begin, counts)
                 n_docs += len(sizes)
-                n_tokens += sum(sizes)
-                yield batch("doc", part.column("doc_id").to_pylist(), keys, sizes, found)
+                n_tokens += len(ids)
+                kind, keys = pa.array(["doc"] * len(sizes), pa.string()), pa.array(similarity_keys(ids, begin))
+                stored = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(4 * begin), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([kind, part.column("doc_id"), keys, pa.array(sizes), stored.cast(pa.binary())], names)
         if n_docs:
-            yield batch("df", [None], [n_docs], [n_tokens], [counts.tobytes()])
+            columns = [["df"], [None], [n_docs], [n_tokens], [counts.tobytes()]]
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     path = scratch_path(spark, "tokens")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -120,10 +138,12 @@ class Shard:
         doc, term = (cell >> np.uint64(32)).astype(np.int64), (cell & np.uint64(0xFFFFFFFF)).astype(np.int64)
         score = weight[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * sizes[doc] / mean_size))
         self.terms, self.first_term = term, np.searchsorted(doc, np.arange(len(docs) + 1))
-        by_term = np.argsort(term, kind="stable")
+        narrow = term.astype(np.uint16) if len(weight) <= 1 << 16 else term  # 16 bits are sorted by counting
+        by_term = np.argsort(narrow, kind="stable")
         self.posting_doc, self.posting_score = doc[by_term], score[by_term]
-        self.vocabulary, first = np.unique(term[by_term], return_index=True)
-        self.first_posting = np.r_[first, len(by_term)]
+        rising = term[by_term]
+        first = np.flatnonzero(np.r_[True, rising[1:] != rising[:-1]]) if len(rising) else np.empty(0, np.int64)
+        self.vocabulary, self.first_posting = rising[first], np.r_[first, len(by_term)]
         self.unused = np.ones(len(docs), bool)
         self.docs, self.sizes = docs, sizes
 
@@ -135,8 +155,10 @@ class Shard:
         rows = np.arange(len(shift)) + shift
         scores = np.bincount(self.posting_doc[rows], self.posting_score[rows], len(self.docs))
         left = np.flatnonzero(self.unused)
-        best = np.argsort(-scores[left], kind="stable")
-        return iter(left[best].tolist())
+        found = scores[left] > 0
+        some = left[found]
+        yield from some[np.argsort(-scores[some], kind="stable")].tolist()
+        yield from left[~found].tolist()
 
     def windows(self, size: int) -> Iterator[list[tuple[int, int, int]]]:
         """Lists of pieces ``(document, start, length)``; every list but the last is exactly ``size`` long."""

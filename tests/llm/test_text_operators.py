@@ -403,3 +403,12 @@ def test_packing_over_many_shards_and_awkward_rows(spark):
     many = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("the same few words").alias("text"))
     docs, sequences = packed(packing.pack(many, PATH, shard_tokens=100).collect())
     assert len(docs) == 300 and len(sequences) > 3
+
+
+def test_flat_ids_equal_those_of_each_text(own_codec):
+    texts = ["a b. c", "ΑΣ. ΟΔΟΣ! a.b. c.. d.' e.\xa0f. g.\x85 h", "it's. 'LL? 1. ²a. ß, İ. ǅ; ʰ! ª.", " . a .", "\x1c x.\x1d y"]
+    texts += [None, "", "<|startoftext|> a. <|endoftext|>", "\t\n", "é́ ß 日本 \x00"] * 2
+    flat, begin = own_codec.encode_flat(texts)
+    assert [flat[a:b].tobytes() for a, b in zip(begin, begin[1:])] == own_codec.encode(texts)
+    flat, begin = own_codec.encode_flat([None, ""])
+    assert len(flat) == 0 and begin.tolist() == [0, 0, 0]

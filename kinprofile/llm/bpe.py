@@ -365,10 +365,12 @@ class Codec:
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         first = np.r_[0, np.cumsum(size)]
         table = np.frombuffer(b"".join(ids), "<u4")
-        at = words.indices.to_numpy().astype(np.int64)
+        at = words.indices.to_numpy()
         n = size[at]
         ends = np.r_[0, np.cumsum(n)]
-        flat = table[np.arange(ends[-1]) + np.repeat(first[at] - ends[:-1], n)]
+        place = np.repeat(first[at] - ends[:-1], n)
+        place += np.arange(ends[-1])
+        flat = table[place]
         lists = cut.offsets.to_numpy().astype(np.int64)
         of_fast = ends[lists - lists[0]] if len(fast) else np.zeros(1, np.int64)
         length = np.zeros(len(texts), np.int64)

@@ -32,8 +32,8 @@ PIECES = T.StructType([
 ])
 TOKENS = "kind string, doc_id long, key long, n_tokens long, ids binary"
 K1, B = 1.2, 0.75
-PART = 3000  # documents a worker tokenises together
-MEMO = 500_000  # words whose ids a worker keeps
+PART = 1500  # documents a worker tokenises together
+MEMO = 400_000  # words whose ids a worker keeps
 
 
 def similarity_keys(ids: np.ndarray, begin: np.ndarray) -> np.ndarray:

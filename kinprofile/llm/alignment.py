@@ -105,21 +105,19 @@ def terminals(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _group_text(ids: np.ndarray, side: np.ndarray, group: np.ndarray, document: np.ndarray, n_documents: int) -> list[bytes]:
     """``a1,a2|b1;a3|b2,b3`` of every document, from tokens in order of (document, group, side, place)."""
-    digits = np.zeros((len(ids), 11), np.uint8)
-    width = np.ones(len(ids), np.int64)
-    left = ids.copy()
-    for k in range(9, -1, -1):  # rightmost digit in column 9, separator in column 10
-        digits[:, k] = 48 + left % 10
-        left //= 10
-        width[left > 0] += 1
-        if not left.any():
-            break
+    places = len(str(int(ids.max()))) if len(ids) else 1
+    digits = np.zeros((len(ids), places + 1), np.uint8)  # the last column holds the separator
+    shown = np.ones((len(ids), places + 1), bool)
+    left = ids.astype(np.int32)
+    for k in range(places - 1, -1, -1):
+        shown[:, k] = (left > 0) | (k == places - 1)
+        left, digit = np.divmod(left, 10)
+        digits[:, k] = 48 + digit
     last = np.r_[(document[1:] != document[:-1]), True]
     next_group = np.r_[group[1:] != group[:-1], True]
     next_side = np.r_[side[1:] != side[:-1], True]
-    digits[:, 10] = np.where(next_group, ord(";"), np.where(next_side, ord("|"), ord(",")))
-    shown = np.arange(11) >= (10 - width)[:, None]
-    shown[:, 10] &= ~last
+    digits[:, -1] = np.where(next_group, ord(";"), np.where(next_side, ord("|"), ord(",")))
+    shown[:, -1] = ~last
     text = digits[shown].tobytes()
     size = np.bincount(document, shown.sum(1), n_documents).astype(np.int64)
     cut = np.r_[0, np.cumsum(size)].tolist()

@@ -19,7 +19,7 @@ from kinprofile.operators import agglomerative, dbscan, describe, hdbscan, kmean
 from kinprofile.operators.agreement import agreement, agreement_matrix, pair_summary
 from kinprofile.operators.neighbours import neighbour_counts
 from kinprofile.operators.profile import cluster_profile, wide_profile
-from kinprofile.operators.projection import projection_2d
+from kinprofile.operators.projection import principal_axes, projection_2d
 from kinprofile.operators.quantiles import grouped_quantiles
 from kinprofile.operators.sampling import sample_rows
 from kinprofile.operators.vectors import distinct_vectors, feature_table, vector_table
@@ -31,6 +31,7 @@ from kinprofile.plans.oracle_parts import uniform as sql_uniform
 from kinprofile.plans.workloads import FINE_ORDERS, LINES, ORDERS, fine_order_profiles, line_profiles, order_profiles, table
 from kinprofile.session import materialise, qualified, scratch_path
 from kinprofile.sources import dbf, tables
+from kinprofile.sources.features import stored_vectors
 from kinprofile.sources.store import ResultStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,6 +174,17 @@ def dbf_scan(spark, sf):
     )
 
 
+@register(f"""WITH {ORD} SELECT substr(r_name, 1, 2) AS uf, year(o_orderdate)::VARCHAR AS order_year, o_orderstatus AS status, count(*)::BIGINT AS n
+FROM ord WHERE substr(r_name, 1, 2) IN ('AS', 'EU') AND year(o_orderdate) >= 1996 AND o_orderstatus <> 'P' GROUP BY ALL""")
+def dbf_pushed_filter(spark, sf):
+    """States and years asked for by conditions on columns: the other files are never opened."""
+    dbf.register(spark)
+    scanned = spark.read.format("dbf").option("columns", "STATUS,ESTADO,ANO").load(_orders_as_dbf(spark, sf))
+    asked = scanned.where(F.col("ESTADO").isin("AS", "EU") & (F.col("ANO") >= "1996") & (F.col("STATUS") != "P"))
+    keys = [F.col("ESTADO").alias("uf"), F.col("ANO").alias("order_year"), F.col("STATUS").alias("status")]
+    return asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
 @register(f"""WITH {ORD} SELECT DISTINCT substr(r_name, 1, 2) AS uf, year(o_orderdate)::VARCHAR AS order_year FROM ord
 WHERE year(o_orderdate) IN (1996, 1997)""")
 def file_partition_columns(spark, sf):
@@ -216,6 +228,25 @@ def feature_table_reuse(spark, sf):
     return sizes.join(vectors.groupBy(GROUP).agg(F.max("w").alias("heaviest")), GROUP)
 
 
+@register(f"""WITH {ORD}, step AS (SELECT * FROM (VALUES ('built', 1998, TRUE), ('kept', 1998, FALSE), ('rebuilt', 9999, TRUE)) t(step, below, built)),
+v AS (SELECT step, built, r_name, o_orderpriority, o_orderstatus, c_mktsegment, price_band, count(*) AS w
+  FROM ord JOIN step ON year(o_orderdate) < below GROUP BY ALL)
+SELECT step, built, r_name, count(*)::BIGINT AS vectors, sum(w)::BIGINT AS total_rows FROM v GROUP BY ALL""")
+def feature_table_versions(spark, sf):
+    """A kept vector table: built, taken again as it is, and built anew once files came in."""
+    folder, target = scratch_path(spark, "orders"), scratch_path(spark, "features")
+    rows = order_profiles(spark, sf)
+    early = F.year("o_orderdate") < 1998
+    out = []
+    for step, new in (("built", rows.where(early)), ("kept", None), ("rebuilt", rows.where(~early))):
+        if new is not None:
+            tables.write_parquet(new, folder, mode="append")
+        vectors, built = stored_vectors(spark.read.schema(rows.schema).parquet(folder), ORDERS, [folder], target)
+        sizes = vectors.groupBy(GROUP).agg(F.count(F.lit(1)).alias("vectors"), F.sum("w").alias("total_rows"))
+        out.append(materialise(sizes.select(F.lit(step).alias("step"), F.lit(built).alias("built"), GROUP, "vectors", "total_rows"), "sizes"))
+    return tables.union_tables(out)
+
+
 # ---------------------------------------------------------------- predicates, codes, scalar functions
 
 
@@ -1240,10 +1271,23 @@ def sample_per_group(spark, sf):
 
 @register()
 def projection_points(spark, sf):
-    rows = table(spark, sf, "embeddings").withColumn("part", F.lit("all")).withColumn("half", F.col("vec_id") % 2)
+    """Components of every label of the embeddings, up to 10,000 points each."""
+    rows = table(spark, sf, "embeddings").withColumn("part", F.col("label").cast("string")).withColumn("half", F.col("vec_id") % 2)
     return projection_2d(rows, "part", "vec_id", "embedding", "label", "half")
 
 
+@register("""WITH x AS (SELECT label::VARCHAR AS part, vec_id, i, embedding[i]::DOUBLE AS v
+  FROM embeddings, generate_series(1, (SELECT max(len(embedding)) FROM embeddings)) t(i)),
+m AS (SELECT part, i, avg(v) AS mean, count(*) AS n FROM x GROUP BY part, i),
+c AS (SELECT x.part, vec_id, i, v - mean AS v, n FROM x JOIN m USING (part, i))
+SELECT part, n::BIGINT AS n, round(sum(v * v) / n, 6) AS total_variance FROM c GROUP BY part, n""")
+def projection_variance(spark, sf):
+    """Rows and total variance of every label, from the moments that the projection is fitted on."""
+    rows = table(spark, sf, "embeddings").withColumn("part", F.col("label").cast("string"))
+    axes = principal_axes(rows, "part", "embedding")
+    return axes.select(F.col("group").alias("part"), "n", F.round("total", 6).alias("total_variance"))
+
+
 @register(f"""WITH {ORD} SELECT o_orderstatus, sum(draw)::BIGINT AS drawn, CASE WHEN sum(draw) * 1.0 / count(*) > 0.6 THEN 'stable' ELSE 'unstable' END AS reading FROM (
   SELECT o_orderstatus, (SELECT count(*) FROM (SELECT sum(p) OVER (ORDER BY i) AS cut FROM (SELECT i, exp(-1) / gamma(i + 1) AS p FROM generate_series(0, 17) t(i))) c WHERE c.cut <= u.u) AS draw
   FROM (SELECT o_orderstatus, {sql_uniform("'7'", "o_orderkey")} AS u FROM ord) u) GROUP BY o_orderstatus""")

@@ -2,25 +2,37 @@
 
 Records have a fixed length, so a file is cut into record ranges and large files are read by
 several tasks, which read the headers themselves; the driver only lists the folder.  All columns are strings; files may differ in columns and the table has the
-union of them.  The state and year come from the file name (``DOUFAAAA.dbf``).
+union of them.  The state and year come from the file name (``DOUFAAAA.dbf``); conditions on these two columns are pushed
+into the source and decide which files are opened at all.
 """
 
 from __future__ import annotations
 
+import operator
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
+from pyspark.sql import datasource as ds
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
 STATE, YEAR, RECORD = "ESTADO", "ANO", "_record"
 RANGE_BYTES = 64 * 1024 * 1024
 BATCH_RECORDS = 50_000
+HEADERS_AT_ONCE = 32  # headers the schema opens side by side
+
+#: Conditions on the file-name columns the source decides itself; the value is never null.
+PUSHED: dict[type, Callable] = {
+    ds.EqualTo: operator.eq, ds.EqualNullSafe: operator.eq, ds.GreaterThan: operator.gt, ds.GreaterThanOrEqual: operator.ge,
+    ds.LessThan: operator.lt, ds.LessThanOrEqual: operator.le, ds.In: lambda own, values: own in values,
+    ds.StringStartsWith: str.startswith, ds.StringEndsWith: str.endswith, ds.StringContains: operator.contains,
+}
 
 
 @dataclass(frozen=True)
@@ -85,13 +97,43 @@ def _texts(raw: np.ndarray) -> pa.Array:
     return pa.array(np.char.rstrip(wide, " \0"), pa.string())
 
 
+def named(path: str) -> dict[str, str]:
+    """The columns that come from the file name."""
+    name = path.rsplit("/", 1)[-1]
+    return {STATE: name[2:4], YEAR: name[4:8]}
+
+
+def decides(condition: ds.Filter) -> bool:
+    """Whether file names alone answer the condition."""
+    if isinstance(condition, ds.Not):
+        return decides(condition.child)
+    if getattr(condition, "attribute", None) not in ((STATE,), (YEAR,)):
+        return False
+    return isinstance(condition, (ds.IsNull, ds.IsNotNull)) or (type(condition) in PUSHED and condition.value is not None)
+
+
+def holds(condition: ds.Filter, fixed: dict[str, str]) -> bool:
+    if isinstance(condition, ds.Not):
+        return not holds(condition.child, fixed)
+    if isinstance(condition, (ds.IsNull, ds.IsNotNull)):
+        return isinstance(condition, ds.IsNotNull)
+    return PUSHED[type(condition)](fixed[condition.attribute[0]], condition.value)
+
+
 class DbfReader(DataSourceReader):
     def __init__(self, schema: StructType, folder: str, suffixes: list[str] | None, range_bytes: int):
         self.columns = schema.fieldNames()
         self.folder, self.suffixes, self.range_bytes = folder, suffixes, range_bytes
+        self.conditions: list[ds.Filter] = []
+
+    def pushFilters(self, filters: list[ds.Filter]) -> Iterable[ds.Filter]:
+        """Keep the conditions that file names decide; return those Spark has to test on the rows."""
+        self.conditions = [f for f in filters if decides(f)]
+        return [f for f in filters if not decides(f)]
 
     def partitions(self) -> list[RecordRange]:
         _, files = list_files(self.folder, self.suffixes)
+        files = [(path, size) for path, size in files if all(holds(c, named(path)) for c in self.conditions)]
         sizes = [(path, max(1, -(-size // self.range_bytes))) for path, size in files]
         return [RecordRange(path, part, parts) for path, parts in sizes for part in range(parts)]
 
@@ -102,7 +144,7 @@ class DbfReader(DataSourceReader):
         layout, name = read_layout(filesystem, partition.path), partition.path.rsplit("/", 1)[-1]
         first = layout.records * partition.part // partition.parts
         left = layout.records * (partition.part + 1) // partition.parts - first
-        fixed = {STATE: name[2:4], YEAR: name[4:8]}
+        fixed = named(partition.path)
         places, at = {}, 1
         for field, size in layout.fields:
             places[field] = slice(at, at + size)
@@ -145,8 +187,9 @@ class DbfSource(DataSource):
         names: dict[str, None] = dict.fromkeys(c for c in self.options.get("columns", "").split(",") if c)
         if not names:
             filesystem, files = list_files(self.options["path"], self._suffixes())
-            for path, _ in files:
-                names.update(dict.fromkeys(f for f, _ in read_layout(filesystem, path).fields))
+            with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+                for layout in pool.map(lambda file: read_layout(filesystem, file[0]), files):
+                    names.update(dict.fromkeys(f for f, _ in layout.fields))
             names.update(dict.fromkeys((STATE, YEAR)))
         if self.options.get("recordId", "false").lower() == "true":
             names[RECORD] = None
@@ -158,4 +201,6 @@ class DbfSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known to the session and let Spark hand conditions to sources written in Python."""
     spark.dataSource.register(DbfSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kinprofile.operators import agglomerative, dbscan, hdbscan, kmeans, metrics, resampling, tendency
 from kinprofile.operators.neighbours import extreme_distance, neighbour_counts, spread_labels
+from kinprofile.operators.projection import principal_axes, projection_2d
 from kinprofile.operators.quantiles import grouped_quantiles
 from kinprofile.operators.sampling import sample_positions, sample_rows
 from kinprofile.operators.vectors import distinct_vectors, vector_table
@@ -433,3 +434,28 @@ def test_models_of_thousands_of_clusters_meet_in_tiles(spark, monkeypatch):
 def test_components_helper_is_consistent():
     near = np.array([[1, 1, 0], [1, 1, 0], [0, 0, 1]], bool)
     assert list(components(near, np.ones(3, bool))) == [0, 0, 1]
+
+
+def test_projection_has_the_components_of_each_group(spark):
+    rng = np.random.default_rng(4)
+    mix = {g: rng.normal(size=(5, 5)) for g in "ab"}
+    rows = [(g, f"{g}{i}", (rng.normal(size=5) @ mix[g] + 3).tolist(), i % 3) for g in "ab" for i in range(200)]
+    odd = [("a", "null", None, 0), ("a", "nan", [float("nan")] * 5, 0), ("a", "hole", [1.0, None, 1.0, 1.0, 1.0], 0), ("a", "empty", [], 0)]
+    odd += [("b", f"short{i}", [float(i)], 0) for i in range(3)] + [(None, "n1", [1.0, 2.0], 0), (None, "n2", [2.0, 4.0], 0)]
+    df = spark.createDataFrame(rows + odd, "g string, id string, v array<double>, k int").repartition(7)
+    found = {r["id"]: (r["x"], r["y"]) for r in projection_2d(df.where("g is not null"), "g", "id", "v", "k", "k", 10_000).collect()}
+    assert all(found[i] == (None, None) for i in ("null", "nan", "hole", "empty"))
+    for g in "ab":
+        own = np.array([v for name, _, v, _ in rows if name == g])
+        ids = [i for name, i, _, _ in rows if name == g]
+        centred = own - own.mean(0)
+        _, _, axes = np.linalg.svd(centred, full_matrices=False)
+        for at in range(2):
+            points_ = np.array([found[i][at] for i in ids])
+            truth = centred @ axes[at]
+            assert min(np.abs(points_ - truth).max(), np.abs(points_ + truth).max()) < 1e-9
+    assert [found[f"short{i}"] for i in range(3)] == [(-1.0, None), (0.0, None), (1.0, None)]
+    axes = {(r["group"], r["d"]): r for r in principal_axes(df, "g", "v").collect()}
+    assert set(axes) == {("a", 5), ("b", 5), ("b", 1), (None, 2)} and axes[None, 2]["n"] == 2
+    assert axes["a", 5]["total"] == pytest.approx(np.array([v for g, _, v, _ in rows if g == "a"]).var(0).sum())
+    assert projection_2d(df.limit(0), "g", "id", "v", "k", "k").count() == 0

@@ -1,7 +1,13 @@
 import struct
+from dataclasses import replace
+
+import pytest
+from pyspark.sql import functions as F
 
 from kinprofile.sources import dbf, tables
+from kinprofile.sources.features import stored_vectors
 from kinprofile.sources.store import ResultStore
+from kinprofile.spec import FeatureSpec, Nominal
 
 
 def _write(path, fields, rows, deleted=()):
@@ -60,3 +66,84 @@ def test_store_keeps_the_type_of_groups(spark, tmp_path):
     store.write("chosen", "A", spark.createDataFrame([("1", 5)], "g string, k int"))
     found = store.read(spark, "chosen")
     assert dict(found.dtypes)["g"] == "string" and {r["g"]: r["k"] for r in found.collect()} == {"01": 1, "1": 5, "1e3": 3}
+
+
+def test_conditions_on_file_columns_choose_the_files(spark, tmp_path):
+    for state in ("AC", "AM", "PA"):
+        for year in range(2013, 2017):
+            _write(tmp_path / f"DO{state}{year}.dbf", [("SEXO", 1)], [("1",), ("2",)])
+    (tmp_path / "DORR2013.dbf").write_bytes(b"not a table")  # opening it would fail
+    dbf.register(spark)
+    df = spark.read.format("dbf").option("columns", "SEXO,ESTADO,ANO").load(str(tmp_path))
+    c = {n: F.col(n) for n in df.columns}
+    cases = [
+        (c["ESTADO"] == "AC", 4, 8), (c["ESTADO"].isin("AC", "PA") & (c["ANO"] >= "2015"), 4, 8),
+        ((c["ESTADO"] == "AM") & (c["ANO"] < "2015") & (c["SEXO"] == "2"), 2, 2), ((c["ESTADO"] != "RR") & (c["ANO"] == "2013"), 3, 6),
+        (c["ESTADO"].startswith("A") & ~c["ANO"].isin("2013", "2014"), 4, 8), (c["ESTADO"].isNull(), 0, 0), (c["ANO"] == "1999", 0, 0),
+    ]
+    for condition, files, rows in cases:
+        found = df.where(condition)
+        assert found.count() == rows
+        assert found.rdd.getNumPartitions() <= max(files, 1)
+    either = df.where(((c["ESTADO"] == "AC") | (c["SEXO"] == "2")) & (c["ESTADO"] < "RR"))  # needs the rows as well
+    assert either.count() == 8 + 8
+
+
+def test_store_shows_whole_writes_only(spark, tmp_path):
+    store = ResultStore(str(tmp_path / "store"), "g")
+    store.write("labels", "A", spark.createDataFrame([("x", 1), ("y", 2)], "g string, k int"))
+    broken = spark.range(0, 2000, numPartitions=8).select(
+        F.lit("x").alias("g"), F.when(F.col("id") < 1900, 7).otherwise(F.raise_error(F.lit("lost"))).cast("int").alias("k")
+    )
+    with pytest.raises(Exception, match="lost"):
+        store.write("labels", "A", broken)
+    old = {("x", 1), ("y", 2)}
+    assert {(r["g"], r["k"]) for r in store.read(spark, "labels").collect()} == old
+    before = store.read(spark, "labels")  # a reader that started earlier keeps its version
+    store.write("labels", "A", spark.createDataFrame([("x", 3, "new")], "g string, k int, note string"))
+    store.write("labels", "A", spark.createDataFrame([], "g string, k int"))
+    assert {(r["g"], r["k"]) for r in before.collect()} == old
+    found = {(r["g"], r["k"], r["note"]) for r in store.read(spark, "labels").collect()}
+    assert found == {("x", 3, "new"), ("y", 2, None)}
+    assert store.vacuum(spark, "labels") >= 3 and store.vacuum(spark, "labels") == 0
+    assert {(r["g"], r["k"], r["note"]) for r in store.read(spark, "labels").collect()} == found
+    with pytest.raises(FileNotFoundError):
+        store.read(spark, "chosen")
+
+
+def test_writers_that_meet_both_count(spark, tmp_path, monkeypatch):
+    store, other = ResultStore(str(tmp_path / "store"), "g"), []
+    one = spark.createDataFrame([("x", 1)], "g string, k int")
+    look = ResultStore._manifest
+
+    def meanwhile(self, *args):
+        seen = look(self, *args)
+        if not other:
+            other.append(True)
+            self.write("chosen", "B", one)  # commits between this writer's look and its rename
+        return seen
+
+    monkeypatch.setattr(ResultStore, "_manifest", meanwhile)
+    store.write("chosen", "A", one)
+    assert {r["algorithm"] for r in store.read(spark, "chosen").collect()} == {"A", "B"}
+
+
+def test_kept_vectors_follow_files_and_specification(spark, tmp_path):
+    folder, target = str(tmp_path / "rows"), str(tmp_path / "kept")
+    spec = FeatureSpec("g", "i", (Nominal("a", ("p", "q")),))
+
+    def call(spec, version=""):
+        vectors, built = stored_vectors(spark.read.schema("g string, i long, a string").parquet(folder), spec, [folder], target, version)
+        return built, sorted((r["g"], r["a_code"], r["w"]) for r in vectors.collect())
+
+    def add(rows):
+        spark.createDataFrame(rows, "g string, i long, a string").write.mode("append").parquet(folder)
+
+    add([("x", 1, "p"), ("x", 2, "p")])
+    assert call(spec) == (True, [("x", 0, 2)]) and call(spec) == (False, [("x", 0, 2)])
+    add([("x", 3, "q")])
+    assert call(spec) == (True, [("x", 0, 2), ("x", 1, 1)]) and not call(spec)[0]
+    other = replace(spec, nominals=(Nominal("a", ("q", "p")),))
+    assert call(other) == (True, [("x", 0, 1), ("x", 1, 2)])
+    assert len([p for p in (tmp_path / "kept").iterdir() if p.is_dir()]) == 1
+    assert call(spec)[0] and call(spec, "2")[0]

@@ -2,7 +2,9 @@
 
 1. Equal vectors become one row with a weight; null, zero and non-finite vectors take no part.
 2. Every tree splits recursively by random directions at the median of a bounded sample.  A vector closer to a split than
-   the spill margin goes to both sides, so a pair of links is cut only when a split falls far between its ends.
+   the spill margin goes to both sides, so a pair of links is cut only when a split falls far between its ends.  The sample
+   on the driver places the first splits; where the table needs deeper trees, every leaf is split on by a sample of its own
+   rows, a few levels at a time, in tasks.
 3. Vectors of a leaf are compared with each other by cosine in double precision; a leaf beyond ``block`` vectors is
    compared block by block in tasks of its own.
 4. A pair that meets in several leaves counts in the first of them only - every row knows all its leaves - so link counts
@@ -24,6 +26,9 @@ from pyspark.sql import functions as F
 from kinprofile.llm.common import Steps, components
 
 TREES = 6
+LEVELS = 5  # levels a round of deeper splits adds
+PER_LEAF = 16  # sampled rows a leaf of a fitted tree keeps at least, on average
+ROUNDING = 1e-9  # a matrix product is this close to the ordered sum of products
 
 
 def usable(vector: str) -> Column:
@@ -40,28 +45,31 @@ def unit(rows: np.ndarray) -> np.ndarray:
 class Forest:
     """Trees as arrays: direction and threshold of every inner node, numbered level by level."""
 
-    def __init__(self, sample: np.ndarray, depth: int, margin: float, seed: int) -> None:
+    def __init__(self, d: int, depth: int, margin: float, seed: int | list[int], trees: int = TREES) -> None:
         rng = np.random.default_rng(seed)
         inner = (1 << depth) - 1
-        self.depth, self.margin = depth, margin
-        self.direction = rng.normal(size=(TREES, inner, sample.shape[1])).astype(np.float32)
+        self.depth, self.margin, self.trees = depth, margin, trees
+        self.direction = rng.normal(size=(trees, inner, d)).astype(np.float32)
         self.direction /= np.linalg.norm(self.direction, axis=2, keepdims=True)
-        self.threshold = np.zeros((TREES, inner), np.float32)
-        for tree in range(TREES):
+        self.threshold = np.zeros((trees, inner), np.float32)
+
+    def fit(self, sample: np.ndarray) -> Forest:
+        for tree in range(self.trees):
             at = np.zeros(len(sample), np.int64)
-            for level in range(depth):
+            for level in range(self.depth):
                 for node in range((1 << level) - 1, (2 << level) - 1):
                     own = np.flatnonzero(at == node)
                     if len(own):
                         along = sample[own] @ self.direction[tree, node]
                         self.threshold[tree, node] = np.median(along)
                         at[own] = 2 * node + 1 + (along > self.threshold[tree, node])
+        return self
 
     def leaves(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of every membership, by row and leaf; leaves are numbered through all trees."""
         own, leaf = [], []
         inner = (1 << self.depth) - 1
-        for tree in range(TREES):
+        for tree in range(self.trees):
             who, node = np.arange(len(rows)), np.zeros(len(rows), np.int64)
             for _ in range(self.depth):
                 gap = np.einsum("ij,ij->i", rows[who], self.direction[tree, node]) - self.threshold[tree, node]
@@ -97,9 +105,18 @@ def _compare(rows: pd.DataFrame, leaf: int, first: int, second: int, threshold:
     b = a if first == second else np.flatnonzero(rows["block"].to_numpy() == second)
     left, right = [], []
     for at in range(0, len(a), 512):
-        near = vectors[a[at : at + 512]] @ vectors[b].T >= threshold
-        i, j = np.nonzero(near)
+        cosine = vectors[a[at : at + 512]] @ vectors[b].T
+        i, j = np.nonzero(cosine >= threshold - ROUNDING)
+        rough = cosine[i, j]
         i, j = a[at + i], b[j]
+        unsure = np.flatnonzero(rough < threshold + ROUNDING)
+        if len(unsure):  # decided by a sum in the order of components, whatever the blocks
+            exact = np.zeros(len(unsure))
+            for c in range(vectors.shape[1]):
+                exact += vectors[i[unsure], c] * vectors[j[unsure], c]
+            sure = np.ones(len(i), bool)
+            sure[unsure] = exact >= threshold
+            i, j = i[sure], j[sure]
         if first == second:
             i, j = i[i < j], j[i < j]
         left.append(i.astype(np.int32))
@@ -142,8 +159,44 @@ def _meet(earlier: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _split_on(steps: Steps, placed: DataFrame, levels: int, d: int, margin: float, seed: int, kind: str) -> DataFrame:
+    """Memberships ``placed(leaf, rep, n, vec)`` with every leaf cut into 2^``levels`` by splits of its own.
+
+    A leaf's splits come from about ``PER_LEAF`` << ``levels`` of its rows, in one task; its rows are placed wherever they
+    are, each with the thresholds of its leaf beside it.
+    """
+    wanted = PER_LEAF << levels
+    sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(levels), "rep"), F.lit(1_000_003)) * F.col("rows") < F.lit(wanted * 1_000_003)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        leaf = int(pdf["leaf"].iloc[0])
+        points = _matrix(pdf.sort_values("rep")["vec"].tolist(), kind).astype(np.float32)
+        cut = Forest(d, levels, margin, [seed, leaf], 1).fit(points).threshold
+        return pd.DataFrame({"leaf": [leaf], "cut": [cut[0].tolist()]})
+
+    cuts = steps.write(placed.join(sizes, "leaf").where(draw).select("leaf", "rep", "vec").groupBy("leaf").applyInPandas(fit, "leaf long, cut array<float>"), "cuts")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pdf = batch.to_pandas()
+            for leaf, part in pdf.groupby("leaf", sort=False):
+                own = Forest(d, levels, margin, [seed, int(leaf)], 1)
+                if part["cut"].iloc[0] is not None:
+                    own.threshold[0] = part["cut"].iloc[0]
+                row, sub = own.leaves(_matrix(part["vec"].tolist(), kind).astype(np.float32))
+                taken = part.iloc[row]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((int(leaf) << levels) + sub), pa.array(taken["rep"]), pa.array(taken["n"]), pa.array(taken["vec"].tolist(), pa.binary())],
+                    ["leaf", "rep", "n", "vec"],
+                )
+
+    together = placed.join(cuts, "leaf", "left").select("leaf", "rep", "n", "vec", "cut").sortWithinPartitions("leaf")
+    return steps.write(together.mapInArrow(place, "leaf long, rep long, n long, vec binary"), "placed")
+
+
 def near_duplicates(
-    rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, leaf_size: int = 512,
+    rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, leaf_size: int = 128,
     sample: int = 50_000, block: int = 2048, spill: float = 0.16, seed: int = 5,
 ) -> DataFrame:
     """Rows ``(key, n_links, component_id, kept)``, one per row of ``rows``.
@@ -152,7 +205,8 @@ def near_duplicates(
     included.  Unusable vectors (see ``usable``) and those with a null key have no link; a null key has a null component
     and is kept.  Rows that repeat a key are one node for components.  Vectors of different length are never compared.
 
-    ``sample`` bounds the rows that place the splits (collected; about ``sample`` by hash), every row is in the forest.
+    ``leaf_size`` sets the depth of the trees: rows / 2^depth is at most this (memberships by spill come on top).  ``sample``
+    bounds the rows that place the first splits (collected; about ``sample`` by hash), every row is in the forest.
     ``spill`` is the margin in units of 1/sqrt(dimension), at half a typical distance of a barely linked pair.
     """
     spark = rows.sparkSession
@@ -171,8 +225,10 @@ def near_duplicates(
         share = min(1.0, sample / total)
         drawn = own if share == 1 else own.where(F.pmod(F.xxhash64(F.lit(seed), "h1"), F.lit(1_000_003)) < share * 1_000_003)
         points = unit(np.array([r["vec"] for r in drawn.select("vec").collect()], np.float64).reshape(-1, d))
-        depth = max(0, min(math.ceil(math.log2(max(1, total / leaf_size))), int(math.log2(max(1, len(points) / 16)))))
-        forest = spark.sparkContext.broadcast(Forest(points.astype(np.float32), depth, spill / math.sqrt(d), seed))
+        margin = spill / math.sqrt(d)
+        wanted = max(0, math.ceil(math.log2(max(1, total / leaf_size))))
+        depth = min(wanted, int(math.log2(max(1, len(points) / PER_LEAF))))
+        forest = spark.sparkContext.broadcast(Forest(d, depth, margin, seed).fit(points.astype(np.float32)))
 
         def place(batches: Iterator[pa.RecordBatch], forest=forest, d=d) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -181,17 +237,25 @@ def near_duplicates(
                     flat = part.column("vec").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, d)
                     row, leaf = forest.value.leaves(unit(flat.astype(np.float64)).astype(np.float32))
                     first = np.searchsorted(row, np.arange(part.num_rows + 1))
-                    lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(leaf, pa.int32()))
+                    lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(leaf, pa.int64()))
                     raw = pa.array([v.tobytes() for v in flat], pa.binary())
                     take = pa.array(row)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(leaf, pa.int32()), part.column("rep").take(take), part.column("n").take(take),
+                        [pa.array(leaf, pa.int64()), part.column("rep").take(take), part.column("n").take(take),
                          raw.take(take), lists.take(take)],
                         ["leaf", "rep", "n", "vec", "leaves"],
                     )
 
-        placed = own.select("rep", "n", "vec").mapInArrow(place, "leaf int, rep long, n long, vec binary, leaves array<int>")
+        placed = own.select("rep", "n", "vec").mapInArrow(place, "leaf long, rep long, n long, vec binary, leaves array<long>")
         placed = steps.write(placed, "placed")
+        if depth < wanted:
+            while depth < wanted:
+                levels = min(LEVELS, wanted - depth)
+                deeper = _split_on(steps, placed.select("leaf", "rep", "n", "vec"), levels, d, margin, seed, kind)
+                steps.drop(placed)
+                placed, depth = deeper, depth + levels
+            leaves = placed.groupBy("rep").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
+            placed = placed.join(leaves, "rep")
         blocks = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))  # one row per leaf
         dealt = placed.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")

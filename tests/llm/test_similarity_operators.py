@@ -153,6 +153,66 @@ def test_embedding_links_equal_all_pairs(spark):
     assert {r["vec_id"]: r["component_id"] for r in found} == want
 
 
+def links_of(rows, threshold=0.95):
+    unit = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= threshold
+    np.fill_diagonal(near, False)
+    return near
+
+
+def test_deeper_splits_lose_no_link(spark):
+    """A sample of 200 rows places four levels at most; the other levels come from samples of the leaves."""
+    rows = clouds()
+    given = vectors(spark, [(k, [float(x) for x in r]) for k, r in enumerate(rows)])
+    near = links_of(rows)
+    want = smallest_reachable(range(len(rows)), np.argwhere(near).tolist())
+    found = embdedup.near_duplicates(given, leaf_size=16, sample=200, block=40).collect()
+    assert {r["vec_id"]: r["n_links"] for r in found} == dict(enumerate(near.sum(1).tolist()))
+    assert {r["vec_id"]: r["component_id"] for r in found} == want
+
+
+def test_forest_finds_planted_links_of_the_given_table(spark, monkeypatch):
+    """Copies of the given vectors at cosine 0.95 to 0.96, default parameters: the trees split, and no link is lost."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()
+    rows = np.array([r["embedding"] for r in table], float)
+    rng = np.random.default_rng(8)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    aside = rng.normal(size=rows.shape)
+    aside -= (aside * unit).sum(1, keepdims=True) * unit
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9501, 0.96, size=(len(rows), 1))
+    every = np.r_[rows, cosine * unit + np.sqrt(1 - cosine**2) * aside].astype(np.float32)
+    depths, plain = [], embdedup.Forest.__init__
+
+    def noted(self, d, depth, *rest):
+        depths.append(depth)
+        plain(self, d, depth, *rest)
+
+    monkeypatch.setattr(embdedup.Forest, "__init__", noted)
+    given = vectors(spark, [(k, [float(x) for x in r]) for k, r in enumerate(every)])
+    found = {r["vec_id"]: r["n_links"] for r in embdedup.near_duplicates(given).collect()}
+    near = links_of(every)
+    assert near.sum() >= 2 * len(rows) and min(depths) >= 2
+    assert sum(found.values()) == near.sum() and found == dict(enumerate(near.sum(1).tolist()))
+
+
+def test_pairs_at_the_threshold_do_not_depend_on_blocks(spark):
+    """Cosine 0.95 within rounding: 3-4-5 like vectors whose ordered sum decides."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 16))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rng.normal(size=base.shape)
+    aside -= (aside * base).sum(1, keepdims=True) * base
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    every = np.r_[base, 0.95 * base + np.sqrt(1 - 0.95**2) * aside]
+    given = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(every)], "vec_id long, embedding array<double>")
+    answers = [
+        {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embdedup.near_duplicates(given, block=b, leaf_size=s).collect()}
+        for b, s in ((7, 512), (2048, 512))
+    ]
+    assert answers[0] == answers[1]
+
+
 def odd_vectors():
     nan, inf = float("nan"), float("inf")
     return [
@@ -192,13 +252,24 @@ def test_search_recall_and_scores(spark):
     assert hits / (20 * len(asked)) >= 0.9
 
 
-def test_search_recall_on_the_given_table(spark):
-    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_search_recall_on_the_given_table(spark, scale, monkeypatch):
+    table = spark.read.parquet(f"/root/testdata/{scale}/embeddings.parquet").select("vec_id", "embedding")
     rows = np.array([r["embedding"] for r in table.orderBy("vec_id").collect()], float)
+    lists, plain = [], ann.CentroidGraph.__init__
+
+    def noted(self, centres):
+        lists.append(len(centres))
+        plain(self, centres)
+
+    monkeypatch.setattr(ann.CentroidGraph, "__init__", noted)
     found = ann.search(table.where("vec_id % 20 = 0"), table, k=20).collect()
     asked = list(range(0, len(rows), 20))
     want = {q: set(w.tolist()) for q, w in zip(asked, best_by_hand(rows, asked, 20))}
-    assert sum(r["vec_id"] in want[r["query_id"]] for r in found) / (20 * len(asked)) >= 0.9
+    assert lists == [len(rows) // 64]  # never searched whole
+    recall = sum(r["vec_id"] in want[r["query_id"]] for r in found) / (20 * len(asked))
+    print(f"recall at {scale}: {recall:.4f}")
+    assert recall >= 0.9
 
 
 def test_search_awkward_rows(spark):

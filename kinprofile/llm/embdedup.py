@@ -28,7 +28,6 @@ from kinprofile.llm.common import Steps, components
 TREES = 6
 LEVELS = 5  # levels a round of deeper splits adds
 PER_LEAF = 16  # sampled rows a leaf of a fitted tree keeps at least, on average
-ROUNDING = 1e-9  # a matrix product is this close to the ordered sum of products
 
 
 def usable(vector: str) -> Column:
@@ -101,16 +100,18 @@ def _compare(rows: pd.DataFrame, leaf: int, first: int, second: int, threshold:
     """Weighted link counts of the pairs this leaf owns, and the smallest id reached inside it by any of its links."""
     rows = rows.sort_values("rep", kind="stable").reset_index(drop=True)
     vectors = _matrix(rows["vec"].tolist(), kind)
+    single = vectors.astype(np.float32)
+    rounding = 4 * (vectors.shape[1] + 8) * 2.0**-24  # beyond the error of a single-precision product of unit vectors
     a = np.flatnonzero(rows["block"].to_numpy() == first)
     b = a if first == second else np.flatnonzero(rows["block"].to_numpy() == second)
     left, right = [], []
     for at in range(0, len(a), 512):
-        cosine = vectors[a[at : at + 512]] @ vectors[b].T
-        i, j = np.nonzero(cosine >= threshold - ROUNDING)
-        rough = cosine[i, j]
+        cosine = single[a[at : at + 512]] @ single[b].T
+        i, j = np.nonzero(cosine >= np.float32(threshold - rounding))
+        rough = cosine[i, j].astype(np.float64)
         i, j = a[at + i], b[j]
-        unsure = np.flatnonzero(rough < threshold + ROUNDING)
-        if len(unsure):  # decided by a sum in the order of components, whatever the blocks
+        unsure = np.flatnonzero(rough < threshold + rounding)
+        if len(unsure):  # decided in double precision by a sum in the order of components, whatever the blocks
             exact = np.zeros(len(unsure))
             for c in range(vectors.shape[1]):
                 exact += vectors[i[unsure], c] * vectors[j[unsure], c]
@@ -192,7 +193,9 @@ def _split_on(steps: Steps, placed: DataFrame, levels: int, d: int, margin: floa
                 )
 
     together = placed.join(cuts, "leaf", "left").select("leaf", "rep", "n", "vec", "cut").sortWithinPartitions("leaf")
-    return steps.write(together.mapInArrow(place, "leaf long, rep long, n long, vec binary"), "placed")
+    deeper = steps.write(together.mapInArrow(place, "leaf long, rep long, n long, vec binary"), "placed")
+    steps.drop(cuts)
+    return deeper
 
 
 def near_duplicates(
@@ -218,7 +221,7 @@ def near_duplicates(
     classes = hashed.where("ok").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec"))
     classes = steps.write(classes, "classes")
     by_size = classes.groupBy(F.size("vec").alias("d")).count().collect()  # one row per length of vector
-    out = None
+    out, dead = None, []
     for size in by_size:
         d, total = size["d"], size["count"]
         own = classes.where(F.size("vec") == d)
@@ -254,8 +257,11 @@ def near_duplicates(
                 deeper = _split_on(steps, placed.select("leaf", "rep", "n", "vec"), levels, d, margin, seed, kind)
                 steps.drop(placed)
                 placed, depth = deeper, depth + levels
+            dead.append(placed)
             leaves = placed.groupBy("rep").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
             placed = placed.join(leaves, "rep")
+        else:
+            dead.append(placed)
         blocks = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))  # one row per leaf
         dealt = placed.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -269,6 +275,8 @@ def near_duplicates(
         out = found if out is None else out.union(found)
     nothing = spark.createDataFrame([], "a long, b long, n long")
     found = steps.write(nothing if out is None else out, "found")
+    for df in dead:
+        steps.drop(df)
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     same = hashed.where("ok").join(classes.where("n > 1").select("h1", "h2", "rep"), ["h1", "h2"]).where("id <> rep")
     labels = components(found.where("b is not null").select("a", "b").union(same.select(F.col("rep").alias("a"), F.col("id").alias("b"))))

@@ -199,7 +199,7 @@ def _split_on(steps: Steps, placed: DataFrame, levels: int, d: int, margin: floa
 
 
 def near_duplicates(
-    rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, leaf_size: int = 128,
+    rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, leaf_size: int = 256,
     sample: int = 50_000, block: int = 2048, spill: float = 0.16, seed: int = 5,
 ) -> DataFrame:
     """Rows ``(key, n_links, component_id, kept)``, one per row of ``rows``.

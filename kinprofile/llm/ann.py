@@ -67,6 +67,7 @@ class CentroidGraph:
     """Neighbour graph over the centroids; searched best first from a fixed entry."""
 
     DEGREE = 24
+    CELLS = 500_000
 
     def __init__(self, centres: np.ndarray) -> None:
         self.centres = centres
@@ -87,10 +88,14 @@ class CentroidGraph:
         width = max([1, *map(len, near_)])
         self.near = np.array([n + [i] * (width - len(n)) for i, n in enumerate(near_)], np.int64).reshape(k, width)
 
-    def search(self, points: np.ndarray, beam: int, ratio: float | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Centroids around each point, nearest first, with distances.
+    def search(self, points: np.ndarray, beam: int, ratio: float | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Centroids around each point, nearest first, with distances; about ``CELLS`` points x centroids are held at a time."""
+        step = max(1, self.CELLS // max(1, len(self.centres)))
+        for at in range(0, len(points), step):
+            yield from self._walk(points[at : at + step], beam, ratio)
 
-        Best-first search with a beam; with a ``ratio`` the search also goes on through every centroid within
+    def _walk(self, points: np.ndarray, beam: int, ratio: float | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Best-first search with a beam; with a ``ratio`` the search also goes on through every centroid within
         ratio x nearest, whatever the beam.  All points advance together, one expansion each per step.
         """
         n, k = len(points), len(self.centres)
@@ -121,12 +126,10 @@ class CentroidGraph:
             fresh = np.isinf(far[rows, around])
             far[rows, around] = np.where(fresh, new, far[rows, around])
             open_[rows, around] |= fresh
-        out = []
         for row in far:
             known = np.flatnonzero(np.isfinite(row))
             known = known[np.argsort(row[known], kind="stable")]
-            out.append((known, row[known]))
-        return out
+            yield known, row[known]
 
 
 def postings(graph: CentroidGraph, points: np.ndarray, boundary: float) -> list[np.ndarray]:

@@ -208,7 +208,7 @@ def _visit(lists: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def search(
-    queries: DataFrame, rows: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", list_size: int = 64,
+    queries: DataFrame, rows: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", list_size: int = 256,
     sample: int = 20_000, boundary: float = 0.05, target: float = 0.97, group_rows: int = 16_384, seed: int = 3,
 ) -> DataFrame:
     """Rows ``(query_id, rank, vec_id, score)``: of each query its ``k`` best found by inner product, itself excluded.
@@ -236,7 +236,7 @@ def search(
     share = min(1.0, sample / n)
     drawn = points if share == 1 else points.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1_000_003)) < share * 1_000_003)
     taken = np.array([r["vec"] for r in drawn.orderBy("vec_id").collect()], np.float64).reshape(-1, d)
-    clusters = max(1, min(n // list_size, len(taken) // 16))
+    clusters = max(1, min(math.ceil(n / list_size), len(taken) // 16))
     graph = CentroidGraph(balanced_centroids(lifted(taken, norm), clusters, seed))
     ratio = fit_ratio(graph, taken, norm, boundary, k, target)
     model = spark.sparkContext.broadcast(graph)

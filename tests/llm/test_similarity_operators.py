@@ -266,7 +266,7 @@ def test_search_recall_on_the_given_table(spark, scale, monkeypatch):
     found = ann.search(table.where("vec_id % 20 = 0"), table, k=20).collect()
     asked = list(range(0, len(rows), 20))
     want = {q: set(w.tolist()) for q, w in zip(asked, best_by_hand(rows, asked, 20))}
-    assert lists == [len(rows) // 64]  # never searched whole
+    assert lists == [-(-len(rows) // 256)] and lists[0] > 1  # never searched whole
     recall = sum(r["vec_id"] in want[r["query_id"]] for r in found) / (20 * len(asked))
     print(f"recall at {scale}: {recall:.4f}")
     assert recall >= 0.9

@@ -39,6 +39,16 @@ def modes(counts: DataFrame, group: str) -> DataFrame:
     return top.select(group, "variable", "value", "share")
 
 
+def usable_columns(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
+    """Which columns hold a value in which group: (group, variable, n_valid, usable).
+
+    A column without any value in a group takes no part in that group's imputation, scaling or model; it has a row here
+    with ``usable`` false instead of silently missing.  One pass, counts only; an empty table gives no row.
+    """
+    counts = df.groupBy(group).agg(*[F.count(c).alias(c) for c in columns])
+    return counts.unpivot([group], list(columns), "variable", "n_valid").withColumn("usable", F.col("n_valid") > 0)
+
+
 def impute(df: DataFrame, group: str, continuous: Sequence[str], categorical: Sequence[str]) -> DataFrame:
     """Fill nulls with the group's median or mode; a column with no value in a group stays null.
 

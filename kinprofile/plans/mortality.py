@@ -58,6 +58,11 @@ def diagnosis(df: DataFrame, digits: int = 1) -> DataFrame:
     return quality.quality_report(decoded, GROUP, m.IGNORED_CODES, checks, digits)
 
 
+def model_columns(df: DataFrame) -> DataFrame:
+    """Columns that enter the descriptive model of every state: those with at least one decodable value there."""
+    return describe.usable_columns(m.describe_numeric(df), GROUP, [*CONTINUOUS, *CATEGORICAL])
+
+
 def descriptive_table(df: DataFrame) -> DataFrame:
     """Numeric columns with the state's medians and modes in place of nulls, and their z-scores."""
     filled = describe.impute(m.describe_numeric(df), GROUP, CONTINUOUS, CATEGORICAL)

@@ -447,11 +447,56 @@ def study_sex_profile(spark, sf):
     return shares.select("ESTADO", "code", "label", r("pct"))
 
 
-@register()
+NUMBERED_COLUMNS = [*study.CONTINUOUS, *study.CATEGORICAL]
+#: The study's numeric columns, long, with the state's median or mode (lowest on ties) in place of nulls.
+STUDY_FILLED = f"""{STUDY}, numbered AS (SELECT row_id, estado, years AS "IDADE_NUM", h::DOUBLE AS "HORA_NUM", ano::DOUBLE AS "ANO_NUM",
+    (CASE WHEN sexo IN ('1', 'M') THEN 1 WHEN sexo IN ('2', 'F') THEN 2 WHEN sexo IN ('0', 'I', '') THEN 0 END)::DOUBLE AS "SEXO_NUM",
+    (CASE WHEN raca IN ('1', '2', '3', '4', '5') THEN raca::INT WHEN raca = 'parda' THEN 4 END)::DOUBLE AS "RACACOR_NUM",
+    (CASE WHEN estciv IN ('1', '2', '3', '4', '5') THEN estciv::INT WHEN estciv = '9' THEN 0 WHEN estciv = 'casado' THEN 2 END)::DOUBLE AS "ESTCIV_NUM",
+    (CASE WHEN esc IN ('1', '2', '3', '4', '5') THEN esc::INT WHEN esc IN ('0', '9') THEN 0 ELSE 4 END)::DOUBLE AS "ESC_NUM",
+    (CASE WHEN lococor IN ('1', '2', '3', '4', '5') THEN lococor::INT WHEN lococor = '9' THEN 0 WHEN lococor = 'hospital' THEN 1 END)::DOUBLE AS "LOCOCOR_NUM"
+    FROM study),
+  stacked AS (SELECT estado, variable, value FROM numbered UNPIVOT INCLUDE NULLS (value FOR variable IN ({', '.join(f'"{c}"' for c in NUMBERED_COLUMNS)}))),
+  common AS (SELECT estado, variable, value AS top FROM (SELECT estado, variable, value, row_number() OVER (PARTITION BY estado, variable ORDER BY count(*) DESC, value) AS place
+    FROM stacked WHERE value IS NOT NULL GROUP BY estado, variable, value) WHERE place = 1),
+  middles AS (SELECT estado, variable, median(value) AS middle FROM stacked GROUP BY ALL),
+  filled AS (SELECT estado, variable, coalesce(value, CASE WHEN variable IN ({', '.join(f"'{c}'" for c in study.CONTINUOUS)}) THEN middle ELSE top END) AS value
+    FROM stacked JOIN middles USING (estado, variable) JOIN common USING (estado, variable))"""
+
+
+@register(f"""WITH {STUDY_FILLED} SELECT estado AS "ESTADO", variable, count(value)::BIGINT AS n_valid, count(value) > 0 AS usable FROM stacked GROUP BY ALL""")
+def study_columns(spark, sf):
+    """Valid values of every numeric column and state; a column without any is flagged, not left out."""
+    return study.model_columns(_study(spark, sf)[1])
+
+
+@register(f"""WITH {STUDY_FILLED}, labels AS (SELECT * FROM (VALUES {', '.join(
+    f"('{c}', {k}, '{v}')" for c in study.CATEGORICAL for k, v in mortality.DISPLAY_LABELS[c].items())}) l(variable, code, label)),
+  ranked AS (SELECT estado, variable, value, count(*) AS c, sum(count(*)) OVER (PARTITION BY estado, variable) AS total,
+    row_number() OVER (PARTITION BY estado, variable ORDER BY count(*) DESC, value) AS place FROM filled GROUP BY estado, variable, value),
+  shown AS (SELECT estado, variable, label || ' (' || round(c * 100.0 / total)::INT || '%)' AS shown
+    FROM ranked JOIN labels USING (variable) WHERE place = 1 AND code = value)
+SELECT estado AS "ESTADO", {', '.join(f"""round(median(value) FILTER (WHERE variable = '{c}'), 1) AS "{c}" """ for c in study.CONTINUOUS)},
+  {', '.join(f"""any_value(shown) FILTER (WHERE variable = '{c}') AS "{c}" """ for c in study.CATEGORICAL)}
+FROM filled LEFT JOIN shown USING (estado, variable) GROUP BY estado""")
 def study_summary(spark, sf):
     return study.distributions(_study(spark, sf)[1])["summary"]
 
 
+@register(f"""WITH {STUDY_FILLED}, ends AS (SELECT variable, quantile_cont(value, 0.005) AS x_min, quantile_cont(value, 0.995) AS x_max FROM filled
+    WHERE variable IN ({', '.join(f"'{c}'" for c in study.CONTINUOUS)}) GROUP BY variable),
+  moments AS (SELECT estado, variable, stddev_samp(value) * pow(count(*), -0.2) AS bw FROM filled GROUP BY ALL HAVING min(value) < max(value)),
+  counted AS (SELECT estado, variable, value, count(*) AS c FROM filled GROUP BY ALL),
+  grid AS (SELECT estado, variable, bw, i, x_min + (x_max - x_min) * i / 399.0 AS x FROM moments JOIN ends USING (variable) CROSS JOIN generate_series(0, 399) t(i)),
+  raw AS (SELECT estado, variable, i, x, sum(c * exp(-((x - value) / bw) * ((x - value) / bw) / 2)) AS raw
+    FROM grid JOIN counted USING (estado, variable) GROUP BY ALL)
+SELECT estado AS "ESTADO", variable, i::INT AS i, round(x, 6) AS x, round(raw / max(raw) OVER (PARTITION BY estado, variable), 6) AS density FROM raw""")
+def study_density(spark, sf):
+    """Density of age, hour and year per state on one grid per variable."""
+    curves = study.distributions(_study(spark, sf)[1])["density"]
+    return curves.withColumns({"x": r("x"), "density": r("density")})
+
+
 @register()
 def study_hopkins(spark, sf):
     return study.hopkins(_study(spark, sf)[1])
@@ -1254,6 +1299,13 @@ def typology_run(spark, sf):
     return store.read(spark, "profile").join(mean, [GROUP, "algorithm"], "left")
 
 
+@register()
+def typology_agreement(spark, sf):
+    """Adjusted Rand index of the six pairs of algorithms in every group, with its reading and the pair's mean."""
+    table_ = materialise(typology.compare(typology.run_typology(order_profiles(spark, sf), ORDERS), ORDERS), "agreed")
+    return table_.join(pair_summary(table_), ["algorithm_a", "algorithm_b"]).withColumn("reading", F.when(F.col("ari").isNotNull(), agreement_reading(F.col("ari"))))
+
+
 @register()
 def typology_lines(spark, sf):
     """The same driver on line items: K-Means profiles of every return flag."""

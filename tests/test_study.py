@@ -1,9 +1,14 @@
-"""The study queries read every year that has a file."""
+"""The study: every year that has a file, columns without values, clusters of all states."""
 
+import numpy as np
 from conftest import TESTDATA
+from helpers import brute_ari
+from pyspark.sql import functions as F
 
 from kinprofile.functions import mortality
-from kinprofile.plans import queries
+from kinprofile.operators import describe
+from kinprofile.plans import mortality as study
+from kinprofile.plans import queries, typology
 from kinprofile.sources import dbf
 
 
@@ -19,3 +24,35 @@ def test_study_reads_all_years(spark):
 def test_row_labels_cover_all_homicides(spark):
     homicides = mortality.homicides(queries.death_records(spark, TESTDATA)).count()
     assert queries.study_row_labels(spark, TESTDATA).count() == homicides
+
+
+def test_columns_without_values_are_flagged_and_stay_null(spark):
+    rows = [("u", 1.0, None), ("u", None, None), ("v", 2.0, 5.0), ("v", None, None)]
+    df = spark.createDataFrame(rows, "g string, a double, b double")
+    found = {(r["g"], r["variable"]): (r["n_valid"], r["usable"]) for r in describe.usable_columns(df, "g", ["a", "b"]).collect()}
+    assert found == {("u", "a"): (1, True), ("u", "b"): (0, False), ("v", "a"): (1, True), ("v", "b"): (1, True)}
+    filled = describe.standardise(describe.impute(df, "g", ["a"], ["b"]), "g", ["a", "b"]).collect()
+    assert all((r["b"] is None) == (r["b_z"] is None) == (r["g"] == "u") and r["a"] is not None for r in filled)
+    assert describe.usable_columns(df.limit(0), "g", ["a"]).count() == 0
+
+
+def test_study_clusters_every_state_and_compares_the_partitions(spark):
+    kept = mortality.homicides(queries.death_records(spark, TESTDATA))
+    chosen = {
+        "KMeans": lambda v, s: typology.run_kmeans(v, s, range(2, 4), 2),
+        "Fixed": lambda v, s: typology.run_kmeans(v, s, range(4, 6), 1),
+    }
+    solutions, agreed = study.cluster(kept, "row_id", algorithms=chosen)
+    rows = {r["ESTADO"]: r for r in agreed.collect()}
+    states = {r["ESTADO"] for r in kept.select("ESTADO").distinct().collect()}
+    assert set(rows) == states
+    wide = solutions["KMeans"].members.select("ESTADO", "vid", "w", F.col("label").alias("k")).join(
+        solutions["Fixed"].members.select("ESTADO", "vid", F.col("label").alias("d")), ["ESTADO", "vid"]
+    ).toPandas()
+    assert wide["w"].sum() == kept.count()
+    for state, part in wide.groupby("ESTADO"):
+        both = part[(part["k"] >= 0) & (part["d"] >= 0)]
+        assert rows[state]["n_points"] == both["w"].sum() and rows[state]["aligned"]
+        if rows[state]["ari"] is not None:
+            k, d = (np.repeat(both[c].to_numpy(), both["w"].to_numpy()) for c in "kd")
+            assert abs(rows[state]["ari"] - brute_ari(k, d)) < 1e-9

@@ -1,14 +1,14 @@
-"""Line deduplication against a sharded minimal perfect hash of repeated lines.
+"""Line deduplication against a sharded minimal perfect hash of all distinct lines.
 
 1. Every task reduces its documents to (line hash, number of documents) before the shuffle; the sums are the document
    counts of all distinct lines.
-2. Lines found in at least ``min_docs`` documents are dealt to shards by their hash.  A shard numbers its n hashes
-   0..n-1 by a minimal perfect hash (levels of bit arrays: a hash that is alone in its cell takes the cell, the others
-   go on to the next level; the rank of the bit is the number) and stores, by number, a fingerprint and the count.
-   A line in fewer documents needs no slot: its probe ends in no cell or in a wrong fingerprint.
-3. Documents look their lines up in these arrays.  As long as all arrays together are at most ``broadcast_bytes`` they
-   travel with the tasks and no line is shuffled; beyond that, each (document, line hash) visits the shard of its hash and
-   the hits come back.  Both ways give the same rows.
+2. The distinct lines are dealt to shards by their hash.  A shard numbers its n hashes 0..n-1 by a minimal perfect hash
+   (levels of bit arrays: a hash that is alone in its cell takes the cell, the others go on to the next level; the rank of
+   the bit is the number) and stores, by number, a fingerprint and the document count.
+3. Documents look their lines up in these arrays and drop those whose count is large enough.  As long as all arrays together
+   are at most ``broadcast_bytes`` they travel with the tasks and no line is shuffled; beyond that, each (document, line
+   hash) visits the shard of its hash and the hits come back.  A shard is copied as often as its counted visits ask for, so
+   a line in a third of all documents is met by as many tasks as its documents need.  Both ways give the same rows.
 
 Hashes have 128 bits: 64 number the line, the other 64 are its fingerprint.
 """
@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinprofile.llm.common import SLICE, add_columns, materialise, settle, without
+from kinprofile.llm.common import SLICE, Steps, add_columns, materialise, settle, without
 
 WHITE = b" \t\n\x0b\x0c\r"
 GAMMA = 2.0  # cells of a level per hash that enters it
+TWINS = 24  # from this level on the fingerprint counts too: two lines with one 64-bit hash part there
 HASHED = np.dtype([("h", "<u8"), ("mark", "<u8")])
 
 
@@ -77,13 +78,17 @@ def line_counts(docs: DataFrame, text: str, min_chars: int, held: int = 250_000)
     return parts.groupBy("h", "mark").agg(F.sum("n").alias("n"))
 
 
-def _cell(h: np.ndarray, level: int, cells: int) -> np.ndarray:
+def _cell(h: np.ndarray, level: int, cells: int | np.ndarray) -> np.ndarray:
     mixed = h ^ np.uint64((level + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     mixed = (mixed ^ mixed >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
     return ((mixed ^ mixed >> np.uint64(31)) % np.uint64(cells)).astype(np.int64)
 
 
+def _entering(h: np.ndarray, marks: np.ndarray, level: int) -> np.ndarray:
+    return h if level < TWINS else h ^ marks * np.uint64(2 * level + 1)
+
+
 class PerfectHash:
     """Minimal perfect hash over distinct 64-bit hashes with a fingerprint and a count per number."""
 
@@ -97,24 +102,24 @@ class PerfectHash:
 
     @staticmethod
     def build(h: np.ndarray, marks: np.ndarray, counts: np.ndarray) -> PerfectHash:
-        levels, left = [], h
+        levels, left = [], np.arange(len(h))
         while len(left):
             cells = max(64, 64 * math.ceil(GAMMA * len(left) / 64))
-            cell = _cell(left, len(levels), cells)
+            cell = _cell(_entering(h[left], marks[left], len(levels)), len(levels), cells)
             alone = np.bincount(cell, minlength=cells) == 1
             levels.append(np.packbits(alone, bitorder="little"))
             left = left[~alone[cell]]
         out = PerfectHash(levels, np.zeros(len(h), "<u8"), np.zeros(len(h), "<u8"))
-        at = out.number(h)
+        at = out.number(h, marks)
         out.marks[at], out.counts[at] = marks, counts
         return out
 
-    def number(self, h: np.ndarray) -> np.ndarray:
+    def number(self, h: np.ndarray, marks: np.ndarray) -> np.ndarray:
         """Number of each hash, -1 where no level has its cell; an unknown hash may get a number of another."""
         out = np.full(len(h), -1, np.int64)
         open_ = np.arange(len(h))
         for level, (bits, rank) in enumerate(zip(self.levels, self.ranks)):
-            cell = _cell(h[open_], level, 8 * len(bits))
+            cell = _cell(_entering(h[open_], marks[open_], level), level, 8 * len(bits))
             hit = bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1 == 1
             at = cell[hit]
             words = bits.view("<u8")[at >> 6]
@@ -125,7 +130,7 @@ class PerfectHash:
 
     def count(self, h: np.ndarray, marks: np.ndarray) -> np.ndarray:
         """Document count of each hash; 0 where the index does not hold it."""
-        at = self.number(h)
+        at = self.number(h, marks)
         known = at >= 0
         known[known] = self.marks[at[known]] == marks[known]
         out = np.zeros(len(h), np.int64)
@@ -181,7 +186,7 @@ def _cut(value: str | None, drop: set[bytes]) -> tuple[int, int, str]:
 
 def dedup_lines(
     docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", shard_lines: int = 1_000_000,
-    broadcast_bytes: int = 64 << 20,
+    broadcast_bytes: int = 64 << 20, visits: int = 1_000_000,
 ) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text``: lines found in ``min_docs`` documents are gone everywhere.
 
@@ -190,16 +195,17 @@ def dedup_lines(
     a document, also where rows repeat.  Columns with those names are replaced, others kept; an empty table stays empty.
     """
     spark = docs.sparkSession
-    counts = line_counts(docs, text, min_chars).where(F.col("n") >= min_docs)
-    counts = materialise(counts, "line-counts")
-    n = counts.count()
-    shards = max(1, math.ceil(n / shard_lines))
-    index = materialise(build_index(counts, shards), "line-index")
+    steps = Steps(spark)
+    counts = steps.write(line_counts(docs, text, min_chars), "line-counts")
+    shards = max(1, math.ceil(counts.count() / shard_lines))
+    index = steps.write(build_index(counts, shards), "line-index")
     size = F.length("marks") + F.length("counts") + F.aggregate("levels", F.lit(0), lambda a, b: a + F.length(b))
     total = index.agg(F.sum(size.cast("long"))).first()[0] or 0
     names = [f.name for f in DROPPED]
     if total <= broadcast_bytes:
         arrays = spark.sparkContext.broadcast({r["shard"]: r.asDict() for r in index.collect()})
+        steps.drop(counts)
+        steps.drop(index)
 
         def make():
             index_of = {k: PerfectHash.load(r) for k, r in arrays.value.items()}
@@ -224,7 +230,21 @@ def dedup_lines(
             return columns
 
         return add_columns(without(docs, names), text, make, T.StructType(DROPPED))
-    return _dedup_by_visits(docs, index, shards, min_docs, min_chars, text)
+    salts = shard_copies(counts, shards, visits)
+    steps.drop(counts)
+    return _dedup_by_visits(docs, index, salts, min_docs, min_chars, text)
+
+
+def shard_copies(counts: DataFrame, shards: int, visits: int) -> np.ndarray:
+    """Copies of every shard so that about ``visits`` (document, line) pairs meet one: the counts are the visits to come.
+
+    One number per shard comes to the driver, that is one per ``shard_lines`` distinct lines.
+    """
+    out = np.ones(shards, np.int64)
+    asked = counts.groupBy(F.pmod("mark", F.lit(shards)).alias("shard")).agg(F.sum("n").alias("n"))
+    for row in asked.collect():
+        out[row["shard"]] = max(1, math.ceil(row["n"] / visits))
+    return out
 
 
 def _free_names(df: DataFrame, *wanted: str) -> list[str]:
@@ -238,27 +258,53 @@ def _free_names(df: DataFrame, *wanted: str) -> list[str]:
 
 
 def _dedup_by_visits(
-    docs: DataFrame, index: DataFrame, shards: int, min_docs: int, min_chars: int, text: str, salts: int = 16
+    docs: DataFrame, index: DataFrame, salts: np.ndarray, min_docs: int, min_chars: int, text: str, held: int = 100_000
 ) -> DataFrame:
-    """The way for an index of any size: line hashes visit the shards' arrays, hits come back to their row."""
+    """The way for an index of any size: line hashes visit the copies of their shard, hits come back to their row."""
     docs = without(docs, [f.name for f in DROPPED])
     row_name, drop_name = _free_names(docs, "_row", "_drop")
     rows = materialise(docs.withColumn(row_name, F.monotonically_increasing_id()), "rows")
+    names = ["_row", "h", "mark", "shard", "salt"]
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
+        own: list[np.ndarray] = []
+        found: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            row, hashes = np.concatenate(own), np.concatenate(found)
+            mark = hashes["mark"].view(np.int64)
+            shard = mark % len(salts)
+            salt = _cell(hashes["h"] ^ row.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 0, salts[shard])
+            own.clear()
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (row, hashes["h"].view(np.int64), mark, shard, salt)], names)
+
         for batch in batches:
-            for row, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys = [k for k in {*line_keys(value)} if _long_enough(k, min_chars)]
-                if keys:
-                    found = _hashes(keys)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row] * len(keys)), pa.array(found["h"].view(np.int64)), pa.array(found["mark"].view(np.int64))],
-                        ["_row", "h", "mark"],
-                    )
-
-    asked = rows.select(row_name, text).mapInArrow(explode, "_row long, h long, mark long")
-    asked = asked.withColumn("shard", F.pmod("mark", F.lit(shards))).withColumn("salt", F.pmod(F.hash("_row", "h"), F.lit(salts)))
-    copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                for row, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    keys = [k for k in {*line_keys(value)} if _long_enough(k, min_chars)]
+                    if keys:
+                        own.append(np.full(len(keys), row, np.int64))
+                        found.append(_hashes(keys))
+                        size += len(keys)
+                    if size >= held:
+                        yield flush()
+                        size = 0
+        if found:
+            yield flush()
+
+    asked = rows.select(row_name, text).mapInArrow(explode, ", ".join(f"{n} long" for n in names))
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, shard in enumerate(batch.column("shard").to_pylist()):
+                for salt in range(int(salts[shard])):
+                    yield batch.slice(i, 1).append_column("salt", pa.array([salt], pa.int64()))
+
+    copies = index.mapInArrow(copy, f"{INDEX}, salt long")
 
     def visit(left, right):
         import pandas as pd

@@ -310,12 +310,33 @@ def test_perfect_hash_is_minimal_and_refuses_strangers():
     n = min(len(h), len(marks))
     h, marks, counts = h[:n], marks[:n], np.arange(n) % 300 + 2
     index = linededup.PerfectHash.build(h, marks, counts)
-    assert sorted(index.number(h).tolist()) == list(range(n))
+    assert sorted(index.number(h, marks).tolist()) == list(range(n))
     again = linededup.PerfectHash.load(index.dump())
     assert (again.count(h, marks) == counts).all()
     assert not again.count(h + np.uint64(1), marks + np.uint64(1)).any()
 
 
+def test_lines_with_one_hash_part_by_their_fingerprint():
+    h, marks = np.full(3, 77, "<u8"), np.array([5, 6, 7], "<u8")
+    index = linededup.PerfectHash.build(h, marks, np.array([10, 20, 30]))
+    assert index.count(h, marks).tolist() == [10, 20, 30]
+
+
+def test_hot_line_visits_as_many_copies_as_it_needs(spark):
+    texts = [f"the hot line\nown line {k}" for k in range(120)] + ["cold\ncold", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = linededup.line_counts(df, "text", 1)
+    assert counts.count() == 122  # every distinct key that is long enough, however rare
+    copies = linededup.shard_copies(counts, 2, visits=5)
+    assert copies.max() >= 24 and copies.sum() >= 241 / 5
+    tables = [
+        sorted(map(tuple, linededup.dedup_lines(df, min_docs=10, shard_lines=61, visits=v, broadcast_bytes=b).collect()), key=lambda r: r[0])
+        for v, b in ((5, 0), (1_000_000, 0), (5, 64 << 20))
+    ]
+    assert tables[0] == tables[1] == tables[2]
+    assert [r[2:] for r in tables[0]] == [(2, 1, f"own line {k}") for k in range(120)] + [(2, 0, "cold\ncold"), (1, 0, ""), (1, 0, "")]
+
+
 def test_lines_awkward_rows(spark):
     out = linededup.dedup_lines(awkward(spark, n_lines="x", Kept_Text="y"), min_docs=3)
     rows = out.collect()

@@ -119,7 +119,8 @@ class PerfectHash:
         out = np.full(len(h), -1, np.int64)
         open_ = np.arange(len(h))
         for level, (bits, rank) in enumerate(zip(self.levels, self.ranks)):
-            cell = _cell(_entering(h[open_], marks[open_], level), level, 8 * len(bits))
+            entering = h[open_] if level < TWINS else _entering(h[open_], marks[open_], level)
+            cell = _cell(entering, level, 8 * len(bits))
             hit = bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1 == 1
             at = cell[hit]
             words = bits.view("<u8")[at >> 6]
@@ -211,17 +212,17 @@ def dedup_lines(
             index_of = {k: PerfectHash.load(r) for k, r in arrays.value.items()}
 
             def columns(values: list) -> dict[str, pa.Array]:
-                out = []
-                for value in values:
-                    keys = [k for k in {*line_keys(value)} if _long_enough(k, min_chars)]
-                    drop: set[bytes] = set()
-                    if keys and index_of:
-                        rows = _hashes(keys)
-                        shard = rows["mark"].view(np.int64) % shards
-                        for k in np.unique(shard).tolist() if shards > 1 else [0]:
-                            if k in index_of:
-                                own = np.flatnonzero(shard == k)
-                                drop.update(keys[i] for i in own[_probe(index_of[k], rows[own]) >= min_docs].tolist())
+                keys_of = [[k for k in {*line_keys(value)} if _long_enough(k, min_chars)] for value in values]
+                found = _hashes([k for keys in keys_of for k in keys])
+                shard = found["mark"].view(np.int64) % shards
+                frequent = np.zeros(len(found), bool)
+                for k in index_of if len(found) else ():
+                    own = np.flatnonzero(shard == k)
+                    frequent[own] = _probe(index_of[k], found[own]) >= min_docs
+                out, at = [], 0
+                for value, keys in zip(values, keys_of):
+                    drop = {keys[i] for i in np.flatnonzero(frequent[at : at + len(keys)]).tolist()}
+                    at += len(keys)
                     out.append(_cut(value, drop))
                 n_lines, n_dropped, kept = zip(*out) if out else ((), (), ())
                 return {"n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()),

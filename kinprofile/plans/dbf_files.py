@@ -5,7 +5,9 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator, Mapping
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,30 +15,47 @@ from pyspark.sql import functions as F
 from kinprofile.sources.dbf import open_folder
 
 
-def dbf_bytes(rows: list[tuple], fields: Mapping[str, int]) -> bytes:
-    """A DBF file of character fields; null is blank."""
+def dbf_header(records: int, fields: Mapping[str, int]) -> bytes:
+    """Header of a DBF file of character fields."""
     width = 1 + sum(fields.values())
     offset = 32 + 32 * len(fields) + 1
-    out = [struct.pack("<BBBBIHH20x", 3, 24, 1, 1, len(rows), offset, width)]
+    out = [struct.pack("<BBBBIHH20x", 3, 24, 1, 1, records, offset, width)]
     out += [struct.pack("<11sc4xBB14x", name.encode(), b"C", size, 0) for name, size in fields.items()]
-    out.append(b"\r")
-    for row in rows:
-        out.append(b" " + b"".join(("" if v is None else v).encode("latin-1").ljust(n)[:n] for v, n in zip(row, fields.values())))
-    return b"".join(out)
+    return b"".join(out) + b"\r"
+
+
+def dbf_field(values: pa.Array, size: int) -> np.ndarray:
+    """Latin-1 bytes of texts, ``size`` for each; blanks fill up, null is blank."""
+    texts = pc.fill_null(values, "")
+    if pc.all(pc.string_is_ascii(texts), min_count=0).as_py():
+        texts = pc.ascii_rpad(pc.utf8_slice_codeunits(texts, 0, size), size)
+        data = texts.buffers()[2] if len(texts) else b""
+    else:
+        data = b"".join(v.encode("latin-1").ljust(size)[:size] for v in texts.to_pylist())
+    return np.frombuffer(data, np.uint8)[: len(texts) * size].reshape(-1, size)
 
 
 def write_dbf(df: DataFrame, folder: str, fields: Mapping[str, int]) -> int:
-    """Write ``df`` as DO<uf><year>-<task>-<batch>.dbf by its columns ``uf`` and ``year``; a repeated task replaces its files."""
+    """Write ``df`` as DO<uf><year>-<task>-<batch>.dbf by its columns ``uf`` and ``year``; a repeated task replaces its files.
+
+    A row without state or year is in no file and not counted.
+    """
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, root = open_folder(folder)
         target.create_dir(root, recursive=True)
         task = TaskContext.get().partitionId()
-        for k, pdf in enumerate(batches):
-            for (uf, year), part in pdf.groupby(["uf", "year"]):
-                rows = list(part[list(fields)].astype(object).where(part[list(fields)].notna(), None).itertuples(index=False))
-                with target.open_output_stream(f"{root}/DO{uf}{year}-{task}-{k}.dbf") as handle:
-                    handle.write(dbf_bytes(rows, fields))
-                yield pd.DataFrame({"written": [len(part)]})
-
-    return df.mapInPandas(write, "written bigint").agg(F.coalesce(F.sum("written"), F.lit(0))).first()[0]
+        for k, rows in enumerate(batches):
+            rows = rows.filter(pc.and_(rows.column("uf").is_valid(), rows.column("year").is_valid()))
+            flags = np.full((rows.num_rows, 1), ord(" "), np.uint8)
+            records = np.hstack([flags, *(dbf_field(rows.column(name), size) for name, size in fields.items())])
+            uf, year = (rows.column(c).dictionary_encode() for c in ("uf", "year"))
+            file = uf.indices.to_numpy().astype(np.int64) * len(year.dictionary) + year.indices.to_numpy()
+            order = np.argsort(file, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(file[order])) + 1) if len(order) else ():
+                name = f"DO{uf[own[0]].as_py()}{year[own[0]].as_py()}-{task}-{k}.dbf"
+                with target.open_output_stream(f"{root}/{name}") as handle:
+                    handle.write(dbf_header(len(own), fields) + records[own].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([rows.num_rows], pa.int64())], ["written"])
+
+    return df.mapInArrow(write, "written bigint").agg(F.coalesce(F.sum("written"), F.lit(0))).first()[0]

@@ -1,7 +1,7 @@
 """DBF files as a Spark data source: ``spark.read.format("dbf").load(folder)``.
 
 Records have a fixed length, so a file is cut into record ranges and large files are read by
-several tasks, which read the headers themselves; the driver only lists the folder.  All columns are strings; files may differ in columns and the table has the
+several tasks, small files together by one; tasks read the headers themselves, the driver only lists the folder.  All columns are strings; files may differ in columns and the table has the
 union of them.  The state and year come from the file name (``DOUFAAAA.dbf``); conditions on these two columns are pushed
 into the source and decide which files are opened at all.
 """
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql import datasource as ds
@@ -24,6 +25,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 STATE, YEAR, RECORD = "ESTADO", "ANO", "_record"
 RANGE_BYTES = 64 * 1024 * 1024
+TOGETHER = 8  # ranges that are together at most an eighth of that are read by one task
+OPEN_BYTES = 16 * 1024  # what opening a file counts there
 BATCH_RECORDS = 50_000
 HEADERS_AT_ONCE = 32  # headers the schema opens side by side
 
@@ -60,12 +63,10 @@ def read_layout(filesystem: fs.FileSystem, path: str) -> Layout:
 
 
 @dataclass
-class RecordRange(InputPartition):
-    """Part ``part`` of ``parts`` of a file's records; the header is read by the task."""
+class RecordRanges(InputPartition):
+    """Ranges ``(path, part, parts)``: part ``part`` of ``parts`` of a file's records; the header is read by the task."""
 
-    path: str
-    part: int
-    parts: int
+    ranges: list[tuple[str, int, int]]
 
 
 def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
@@ -93,6 +94,10 @@ def _texts(raw: np.ndarray) -> pa.Array:
     """Rows of Latin-1 bytes as strings without padding: a byte is its own code point."""
     if not raw.size:
         return pa.array([""] * len(raw), pa.string())
+    if raw.max() < 128 and raw.min() > 0:
+        ends = np.arange(0, raw.size + 1, raw.shape[1], dtype=np.int32)
+        text = pa.py_buffer(np.ascontiguousarray(raw))
+        return pc.ascii_rtrim(pa.StringArray.from_buffers(len(raw), pa.py_buffer(ends), text), " ")
     wide = np.ascontiguousarray(raw.astype("<u4")).view(f"<U{raw.shape[1]}").ravel()
     return pa.array(np.char.rstrip(wide, " \0"), pa.string())
 
@@ -131,42 +136,76 @@ class DbfReader(DataSourceReader):
         self.conditions = [f for f in filters if decides(f)]
         return [f for f in filters if not decides(f)]
 
-    def partitions(self) -> list[RecordRange]:
+    def partitions(self) -> list[RecordRanges]:
         _, files = list_files(self.folder, self.suffixes)
         files = [(path, size) for path, size in files if all(holds(c, named(path)) for c in self.conditions)]
-        sizes = [(path, max(1, -(-size // self.range_bytes))) for path, size in files]
-        return [RecordRange(path, part, parts) for path, parts in sizes for part in range(parts)]
-
-    def read(self, partition: RecordRange | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # no file matched
-            return
+        out, room = [], 0
+        for path, size in files:
+            parts = max(1, -(-size // self.range_bytes))
+            cost = max(OPEN_BYTES, size // parts)
+            for part in range(parts):
+                if cost > room:
+                    out.append(RecordRanges([]))
+                    room = self.range_bytes // TOGETHER
+                out[-1].ranges.append((path, part, parts))
+                room -= cost
+        return out
+
+    def _pieces(self, ranges: list[tuple[str, int, int]]) -> Iterator[tuple[str, tuple, np.ndarray, np.ndarray]]:
+        """(path, fields, records, their numbers in the file) of the ranges, at most ``BATCH_RECORDS`` records at a time."""
         filesystem, _ = open_folder(self.folder)
-        layout, name = read_layout(filesystem, partition.path), partition.path.rsplit("/", 1)[-1]
-        first = layout.records * partition.part // partition.parts
-        left = layout.records * (partition.part + 1) // partition.parts - first
-        fixed = named(partition.path)
+        for path, part, parts in ranges:
+            layout = read_layout(filesystem, path)
+            first = layout.records * part // parts
+            left = layout.records * (part + 1) // parts - first
+            if not left:
+                continue
+            with filesystem.open_input_file(path) as handle:
+                handle.seek(layout.offset + first * layout.width)
+                while left > 0:
+                    take = min(left, BATCH_RECORDS)
+                    rows = np.frombuffer(handle.read(take * layout.width), np.uint8).reshape(-1, layout.width)
+                    numbers = np.arange(first, first + len(rows))
+                    kept = rows[:, 0] != ord("*")
+                    yield path, layout.fields, rows[kept], numbers[kept]
+                    left, first = left - take, first + take
+
+    def _batch(self, pieces: list[tuple[str, tuple, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """The records of pieces with the same fields."""
         places, at = {}, 1
-        for field, size in layout.fields:
+        for field, size in pieces[0][1]:
             places[field] = slice(at, at + size)
             at += size
-        with filesystem.open_input_file(partition.path) as handle:
-            handle.seek(layout.offset + first * layout.width)
-            while left > 0:
-                take = min(left, BATCH_RECORDS)
-                rows = np.frombuffer(handle.read(take * layout.width), np.uint8).reshape(-1, layout.width)
-                numbers = np.arange(first, first + len(rows))
-                kept = rows[:, 0] != ord("*")
-                rows, numbers = rows[kept], numbers[kept]
-                left, first = left - take, first + take
-                columns = []
-                for column in self.columns:
-                    if column in places:
-                        columns.append(_texts(rows[:, places[column]]))
-                    elif column == RECORD:
-                        columns.append(pa.array([f"{name}#{n}" for n in numbers.tolist()], pa.string()))
-                    else:
-                        columns.append(pa.array([fixed.get(column)] * len(rows), pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=self.columns)
+        rows = np.concatenate([records for _, _, records, _ in pieces])
+        piece = pa.array(np.repeat(np.arange(len(pieces)), [len(records) for _, _, records, _ in pieces]))
+        paths = [path for path, _, _, _ in pieces]
+
+        def of_file(values: list[str | None]) -> pa.Array:
+            return pa.array(values, pa.string()).take(piece)
+
+        columns = []
+        for column in self.columns:
+            if column in places:
+                columns.append(_texts(rows[:, places[column]]))
+            elif column == RECORD:
+                numbers = pa.array(np.concatenate([n for _, _, _, n in pieces])).cast(pa.string())
+                columns.append(pc.binary_join_element_wise(of_file([path.rsplit("/", 1)[-1] for path in paths]), numbers, "#"))
+            else:
+                columns.append(of_file([named(path).get(column) for path in paths]))
+        return pa.RecordBatch.from_arrays(columns, names=self.columns)
+
+    def read(self, partition: RecordRanges | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no file matched
+            return
+        held, records = [], 0
+        for piece in self._pieces(partition.ranges):
+            if held and (piece[1] != held[0][1] or piece[2].shape[1] != held[0][2].shape[1] or records + len(piece[2]) > BATCH_RECORDS):
+                yield self._batch(held)
+                held, records = [], 0
+            held.append(piece)
+            records += len(piece[2])
+        if held:
+            yield self._batch(held)
 
 
 class DbfSource(DataSource):

@@ -4,6 +4,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from kinprofile.plans.dbf_files import write_dbf
 from kinprofile.sources import dbf, tables
 from kinprofile.sources.features import stored_vectors
 from kinprofile.sources.store import ResultStore
@@ -34,6 +35,36 @@ def test_dbf_union_ranges_and_file_columns(spark, tmp_path):
     assert picked.count() == 49 and picked.columns == ["SEXO", "IDADE", "ESTADO", "ANO"]
 
 
+def test_small_dbf_files_share_tasks(spark, tmp_path):
+    want = {}
+    for f in range(120):
+        state, year = ("AC", "AM", "PA")[f % 3], 2000 + f // 3
+        name, fields = f"DO{state}{year}.dbf", [("SEXO", 1), ("CIDADE", 6)] if f % 4 else [("CIDADE", 8)]
+        city = ("Belém", "Acará", "Juruti", "", "a\0b")[f % 5]
+        _write(tmp_path / name, fields, [(str(i), city)[-len(fields):] for i in range(f % 7)], deleted={2})
+        for i in set(range(f % 7)) - {2}:
+            want[f"{name}#{i}"] = (str(i) if f % 4 else None, city.split("\0")[0], state, str(year))
+    dbf.register(spark)
+    df = spark.read.format("dbf").option("recordId", "true").load(str(tmp_path))
+    assert df.rdd.getNumPartitions() == 1
+    got = df.collect()
+    assert len(got) == len(want)
+    assert {r[dbf.RECORD]: (r["SEXO"], r["CIDADE"], r["ESTADO"], r["ANO"]) for r in got} == want
+    cut = spark.read.format("dbf").options(recordId="true", rangeBytes=24).load(str(tmp_path))
+    assert cut.rdd.getNumPartitions() > 120 and sorted(map(str, cut.collect())) == sorted(map(str, got))
+
+
+def test_written_dbf_files_hold_the_rows(spark, tmp_path):
+    rows = [("AC", "2001", "1", "Belém"), ("AC", "2001", None, "much too long"), ("AM", "2001", "3", None), (None, "2001", "4", "x"), ("AM", None, "5", "y")]
+    df = spark.createDataFrame(rows, "uf string, year string, N string, CIDADE string").coalesce(1)
+    assert write_dbf(df, str(tmp_path / "out"), {"N": 2, "CIDADE": 6}) == 3
+    dbf.register(spark)
+    got = spark.read.format("dbf").load(str(tmp_path / "out"))
+    assert sorted(map(tuple, got.collect())) == [("", "much t", "AC", "2001"), ("1", "Belém", "AC", "2001"), ("3", "", "AM", "2001")]
+    assert sorted(p.name for p in (tmp_path / "out").glob("*.dbf")) == ["DOAC2001-0-0.dbf", "DOAM2001-0-0.dbf"]
+    assert write_dbf(df.limit(0), str(tmp_path / "none"), {"N": 2}) == 0
+
+
 def test_coverage_gap(spark):
     found = spark.createDataFrame([("AC", "2013"), ("AM", "2014")], "ESTADO string, ANO string")
     gap = tables.coverage_gap(found, {"ESTADO": ["AC", "AM"], "ANO": ["2013", "2014"]})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -69,8 +70,29 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Whether Spark deletes the shuffle files of a finished execution at once, not when the driver collects its objects.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for what is planned and run inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 class Steps:
-    """Tables an operator writes on its way; ``drop`` deletes one as soon as nothing reads it."""
+    """Tables an operator writes on its way; ``drop`` deletes one as soon as nothing reads it.
+
+    A written table needs the shuffles behind it no more, so their files go with the write.
+    """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
@@ -78,7 +100,8 @@ class Steps:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, name)
-        df.write.mode("errorifexists").parquet(path)
+        with setting(self.spark, SHUFFLE_CLEANUP, "true"):
+            df.write.mode("errorifexists").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self.keep = getattr(self, "keep", [])

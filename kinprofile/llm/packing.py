@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinprofile.llm.bpe import codec
-from kinprofile.llm.common import scratch_path
+from kinprofile.llm.common import scratch_path, setting
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -32,7 +32,7 @@ PIECES = T.StructType([
 ])
 TOKENS = "kind string, doc_id long, key long, n_tokens long, ids binary"
 K1, B = 1.2, 0.75
-PART = 1500  # documents a worker tokenises together
+PART = 750  # documents that reach a worker and are tokenised together
 MEMO = 400_000  # words whose ids a worker keeps
 
 
@@ -96,7 +96,8 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     path = scratch_path(spark, "tokens")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    source.mapInArrow(run, TOKENS).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(PART)):
+        source.mapInArrow(run, TOKENS).write.partitionBy("kind").option("compression", "zstd").parquet(path)
     return spark.read.schema(TOKENS).parquet(path)
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from kinprofile.sources.dbf import open_folder
 
+HELD_BYTES = 32 * 1024 * 1024  # records a task holds before it writes them
+
 
 def dbf_header(records: int, fields: Mapping[str, int]) -> bytes:
     """Header of a DBF file of character fields."""
@@ -35,27 +37,42 @@ def dbf_field(values: pa.Array, size: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[: len(texts) * size].reshape(-1, size)
 
 
-def write_dbf(df: DataFrame, folder: str, fields: Mapping[str, int]) -> int:
-    """Write ``df`` as DO<uf><year>-<task>-<batch>.dbf by its columns ``uf`` and ``year``; a repeated task replaces its files.
+def write_dbf(df: DataFrame, folder: str, fields: Mapping[str, int], held_bytes: int = HELD_BYTES) -> int:
+    """Write ``df`` as DO<uf><year>-<task>-<part>.dbf by its columns ``uf`` and ``year``; a repeated task replaces its files.
 
-    A row without state or year is in no file and not counted.
+    A task holds about ``held_bytes`` of records, then writes a file for every state and year among them, so the number of
+    files follows the bytes and not the Arrow batches.  A row without state or year is in no file and not counted.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, root = open_folder(folder)
         target.create_dir(root, recursive=True)
-        task = TaskContext.get().partitionId()
-        for k, rows in enumerate(batches):
+        task, part, written = TaskContext.get().partitionId(), 0, 0
+        names, held = [], []
+
+        def flush() -> None:
+            records = np.concatenate(held)
+            files = pa.chunked_array(names).combine_chunks().dictionary_encode()
+            file = files.indices.to_numpy()
+            order = np.argsort(file, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(file[order])) + 1):
+                with target.open_output_stream(f"{root}/DO{files[own[0]].as_py()}-{task}-{part}.dbf") as handle:
+                    handle.write(dbf_header(len(own), fields))
+                    handle.write(np.ascontiguousarray(records[own]))
+
+        for rows in batches:
             rows = rows.filter(pc.and_(rows.column("uf").is_valid(), rows.column("year").is_valid()))
+            if not rows.num_rows:
+                continue
             flags = np.full((rows.num_rows, 1), ord(" "), np.uint8)
-            records = np.hstack([flags, *(dbf_field(rows.column(name), size) for name, size in fields.items())])
-            uf, year = (rows.column(c).dictionary_encode() for c in ("uf", "year"))
-            file = uf.indices.to_numpy().astype(np.int64) * len(year.dictionary) + year.indices.to_numpy()
-            order = np.argsort(file, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(file[order])) + 1) if len(order) else ():
-                name = f"DO{uf[own[0]].as_py()}{year[own[0]].as_py()}-{task}-{k}.dbf"
-                with target.open_output_stream(f"{root}/{name}") as handle:
-                    handle.write(dbf_header(len(own), fields) + records[own].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([rows.num_rows], pa.int64())], ["written"])
+            held.append(np.hstack([flags, *(dbf_field(rows.column(name), size) for name, size in fields.items())]))
+            names.append(pc.binary_join_element_wise(rows.column("uf"), rows.column("year"), ""))
+            written += rows.num_rows
+            if sum(h.nbytes for h in held) >= held_bytes:
+                flush()
+                names, held, part = [], [], part + 1
+        if held:
+            flush()
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["written"])
 
     return df.mapInArrow(write, "written bigint").agg(F.coalesce(F.sum("written"), F.lit(0))).first()[0]

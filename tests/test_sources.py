@@ -65,6 +65,25 @@ def test_written_dbf_files_hold_the_rows(spark, tmp_path):
     assert write_dbf(df.limit(0), str(tmp_path / "none"), {"N": 2}) == 0
 
 
+def test_written_dbf_files_follow_the_bytes_not_the_batches(spark, tmp_path):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    rows = [(("AC", "AM", None)[i % 3], str(2001 + i % 2), str(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "uf string, year string, N string").coalesce(1)
+    try:
+        assert write_dbf(df, str(tmp_path / "few"), {"N": 3}) == 200
+        assert write_dbf(df, str(tmp_path / "more"), {"N": 3}, held_bytes=400) == 200
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    dbf.register(spark)
+    want = sorted((n, uf, year) for uf, year, n in rows if uf)
+    assert len(list((tmp_path / "few").glob("*.dbf"))) == 4 < len(list((tmp_path / "more").glob("*.dbf"))) < 20
+    for folder in ("few", "more"):
+        assert sorted(map(tuple, spark.read.format("dbf").load(str(tmp_path / folder)).collect())) == want
+    few = spark.read.format("dbf").option("suffixes", "AC2001").load(str(tmp_path / "few"))
+    assert [int(r["N"]) for r in few.coalesce(1).collect()] == list(range(0, 300, 6))  # in the order of the rows
+
+
 def test_coverage_gap(spark):
     found = spark.createDataFrame([("AC", "2013"), ("AM", "2014")], "ESTADO string, ANO string")
     gap = tables.coverage_gap(found, {"ESTADO": ["AC", "AM"], "ANO": ["2013", "2014"]})

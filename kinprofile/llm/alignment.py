@@ -5,8 +5,8 @@
 2. Every token of a batch of documents points to its farthest-right overlapping token, on either side.  Successor doubling
    (``next = next[next]``) takes every token to the terminal token of its component in as many steps as the logarithm of
    the longest chain; tokens with the same terminal are a group, and groups end where tokens of both sides end.
-3. Links (one token of each side that end together) are written next to the groups.  Pair counts are summed per batch before
-   they are shuffled; the highest count of every B id is a second, smaller aggregate.
+3. Links (one token of each side that end together) are written next to the groups.  Pair counts are summed over many documents
+   before they are shuffled; the highest count of every B id is a second, smaller aggregate.
 4. Counts go back to the links.  While the table of counts has at most ``broadcast_bytes`` it travels as sorted arrays and
    links look it up; beyond that, the pairs of each batch of documents are joined with it.  Both ways give the same rows.
 """
@@ -26,7 +26,8 @@ from sentencepiece import SentencePieceProcessor
 
 from kinprofile.llm.common import Steps, materialise, settle
 
-PART = 250  # documents a worker encodes together
+PART = 100  # documents a worker encodes together
+LINKS = 400_000  # links whose pairs a worker counts together, at least
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -172,6 +173,11 @@ def _encode(docs: DataFrame, text: str, key: str, vocabulary_a: bytes, vocabular
             given = [pa.array([kind] * size, pa.string())] + [columns.get(c, pa.nulls(size, t)) for c, t in zip(fields[1:], types[1:])]
             return pa.RecordBatch.from_arrays(given, fields)
 
+        def pairs_of(links: list[np.ndarray]) -> pa.RecordBatch:
+            pairs, n = np.unique(np.concatenate(links), return_counts=True)
+            return batch("pair", len(pairs), pair=pa.array(pairs), n=pa.array(n))
+
+        held = []
         for rows in batches:
             for at in range(0, rows.num_rows, PART):
                 part = rows.slice(at, PART)
@@ -182,8 +188,12 @@ def _encode(docs: DataFrame, text: str, key: str, vocabulary_a: bytes, vocabular
                     "doc", part.num_rows, doc_id=part.column("doc_id"), n_a=pa.array(n_a), n_b=pa.array(n_b), n_groups=pa.array(n_groups),
                     groups=pa.array([g.decode() for g in groups]), links=pa.array(own, pa.binary()),
                 )
-                pairs, n = np.unique(links, return_counts=True)
-                yield batch("pair", len(pairs), pair=pa.array(pairs), n=pa.array(n))
+                held.append(links)
+                if sum(map(len, held)) >= LINKS:
+                    yield pairs_of(held)
+                    held = []
+        if held:
+            yield pairs_of(held)
 
     source = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return source.mapInArrow(run, ALIGNED)
@@ -199,6 +209,7 @@ def _counted(documents: DataFrame, counts: DataFrame, bytes_: int) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         pairs, n, best = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, PART):
@@ -223,6 +234,7 @@ def _joined(documents: DataFrame, counts: DataFrame) -> DataFrame:
     """The same by a join on the pair: each document brings each of its pairs once, with the number of its links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for whole in batches:
             for at in range(0, whole.num_rows, PART):
                 rows = whole.slice(at, PART)

@@ -20,10 +20,14 @@ HELD: list[Callable[[], None]] = []
 
 
 def settle(own: Callable[[], None] | None = None) -> None:
-    """Drop what tasks of other operators left in this worker: Spark uses a process again for the next stage."""
+    """Drop what tasks of other operators left in this worker: Spark uses a process again for the next stage.
+
+    Memory of their Arrow batches that the pool only keeps for later goes back as well.
+    """
     for drop in HELD:
         if drop is not own:
             drop()
+    pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinprofile.llm.bpe import codec
-from kinprofile.llm.common import scratch_path, setting
+from kinprofile.llm.bpe import codec, forget
+from kinprofile.llm.common import scratch_path, setting, settle
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -73,6 +73,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         spec = spark.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle(forget)
         own = codec(spec.value, MEMO)
         counts = np.zeros(max(len(own.labels), end_id + 1), "<i8")
         names, n_docs, n_tokens = ["kind", "doc_id", "key", "n_tokens", "ids"], 0, 0
@@ -107,6 +108,7 @@ def corpus_counts(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
     What reaches the driver is one number per vocabulary entry, whatever the corpus.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         total, docs, size = np.zeros(0, np.int64), 0, 0
         for rows in batches:
             for row in rows.to_pylist():
@@ -212,6 +214,7 @@ def pack(
     shared = spark.sparkContext.broadcast(weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()  # a worker that tokenised still holds the automaton and its words
         task, made = TaskContext.get().partitionId(), 0
 
         def flush(ids: list, found: list) -> pa.RecordBatch:

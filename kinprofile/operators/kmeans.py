@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from kinprofile.operators import resampling
 from kinprofile.operators.metrics import adjusted_rand, best_row, model_report
 from kinprofile.operators.vectors import block_norm_sql, dense, level_sums_sql, scan_tasks, squared_distance_sql, with_scaling
-from kinprofile.session import materialise
+from kinprofile.session import materialise, tasks_apart
 from kinprofile.spec import FeatureSpec
 
 K_RANGE = tuple(range(2, 11))
@@ -123,7 +123,8 @@ def _fit_whole(vectors: DataFrame, spec: FeatureSpec, units: list[str], n_init:
         return pd.DataFrame(out, columns=schema.fieldNames())
 
     starts = F.explode(F.sequence(F.lit(1), F.lit(n_init))).alias("start")
-    return vectors.select(*units, *_carried(spec), "ks", starts).groupBy(*units, "start").applyInPandas(solve, schema)
+    dealt = vectors.select(*units, *_carried(spec), "ks", starts).repartition(tasks_apart(vectors), *units, "start")
+    return dealt.groupBy(*units, "start").applyInPandas(solve, schema)
 
 
 def _carried(spec: FeatureSpec) -> list[str]:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinprofile.functions.scalar import uniform
-from kinprofile.session import materialise
+from kinprofile.session import materialise, tasks_apart
 
 BLOCK = 8192
 BITS = 52
@@ -41,13 +41,13 @@ def binomial(n: int, p: float, u: float) -> int:
         return n
     reach = 9.0 * math.sqrt(n * p * (1.0 - p)) + 40.0
     low, high = max(0, math.floor(n * p - reach)), min(n, math.ceil(n * p + reach))
-    log_p, log_q, whole = math.log(p), math.log1p(-p), math.lgamma(n + 1.0)
-    total = 0.0
-    for x in range(low, high + 1):
-        total += math.exp(whole - math.lgamma(x + 1.0) - math.lgamma(n - x + 1.0) + x * log_p + (n - x) * log_q)
-        if u < total:
-            return x
-    return high
+    log_p, log_q = math.log(p), math.log1p(-p)
+    mode = min(high, max(low, math.floor((n + 1) * p)))
+    at_mode = math.lgamma(n + 1.0) - math.lgamma(mode + 1.0) - math.lgamma(n - mode + 1.0) + mode * log_p + (n - mode) * log_q
+    x = np.arange(low, high + 1)
+    logs = np.r_[0.0, np.cumsum(np.log((n - x[:-1]) / x[1:]) + (log_p - log_q))]  # from the ratios of neighbours
+    total = np.cumsum(np.exp(logs + (at_mode - logs[mode - low])))
+    return min(high, low + int(np.searchsorted(total, u, "right")))
 
 
 def _shares(place: np.ndarray, weight: np.ndarray, n: int, level: int, node: int, stop: int, key: tuple) -> list[tuple[int, int]]:
@@ -108,4 +108,6 @@ def bootstrap_weights(vectors: DataFrame, group: str, replicates: int = 20, seed
         vid = own["vid"].to_numpy()
         return pd.DataFrame([(key[0], key[1], int(vid[i]), n) for i, n in found], columns=drawn.fieldNames())
 
-    return below.groupBy(group, "replicate", "node").applyInPandas(draw, drawn)
+    # Few bytes, much work: partitions that Spark would put together by their size stay apart.
+    keys = [group, "replicate", "node"]
+    return below.repartition(tasks_apart(vectors), *keys).groupBy(*keys).applyInPandas(draw, drawn)

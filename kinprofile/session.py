@@ -63,3 +63,8 @@ def spread(df: DataFrame) -> DataFrame:
     """At least one partition per core, for small written tables ahead of heavy work per row."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def tasks_apart(df: DataFrame) -> int:
+    """Partitions for keys whose work is much larger than their bytes; adaptive execution leaves a given number as it is."""
+    return 2 * df.sparkSession.sparkContext.defaultParallelism

@@ -311,6 +311,19 @@ def test_bootstrap_has_the_size_of_the_group_however_it_is_cut(spark, vectors, c
         assert spread.mean() == pytest.approx(1, abs=0.15)
 
 
+def test_draws_and_starts_stay_in_tasks_of_their_own(spark, vectors):
+    drawn = resampling.bootstrap_weights(vectors, "g", 20)
+    assert drawn.select(F.spark_partition_id()).distinct().count() > 3
+    fitted = kmeans.fit(vectors, SPEC, ["g"], ks=(2, 3), n_init=8)
+    assert fitted.select(F.spark_partition_id()).distinct().count() > 3
+
+
+def test_binomial_of_many_rows_is_exact():
+    for n, p in ((10**8, 0.37), (10**9, 0.002)):
+        drawn = resampling.binomial(n, p, 0.25)
+        assert (drawn - n * p) / (n * p * (1 - p)) ** 0.5 == pytest.approx(-0.67449, abs=2e-3)  # the lower quartile
+
+
 def test_binomial_inverts_its_distribution():
     for n, p in ((1, 0.3), (10, 0.5), (400, 0.02), (5000, 0.9)):
         draws = [resampling.binomial(n, p, (i + 0.5) / 2000) for i in range(2000)]

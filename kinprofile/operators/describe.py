@@ -89,10 +89,13 @@ def standardise(df: DataFrame, group: str, columns: Sequence[str], suffix: str =
 
 def group_summary(
     df: DataFrame, group: str, continuous: Sequence[str], categorical: Sequence[str],
-    labels: Mapping[str, Mapping[int, str]], digits: int = 1,
+    labels: Mapping[str, Mapping[int, str]], digits: int = 1, counts: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per group: rounded medians and "label (nn%)" of the modes ("-" without values)."""
-    counts = value_counts(df, group, [*continuous, *categorical])
+    """One row per group: rounded medians and "label (nn%)" of the modes ("-" without values).
+
+    ``counts`` are the ``value_counts`` of at least these columns, if they are there already.
+    """
+    counts = value_counts(df, group, [*continuous, *categorical]) if counts is None else counts
     middle = (
         medians(counts.filter(F.col("variable").isin(*continuous)), group).withColumn("shown", F.round("value", digits).cast("string"))
         .select(group, "variable", "shown")
@@ -131,16 +134,18 @@ def pooled_percentiles(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
 
 
 def density_curves(
-    df: DataFrame, group: str, columns: Sequence[str], points: int = 400, limits: tuple[float, float] = (0.005, 0.995)
+    df: DataFrame, group: str, columns: Sequence[str], points: int = 400, limits: tuple[float, float] = (0.005, 0.995),
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Gaussian density per group and variable on a common grid: (group, variable, i, x, density).
 
     Scott bandwidth (sample deviation times n^(-1/5)); every curve is divided by its own
     peak.  The x range are pooled percentiles; groups with one row or one value are skipped.
-    Values are counted first, so repeated values cost once.
+    Values are counted first, so repeated values cost once; ``counts`` are the ``value_counts`` of at least these columns,
+    if they are there already.
     """
     keys = [group, "variable"]
-    values = value_counts(df, group, columns)
+    values = value_counts(df, group, columns) if counts is None else counts.filter(F.col("variable").isin(*columns))
     means = materialise(
         values.groupBy(*keys).agg(
             F.sum("rows").alias("n"), (F.sum(F.col("rows") * F.col("value")) / F.sum("rows")).alias("mean"),

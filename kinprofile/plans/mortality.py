@@ -73,8 +73,9 @@ def distributions(df: DataFrame) -> dict[str, DataFrame]:
     """Density curves, category profiles and the summary table of the imputed data."""
     filled = describe.impute(m.describe_numeric(df), GROUP, CONTINUOUS, CATEGORICAL)
     out = {f"profile_{c}": describe.category_shares(filled, GROUP, c, m.DISPLAY_LABELS[c]) for c in CATEGORICAL}
-    out["density"] = describe.density_curves(filled, GROUP, CONTINUOUS)
-    out["summary"] = describe.group_summary(filled, GROUP, CONTINUOUS, CATEGORICAL, m.DISPLAY_LABELS)
+    counts = describe.value_counts(filled, GROUP, [*CONTINUOUS, *CATEGORICAL])
+    out["density"] = describe.density_curves(filled, GROUP, CONTINUOUS, counts=counts)
+    out["summary"] = describe.group_summary(filled, GROUP, CONTINUOUS, CATEGORICAL, m.DISPLAY_LABELS, counts=counts)
     return out
 
 

@@ -56,3 +56,19 @@ def test_study_clusters_every_state_and_compares_the_partitions(spark):
         if rows[state]["ari"] is not None:
             k, d = (np.repeat(both[c].to_numpy(), both["w"].to_numpy()) for c in "kd")
             assert abs(rows[state]["ari"] - brute_ari(k, d)) < 1e-9
+
+
+def test_distributions_count_the_imputed_rows_once(spark, monkeypatch):
+    kept = mortality.homicides(queries.death_records(spark, TESTDATA))
+    counted, count = [], describe.value_counts
+    monkeypatch.setattr(describe, "value_counts", lambda *args: counted.append(args[1:]) or count(*args))
+    shared = study.distributions(kept)
+    assert len(counted) == 2  # once for the fill values, once for curves and summary
+    filled = describe.impute(mortality.describe_numeric(kept), study.GROUP, study.CONTINUOUS, study.CATEGORICAL)
+    alone = {
+        "density": describe.density_curves(filled, study.GROUP, study.CONTINUOUS),
+        "summary": describe.group_summary(filled, study.GROUP, study.CONTINUOUS, study.CATEGORICAL, mortality.DISPLAY_LABELS),
+    }
+    for name, table in alone.items():
+        rounded = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in table.dtypes]
+        assert sorted(map(str, shared[name].select(rounded).collect())) == sorted(map(str, table.select(rounded).collect()))

@@ -140,33 +140,34 @@ class Tables:
                 ids[node] = i
         self.inner, self.final = np.array(inner, np.int32), np.array(final, np.int32)
         rows = [n for n, c in enumerate(children) if c]
-        self.row = np.full(len(children), len(rows), np.int32)  # the last row has no child
-        self.row[rows] = np.arange(len(rows))
-        self.next = np.full((len(rows) + 1, 256), -1, np.int32)
-        for n in rows:
-            self.next[self.row[n], list(children[n])] = list(children[n].values())
+        self.row = np.full(len(children), 256 * len(rows), np.int64)  # the last row has no child
+        self.row[rows] = 256 * np.arange(len(rows))
+        table = np.full((len(rows) + 1, 256), -1, np.int32)
+        for k, n in enumerate(rows):
+            table[k, list(children[n])] = list(children[n].values())
+        self.next = table.ravel()
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.full(self.SLOTS, -1, np.int64)
-        self.open = np.zeros(self.SLOTS, bool)
+        self.known = np.full(self.SLOTS, -1, np.int64)  # twice the key, plus one where the arc is open
         self.filled = 0
 
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        """Slot of each key, or of the empty slot where it belongs."""
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slot of each key, or of the empty slot where it belongs, and what the slot holds."""
         slot = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        wrong = np.flatnonzero((self.keys[slot] != keys) & (self.keys[slot] >= 0))
+        held = self.known[slot]
+        wrong = np.flatnonzero((held >> 1 != keys) & (held >= 0))
         while len(wrong):
             slot[wrong] = (slot[wrong] + 1) & (self.SLOTS - 1)
-            held = self.keys[slot[wrong]]
-            wrong = wrong[(held != keys[wrong]) & (held >= 0)]
-        return slot
+            held[wrong] = again = self.known[slot[wrong]]
+            wrong = wrong[(again >> 1 != keys[wrong]) & (again >= 0)]
+        return slot, held
 
     def arcs(self, states: np.ndarray, labels: np.ndarray) -> np.ndarray:
         """Whether each state has an arc with the label."""
         keys = states.astype(np.int64) << 20 | labels
-        slot = self._find(keys)
-        absent = self.keys[slot] < 0
+        held = self._find(keys)[1]
+        absent = held < 0
         if absent.any():
             new = np.unique(keys[absent])
             if self.filled + len(new) > self.SLOTS // 2:
@@ -174,55 +175,162 @@ class Tables:
                 new = np.unique(keys)
             for key in new.tolist():
                 at = key * 0x9E3779B97F4A7C15 % (1 << 64) >> 44
-                while self.keys[at] >= 0:
+                while self.known[at] >= 0:
                     at = (at + 1) & (self.SLOTS - 1)
-                self.keys[at] = key
-                self.open[at] = self.automaton.arc(key >> 20, key & 0xFFFFF)
+                self.known[at] = key << 1 | self.automaton.arc(key >> 20, key & 0xFFFFF)
             self.filled += len(new)
-            slot = self._find(keys)
-        return self.open[slot]
+            held = self._find(keys)[1]
+        return (held & 1).astype(bool)
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """Ids of pre-split words, as little-endian unsigned 32-bit integers."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(-size, kind="stable")  # the longest first: those still being read are a prefix
-        size = size[order]
-        longest = int(size[0])
-        text = np.frombuffer(b"".join(words[k].ljust(longest, b"\0") for k in order.tolist()), np.uint8).reshape(-1, longest)
-        last = np.full((len(words), longest + 1), -1, np.int32)
-        start = np.zeros((len(words), longest + 1), np.int32)
-        word = begin = node = np.empty(0, np.int64)
+    def _read(self, text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in the rows of ``text``, the longest first: an array filled from the right, and where each row begins.
+
+        What stands in a row after its word is not read.
+        """
+        longest = text.shape[1]
+        wide = longest + 1
+        base = np.arange(len(text)) * wide
+        last = np.full(len(text) * wide, -1, np.int32)  # by cell: a row and how many of its bytes are read
+        came = np.repeat(base, wide)  # the cell where the last token of a cell begins
+        columns = np.ascontiguousarray(text.T)
+        word = cell = node = np.empty(0, np.int64)
         for i in range(1, longest + 1):
-            live = int(np.searchsorted(-size, -i, "right"))
-            keep = word < live
+            ending, live = (int(np.searchsorted(-size, -i, side)) for side in ("left", "right"))
+            keep = word < live  # those still being read are a prefix
             word = np.concatenate([word[keep], np.arange(live)])
-            begin = np.concatenate([begin[keep], np.full(live, i - 1)])
+            cell = np.concatenate([cell[keep], base[:live] + (i - 1)])
             node = np.concatenate([node[keep], np.zeros(live, np.int64)])
-            node = self.next[self.row[node], text[word, i - 1]].astype(np.int64)
-            word, begin, node = (x[node >= 0] for x in (word, begin, node))
-            label = np.where(size[word] == i, self.final[node], self.inner[node])
+            node = self.next[self.row[node] + columns[i - 1][word]]
+            some = np.flatnonzero(node >= 0)
+            word, cell, node = word[some], cell[some], node[some].astype(np.int64)
+            label = self.inner[node]
+            if ending < live:
+                whole = np.flatnonzero(word >= ending)
+                label[whole] = self.final[node[whole]]
             some = np.flatnonzero(label >= 0)
-            state = last[word[some], begin[some]]
-            ok = (begin[some] == 0) | (state >= 0)
-            some, state = some[ok], state[ok]
-            inside = state >= 0
-            good = np.ones(len(some), bool)
-            good[inside] = self.arcs(state[inside], label[some][inside])
-            some = some[good]
-            last[word[some], i], start[word[some], i] = label[some], begin[some]
-        ids = np.zeros((len(words), longest), "<u4")  # filled from the right
-        at, fill = size.copy(), np.full(len(words), longest, np.int64)
-        rows = np.arange(len(words))
+            label, origin, row = label[some], cell[some], base[word[some]]
+            state = last[origin]
+            good = origin == row
+            inside = np.flatnonzero(state >= 0)
+            good[inside] = self.arcs(state[inside], label[inside])
+            last[row[good] + i], came[row[good] + i] = label[good], origin[good]
+        ids = np.zeros((len(text), longest), "<u4")
+        at, fill, rows = base + size, np.full(len(text), longest, np.int64), np.arange(len(text))
         while len(rows):
             fill[rows] -= 1
-            ids[rows, fill[rows]] = last[rows, at[rows]]
-            at[rows] = start[rows, at[rows]]
-            rows = rows[at[rows] > 0]
+            ids[rows, fill[rows]] = last[at]
+            at = came[at]
+            more = np.flatnonzero(at != base[rows])
+            rows, at = rows[more], at[more]
+        return ids, fill
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of pre-split words, as little-endian unsigned 32-bit integers."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-size, kind="stable")
+        longest = int(size[order[0]])
+        text = np.frombuffer(b"".join(words[k].ljust(longest, b"\0") for k in order.tolist()), np.uint8).reshape(-1, longest)
+        ids, fill = self._read(text, size[order])
         flat, out = ids.tobytes(), [b""] * len(words)
         for k, row, first in zip(order.tolist(), range(0, 4 * ids.size, 4 * longest), fill.tolist()):
             out[k] = flat[row + 4 * first : row + 4 * longest]
         return out
 
+    def encode_flat(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words at ``begin`` in ``data`` (none empty) one after another, where each word's begin, their number.
+
+        ``data`` goes on for the longest word's size behind the last word.
+        """
+        order = np.argsort(-size, kind="stable")
+        first, count, flat, held = np.empty(len(size), np.int64), np.empty(len(size), np.int64), [], 0
+        for part in np.array_split(order, len(order) // 20_000 + 1) if len(order) else []:
+            longest = int(size[part[0]])
+            ids, fill = self._read(data[begin[part, None] + np.arange(longest)], size[part])
+            flat.append(ids[np.arange(longest) >= fill[:, None]])
+            count[part] = n = longest - fill
+            first[part] = held + np.cumsum(n) - n
+            held += len(flat[-1])
+        return np.concatenate(flat) if flat else np.empty(0, "<u4"), first, count
+
+
+class Words:
+    """Ids of words met before, in arrays: words of up to ``WIDE`` bytes are found again by a hash of their bytes."""
+
+    WIDE = 31
+    _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+    _MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.count, self.bits = 0, 16
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.keys = np.empty((0, 4), np.uint64)
+        self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.ids, self.used = np.empty(0, "<u4"), 0
+
+    def keys_of(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Bytes and size of each word as four numbers; ``data`` goes on for 32 bytes behind the last word."""
+        eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        keys = np.empty((len(size), 4), np.uint64)
+        for k in range(4):
+            keys[:, k] = eight[begin + 8 * k] & self._MASK[np.clip(size - 8 * k, 0, 8)]
+        keys[:, 3] |= size.astype(np.uint64) << np.uint64(56)
+        return keys
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        h = keys[:, 0] * self._MIX[0]
+        for k in range(1, 4):
+            h += keys[:, k] * self._MIX[k]
+        return (((h ^ h >> np.uint64(32)) * self._MIX[0]) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each word, -1 for those not met."""
+        slot = self._slot(keys)
+        found = self.slots[slot]
+        wrong = np.flatnonzero(found >= 0)
+        while True:
+            wrong = wrong[(self.keys[found[wrong]] != keys[wrong]).any(1)]
+            if not len(wrong):
+                return found
+            slot[wrong] = (slot[wrong] + 1) & (len(self.slots) - 1)
+            found[wrong] = self.slots[slot[wrong]]
+            wrong = wrong[found[wrong] >= 0]
+
+    def _link(self, numbers: np.ndarray) -> None:
+        slot = self._slot(self.keys[numbers])
+        while len(numbers):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = numbers[free]  # of those that meet in a slot one stays
+            rest = np.flatnonzero(self.slots[slot] != numbers)
+            numbers, slot = numbers[rest], (slot[rest] + 1) & (len(self.slots) - 1)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, first: np.ndarray, size: np.ndarray, short: np.ndarray) -> np.ndarray:
+        """Numbers of new words with their ids; those not ``short`` are not found again."""
+        numbers = np.arange(self.count, self.count + len(keys))
+        self.keys, self.first, self.size = (_room(x, self.count + len(keys)) for x in (self.keys, self.first, self.size))
+        self.ids = _room(self.ids, self.used + len(ids))
+        self.keys[numbers], self.first[numbers], self.size[numbers] = keys, self.used + first, size
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.count, self.used = self.count + len(keys), self.used + len(ids)
+        if 2 * self.count > len(self.slots):
+            old = self.slots[self.slots >= 0]
+            self.bits = int(4 * self.count).bit_length()
+            self.slots = np.full(1 << self.bits, -1, np.int32)
+            self._link(old)
+        self._link(numbers[short])
+        return numbers
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """``array`` with room for ``size`` rows and as many again."""
+    if size <= len(array):
+        return array
+    out = np.empty((2 * size, *array.shape[1:]), array.dtype)
+    out[: len(array)] = array
+    return out
+
 
 class Codec:
     """A tokenizer file with word ends, NFC, lower case and dropped white space, as ids and back."""
@@ -253,6 +361,7 @@ class Codec:
         self.marks = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
         self.memo, self.block = memo, block
         self._chunks: dict[str, bytes] = {}
+        self._words = Words()
 
     def _split(self, text: str) -> list[str]:
         """Normalised text cut at white space; no pre-split word crosses such a cut."""
@@ -336,14 +445,42 @@ class Codec:
         flush()
         return out
 
+    def _places(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the ids of ``_words`` those of each distinct word begin, and their number; new words are encoded."""
+        own, store = self._chunks, self._words
+        begin = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        size, begin = np.diff(begin), begin[:-1]
+        raw = words.buffers()[2]
+        data = np.r_[np.frombuffer(raw, np.uint8) if raw else np.empty(0, np.uint8), np.zeros(max(self.LONG, 32), np.uint8)]
+        short = size <= store.WIDE
+        keys = np.zeros((len(words), 4), np.uint64)
+        keys[short] = store.keys_of(data, begin[short], size[short])
+        found = np.full(len(words), -1, np.int32)
+        found[short] = store.find(keys[short])
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            text = words.take(pa.array(new)).to_numpy(zero_copy_only=False).tolist()
+            plain = np.fromiter(map(str.isalpha, text), bool, len(text)) & (size[new] <= self.LONG)
+            ids, first, count = self.tables.encode_flat(data, begin[new[plain]], size[new[plain]])
+            rest = [text[k] for k in np.flatnonzero(~plain).tolist()]
+            if unknown := set(rest).difference(own, [""]):
+                self._learn(unknown)
+            other = [own[w] if w else b"" for w in rest]
+            n = np.fromiter(map(len, other), np.int64, len(rest)) // 4
+            at, many = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+            at[plain], many[plain] = first, count
+            at[~plain], many[~plain] = len(ids) + np.cumsum(n) - n, n
+            found[new] = store.add(keys[new], np.r_[ids, np.frombuffer(b"".join(other), "<u4")], at, many, short[new])
+        return store.first[found], store.size[found].astype(np.int64)
+
     def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin (one more number at the end).
 
         The words of the texts are cut and numbered in Arrow, so Python meets each distinct word once a call.
         """
-        own = self._chunks
-        if len(own) > self.memo:
-            own.clear()
+        for kept, held in ((self._chunks, len(self._chunks)), (self._words, self._words.count)):
+            if held > self.memo:
+                kept.clear()
         fast, slow, plain = [], {}, []
         for i, text in enumerate(texts):
             if text and (any(m in text for m in self.special) or any(c in text for c in _CONTROLS)):
@@ -353,24 +490,17 @@ class Codec:
                     text = unicodedata.normalize("NFC", text)
                 fast.append(i)
                 plain.append(text.replace("Σ", "σ").lower())
-        # A letter ends a pre-split word before a mark, so the mark may stand alone: fewer distinct words.
-        cut = pc.replace_substring_regex(pa.array(plain, pa.large_string()), pattern=r"(\pL)([.,;:!?])(\s|$)", replacement=r"\1 \2\3")
+        # A letter ends a pre-split word before marks, so the marks may stand alone: fewer distinct words.
+        cut = pc.replace_substring_regex(pa.array(plain, pa.large_string()), pattern=r"(\pL)([!-/:-@\[-`{-~]+)(\s|$)", replacement=r"\1 \2\3")
         cut = pc.utf8_split_whitespace(cut)
         words = cut.flatten().dictionary_encode()
-        known = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        ids = [own.get(w) if w else b"" for w in known]
-        if new := {w for w, found in zip(known, ids) if found is None}:
-            self._learn(new)
-            ids = [own[w] if w else b"" for w in known]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        first = np.r_[0, np.cumsum(size)]
-        table = np.frombuffer(b"".join(ids), "<u4")
+        first, size = self._places(words.dictionary)
         at = words.indices.to_numpy()
         n = size[at]
         ends = np.r_[0, np.cumsum(n)]
         place = np.repeat(first[at] - ends[:-1], n)
         place += np.arange(ends[-1])
-        flat = table[place]
+        flat = self._words.ids[place]
         lists = cut.offsets.to_numpy().astype(np.int64)
         of_fast = ends[lists - lists[0]] if len(fast) else np.zeros(1, np.int64)
         length = np.zeros(len(texts), np.int64)

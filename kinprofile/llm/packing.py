@@ -30,7 +30,7 @@ PIECES = T.StructType([
     T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType()),
     T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()),
 ])
-TOKENS = "kind string, doc_id long, key long, n_tokens long, ids binary"
+TOKENS = "kind string, doc_id long, key long, n_tokens long, ids binary, counts binary"
 K1, B = 1.2, 0.75
 PART = 750  # documents that reach a worker and are tokenised together
 MEMO = 400_000  # words whose ids a worker keeps
@@ -55,19 +55,22 @@ def similarity_keys(ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 def _occurring(ids: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> None:
     """Add to ``counts`` in how many of the documents every id occurs."""
-    few = 64
-    seen = np.zeros((few, len(counts)), bool)
+    few = 16
+    latest = np.zeros(few * len(counts), np.int32)  # by document and id: the last token with it, read only where just written
     owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    cell = owner % few * len(counts) + ids
     for at in range(0, len(begin) - 1, few):
-        some = slice(int(begin[at]), int(begin[min(at + few, len(begin) - 1)]))
-        cell = owner[some] - at, ids[some]
-        seen[cell] = True
-        counts += seen.sum(0)
-        seen[cell] = False
+        first, end = int(begin[at]), int(begin[min(at + few, len(begin) - 1)])
+        some, tokens = cell[first:end], np.arange(end - first, dtype=np.int32)
+        latest[some] = tokens
+        counts += np.bincount(ids[first:end][latest[some] == tokens], minlength=len(counts))
 
 
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Written table of ``(doc_id, key, n_tokens, ids)`` rows (kind 'doc') and one row of document counts per task (kind 'df')."""
+    """Written table of ``(doc_id, key, n_tokens, ids)`` rows (kind 'doc') and one row of document ``counts`` per task (kind 'df').
+
+    Ids take two bytes each where the vocabulary allows it, else four.
+    """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as file:
         spec = spark.sparkContext.broadcast(file.read())
@@ -76,7 +79,8 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         settle(forget)
         own = codec(spec.value, MEMO)
         counts = np.zeros(max(len(own.labels), end_id + 1), "<i8")
-        names, n_docs, n_tokens = ["kind", "doc_id", "key", "n_tokens", "ids"], 0, 0
+        narrow = np.dtype("<u2" if len(counts) <= 1 << 16 else "<u4")
+        names, n_docs, n_tokens = ["kind", "doc_id", "key", "n_tokens", "ids", "counts"], 0, 0
         for rows in batches:
             for at in range(0, rows.num_rows, PART):
                 part = rows.slice(at, PART)
@@ -88,17 +92,19 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 n_docs += len(sizes)
                 n_tokens += len(ids)
                 kind, keys = pa.array(["doc"] * len(sizes), pa.string()), pa.array(similarity_keys(ids, begin))
-                stored = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(4 * begin), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([kind, part.column("doc_id"), keys, pa.array(sizes), stored.cast(pa.binary())], names)
+                buffers = [None, pa.py_buffer(narrow.itemsize * begin), pa.py_buffer(ids.astype(narrow))]
+                stored = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), buffers).cast(pa.binary())
+                none = pa.nulls(len(sizes), pa.binary())
+                yield pa.RecordBatch.from_arrays([kind, part.column("doc_id"), keys, pa.array(sizes), stored, none], names)
         if n_docs:
-            columns = [["df"], [None], [n_docs], [n_tokens], [counts.tobytes()]]
-            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            columns = [["df"], [None], [n_docs], [n_tokens], [None], [counts.tobytes()]]
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     path = scratch_path(spark, "tokens")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(PART)):
-        source.mapInArrow(run, TOKENS).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+        source.mapInArrow(run, TOKENS).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(TOKENS).parquet(path)
 
 
@@ -112,7 +118,7 @@ def corpus_counts(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
         total, docs, size = np.zeros(0, np.int64), 0, 0
         for rows in batches:
             for row in rows.to_pylist():
-                counts = np.frombuffer(row["ids"], "<i8")
+                counts = np.frombuffer(row["counts"], "<i8")
                 total = np.resize(np.r_[total, np.zeros(max(0, len(counts) - len(total)), np.int64)], max(len(total), len(counts)))
                 total[: len(counts)] += counts
                 docs, size = docs + row["key"], size + row["n_tokens"]
@@ -120,7 +126,8 @@ def corpus_counts(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
         id_, n = np.r_[-2, -1, some], np.r_[docs, size, total[some]]
         yield pa.RecordBatch.from_arrays([pa.array(id_, pa.int64()), pa.array(n, pa.int64())], ["id", "n"])
 
-    rows = tokens.where("kind = 'df'").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    some = tokens.where("kind = 'df'").select("key", "n_tokens", "counts")
+    rows = some.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     found = {r["id"]: r["n"] for r in rows}
     df = np.zeros(max([0, *found]) + 1, np.int64)
     for i, n in found.items():
@@ -154,9 +161,9 @@ class Shard:
         """Unused documents by BM25 score for the terms of ``seed``, ties and zero scores in the shard's order."""
         at = np.searchsorted(self.vocabulary, self.terms[self.first_term[seed] : self.first_term[seed + 1]])
         begin, count = self.first_posting[at], self.first_posting[at + 1] - self.first_posting[at]
-        shift = np.repeat(begin - np.r_[0, np.cumsum(count)[:-1]], count) if len(at) else np.zeros(0, np.int64)
-        rows = np.arange(len(shift)) + shift
-        scores = np.bincount(self.posting_doc[rows], self.posting_score[rows], len(self.docs))
+        rows = np.repeat(begin - np.r_[0, np.cumsum(count)[:-1]], count) if len(at) else np.zeros(0, np.int64)
+        rows += np.arange(len(rows))
+        scores = np.bincount(self.posting_doc.take(rows), self.posting_score.take(rows), len(self.docs))
         left = np.flatnonzero(self.unused)
         found = scores[left] > 0
         some = left[found]
@@ -220,12 +227,12 @@ def pack(
         def flush(ids: list, found: list) -> pa.RecordBatch:
             nonlocal made
             rows: list[tuple] = []
-            shard = Shard([np.frombuffer(b, "<u4") for b in found], shared.value, mean_size)
+            shard = Shard(found, shared.value, mean_size)
             for window in shard.windows(size):
                 offset = 0
                 for doc, start, length in window:
-                    piece = found[doc][4 * start : 4 * (start + length)]
-                    rows.append((ids[doc], start, length, piece, len(found[doc]) // 4, task << 32 | made, offset))
+                    piece = found[doc][start : start + length].astype("<u4").tobytes()
+                    rows.append((ids[doc], start, length, piece, len(found[doc]), task << 32 | made, offset))
                     offset += length
                 made += 1
             names = PIECES.fieldNames()
@@ -234,20 +241,20 @@ def pack(
 
         ids, found, held = [], [], 0
         for rows in batches:
-            for doc_id, b in zip(rows.column("doc_id").to_pylist(), rows.column("ids").to_pylist()):
+            for doc_id, n, b in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "n_tokens", "ids"))):
                 if held > 1.5 * shard_tokens:
                     yield flush(ids, found)
                     ids, found, held = [], [], 0
                 ids.append(doc_id)
-                found.append(b)
-                held += len(b) // 4
+                found.append(np.frombuffer(b, f"<u{len(b) // n}"))
+                held += n
         if ids:
             yield flush(ids, found)
 
     shards = max(1, math.ceil(n_tokens / shard_tokens))
-    dealt = tokens.where("kind = 'doc'").select("key", "doc_id", "ids")
+    dealt = tokens.where("kind = 'doc'").select("key", "doc_id", "n_tokens", "ids")
     if shards > 1:
         dealt = dealt.repartitionByRange(shards, "key", "doc_id")
     else:
         dealt = dealt.coalesce(1)
-    return dealt.sortWithinPartitions("key", "doc_id", "ids").select("doc_id", "ids").mapInArrow(run, PIECES)
+    return dealt.sortWithinPartitions("key", "doc_id", "ids").select("doc_id", "n_tokens", "ids").mapInArrow(run, PIECES)
